@@ -133,7 +133,7 @@ def matching_starts(slices: list[bytes], length: int) -> list[np.ndarray]:
     key = np.zeros(total, np.int64)
     for o in range(7):
         key = key << 9 | np.where(pos + o <= end, padded[o : o + total], 0)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
 
     def ranks(order: np.ndarray, value: np.ndarray) -> np.ndarray:
         v = value[order]
@@ -145,7 +145,7 @@ def matching_starts(slices: list[bytes], length: int) -> list[np.ndarray]:
     while h < 2 * sizes.max() and rank[order[-1]] < total - 1:
         beyond = pos + h
         pair = rank * (total + 1) + np.where(beyond <= end, rank[np.minimum(beyond, total - 1)], sid)
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         rank, h = ranks(order, pair), h * 2
     before = symbols[order - 1]
     starts = order == begins[sid[order]]
