@@ -70,7 +70,9 @@ def link_credentials(docs: DataFrame, key: str = "doc_id", text: str = "text", m
         spans_of(F.col("text"), "endpoint", ENDPOINT).alias("endpoint"),
     )
     rows = rows.select("id", "h", *[slim(F.col(k)).alias(k) for k in KINDS])
-    rows = materialize(rows, "spans")
+    told = F.concat("assign", "access", "hex")
+    free = lambda kind: F.filter(kind, lambda x: ~F.exists(told, lambda y: (y["s"] < x["e"]) & (y["e"] > x["s"])))
+    rows = materialize(rows.withColumn("opaque", free("opaque")), "spans")  # what is told already is not a weak part
 
     part = lambda *kinds: rows.where(F.size(F.concat(*kinds)) > 0).select("id", "h", F.explode(F.concat(*kinds)).alias("x")).select("id", "h", "x.*").distinct()
     block = lambda a, b: F.explode(F.sequence(F.floor(a / scope), F.floor(b / scope)))
