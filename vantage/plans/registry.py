@@ -4,12 +4,472 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vantage.operators import capture as cap
+from vantage.operators import evaluate as ev
+from vantage.operators import features as ft
+from vantage.operators import labels as lb
+from vantage.sources.bindings import BAND, DAY, SQL, creates, events, quotes, table, trades
+
+W = {"30d": 30 * DAY, "180d": 180 * DAY}
+H = {"90d": 90 * DAY, "180d": 180 * DAY, "365d": 365 * DAY}
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of (spark, sf_dir); sql is appended to the common table expressions."""
+
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = SQL + sql
+        return f
+
+    return keep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def captured(s: SparkSession, d: str) -> DataFrame:
+    return cap.first_in_band(trades(s, d), *BAND)
+
+
+def pit(s: SparkSession, d: str) -> DataFrame:
+    return cap.pit_join(captured(s, d), trades(s, d))
+
+
+def priced(s: SparkSession, d: str) -> DataFrame:
+    return cap.implied_mc(trades(s, d))
+
+
+def labelled(s: SparkSession, d: str) -> DataFrame:
+    return lb.forward_labels(captured(s, d), priced(s, d), H)
+
+
+def predictions(s: SparkSession, d: str) -> DataFrame:
+    """entity, t0, score, y, multiple, fold: a score from the key, blended with the label."""
+    y = F.coalesce(F.col("hit_365d").cast("int"), F.lit(0))
+    score = F.round((F.col("entity") * 7919 % 1000) / 2000.0 + y * 0.3, 4)
+    return labelled(s, d).select("entity", "t0", score.alias("score"), y.alias("y"), F.col("multiple_365d").alias("multiple"), (F.col("entity") % 5).alias("fold"))
+
+
+PRICED = ", priced as (select *, usd::double / tok as price from trades where tok <> 0)"
+LABELS = PRICED + """, lab as (select c.entity, c.t0, c.p0,
+  max(case when ts <= t0 + 31536000 then price end) as m365, min(case when ts <= t0 + 31536000 and price >= 10 * p0 then ts - t0 end) as time_365d,
+  max(case when ts <= t0 + 15552000 then price end) as m180, min(case when ts <= t0 + 15552000 and price >= 10 * p0 then ts - t0 end) as time_180d,
+  max(case when ts <= t0 + 7776000 then price end) as m90, min(case when ts <= t0 + 7776000 and price >= 10 * p0 then ts - t0 end) as time_90d
+  from captures c left join priced p on p.entity = c.entity and p.ts > c.t0 and p.ts <= c.t0 + 31536000 group by all),
+labelled as (select entity, t0, p0, time_90d, time_180d, time_365d,
+  round(m90 / p0, 6) as multiple_90d, case when m90 is not null then time_90d is not null end as hit_90d,
+  round(m180 / p0, 6) as multiple_180d, case when m180 is not null then time_180d is not null end as hit_180d,
+  round(m365 / p0, 6) as multiple_365d, case when m365 is not null then time_365d is not null end as hit_365d from lab)"""
+PREDS = LABELS + """, preds as (select entity, t0, round((entity * 7919 % 1000) / 2000.0::double + coalesce(hit_365d::int, 0) * 0.3::double, 4) as score,
+  coalesce(hit_365d::int, 0) as y, multiple_365d as multiple, entity % 5 as fold from labelled)"""
+
+
+@query("w1_first_in_band", "select entity, t0, p0, venue0 from captures")
+def _(s, d):
+    return captured(s, d)
+
+
+@query("n1_normalize_swaps", """select entity, count(*) as n, sum(case when side = 'buy' then 1 else 0 end)::bigint as buys, sum(usd)::double as usd
+  from trades where usd >= 1 and tok > 0 group by entity""")
+def _(s, d):
+    buy = F.col("side") == "buy"
+    name = F.col("entity").cast("string")
+    pairs = trades(s, d).select(F.when(buy, name).otherwise("SOL").alias("bought"), F.when(buy, F.lit("SOL")).otherwise(name).alias("sold"), F.when(buy, F.col("tok")).otherwise(F.col("base")).alias("bought_amount"), F.when(buy, F.col("base")).otherwise(F.col("tok")).alias("sold_amount"), "usd")
+    return cap.normalize_swaps(pairs).groupBy(F.col("entity").cast("long").alias("entity")).agg(F.count("*").alias("n"), F.count_if(F.col("side") == "buy").alias("buys"), F.sum("usd").cast("double").alias("usd"))
+
+
+@query("p1_implied_mc", PRICED + "select entity, count(*) as n, round(max(price), 6) as max_price, round(max(price * 1e9) / 1e9, 6) as max_mc_bn from priced group by entity")
+def _(s, d):
+    return priced(s, d).where("price is not null").groupBy("entity").agg(F.count("*").alias("n"), F.round(F.max("price"), 6).alias("max_price"), F.round(F.max("mc") / 1e9, 6).alias("max_mc_bn"))
+
+
+@query("p2_band_filter", "select entity, count(*) as n from banded group by entity")
+def _(s, d):
+    return priced(s, d).where(cap.in_band(F.col("price"), *BAND)).groupBy("entity").agg(F.count("*").alias("n"))
+
+
+@query("p6_t0_features", "select entity, t0, round((p0 - 1000) / 400, 6) as band_pos, round(ln(1 + p0), 6) as log1p_p0, (venue0 = 'pumpdotfun')::int as is_pumpdotfun from captures")
+def _(s, d):
+    return captured(s, d).select("entity", "t0", F.round((F.col("p0") - BAND[0]) / (BAND[1] - BAND[0]), 6).alias("band_pos"), F.round(F.log1p("p0"), 6).alias("log1p_p0"), (F.col("venue0") == "pumpdotfun").cast("int").alias("is_pumpdotfun"))
+
+
+@query("p14_capture_id", "select entity, t0, substring(sha256(entity || '|' || t0 || '|v1'), 1, 32) as capture_id from captures")
+def _(s, d):
+    return captured(s, d).select("entity", "t0", F.substring(F.sha2(F.concat_ws("|", "entity", "t0", F.lit("v1")), 256), 1, 32).alias("capture_id"))
+
+
+@query("j1_pit_join", "select entity, t0, count(*) as n, max(age) as oldest, min(age) as newest from pit group by all")
+def _(s, d):
+    return pit(s, d).groupBy("entity", "t0").agg(F.count("*").alias("n"), F.max("age").alias("oldest"), F.min("age").alias("newest"))
+
+
+@query("j2_time_bounds", "select count(*) as n, min(ts) as lo, max(ts) as hi from trades where ts between (select min(t0) - 604800 from captures) and (select max(t0) from captures)")
+def _(s, d):
+    lo, hi = cap.time_bounds(captured(s, d), 7 * DAY)
+    return trades(s, d).where(F.col("ts").between(lo, hi)).agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+
+
+@query("j3_semi_keys", "select entity, count(*) as n from trades where entity in (select entity from captures) group by entity")
+def _(s, d):
+    return cap.semi_keys(trades(s, d), captured(s, d)).groupBy("entity").agg(F.count("*").alias("n"))
+
+
+@query("j5_minute_lookup", """select t.entity, count(*) as n, count(q.price) as matched, (count(*) - count(q.price)) as missed
+  from trades t left join quotes q on q.ts = t.ts - t.ts % 86400 group by t.entity""")
+def _(s, d):
+    return cap.minute_lookup(trades(s, d), quotes(s, d)).groupBy("entity").agg(F.count("*").alias("n"), F.count("quote").alias("matched"), (F.count("*") - F.count("quote")).alias("missed"))
+
+
+@query("j6_asof_join", """select c.entity, c.t0, case when c.t0 - q.ts <= 86400 then q.ts end as quote_ts, case when c.t0 - q.ts <= 86400 then round(q.price, 6) end as quote
+  from captures c asof left join quotes q on c.t0 >= q.ts""")
+def _(s, d):
+    out = cap.as_of_quotes(captured(s, d).select("entity", "t0"), quotes(s, d), at="t0")
+    return out.select("entity", "t0", "quote_ts", F.round("quote", 6).alias("quote"))
+
+
+@query("j7_create_join", """select c.entity, c.t0, k.creator, c.t0 - k.created as age, coalesce(length(k.name), 0)::bigint as name_len
+  from captures c left join creates k on k.entity = c.entity and k.created <= c.t0""")
+def _(s, d):
+    return lb.create_join(captured(s, d), creates(s, d))
+
+
+@query("p20_age_from_create", """select c.entity, c.t0 - k.created as age, case when k.created is null then 'missing' when c.t0 < k.created then 'create_after_t0'
+  when c.t0 - k.created > 31536000 then 'age_gt_max' else '' end as reason, coalesce(c.t0 - k.created between 0 and 31536000, false) as ok from captures c left join creates k using (entity)""")
+def _(s, d):
+    return lb.create_age(captured(s, d), creates(s, d), 365 * DAY)
+
+
+GRADUATED = ", grads as (select entity, min(ts) as graduated from trades where venue = 'pumpswap' group by entity)"
+
+
+@query("j8_creator_graduates", GRADUATED + """, own as (select c.entity, c.t0, k.creator from captures c join creates k using (entity)),
+  met as (select o.entity, (o.t0 - g.graduated) // 86400 as days from own o join creates k on k.creator = o.creator and k.entity <> o.entity and k.created < o.t0
+    join grads g on g.entity = k.entity and g.graduated >= k.created and g.graduated <= o.t0),
+  n as (select entity, count(*) as a, count(*) filter (days <= 7) as d7, count(*) filter (days <= 30) as d30 from met group by 1)
+  select o.entity, coalesce(d7, 0) as graduates_d7, coalesce(d30, 0) as graduates_d30, coalesce(a, 0) as graduates_all from own o left join n using (entity)""")
+def _(s, d):
+    grads = trades(s, d).where("venue = 'pumpswap'").groupBy("entity").agg(F.min("ts").alias("graduated"))
+    return lb.creator_graduates(captured(s, d), creates(s, d), grads)
+
+
+@query("j9_buyer_history", """, buyers as (select distinct entity, t0, trader from pit where side = 'buy'),
+  seen as (select b.entity, b.trader, count(*) as n from buyers b join trades t on t.trader = b.trader and t.side = 'buy' and t.entity <> b.entity
+    and t.ts >= b.t0 - 2592000 and t.ts < b.t0 group by all)
+  select b.entity, count(*) as buyers, count(n) as with_history, coalesce(sum(n), 0)::bigint as history from buyers b left join seen s on s.entity = b.entity and s.trader = b.trader group by b.entity""")
+def _(s, d):
+    return lb.buyer_history(pit(s, d), trades(s, d), 30 * DAY)
+
+
+def _flow_sql(name: str, w: int) -> str:
+    inside = f"age between 0 and {w}"
+    out = []
+    for side in ("buy", "sell"):
+        c = f"{inside} and side = '{side}'"
+        out.append(f"count(*) filter ({c}) as {side}_n_{name}, coalesce(sum(usd) filter ({c}), 0)::double as {side}_usd_{name}, count(distinct trader) filter ({c}) as {side}ers_{name}")
+    return ", ".join(out)
+
+
+FLOW = ", ".join(_flow_sql(n, w) for n, w in W.items()) + ", count(*) filter (side = 'buy') as buy_n, count(*) filter (side = 'sell') as sell_n, max(age) as oldest"
+
+
+@query("a1_flow_windows", f"select entity, t0, {FLOW} from pit group by entity, t0")
+def _(s, d):
+    return ft.flow_windows(pit(s, d), W)
+
+
+SNIPER = """, sn as (select *, ts - min(ts) over (partition by entity) as after from pit),
+  sb as (select *, row_number() over (partition by entity order by ts, usd desc, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as nth from sn where side = 'buy'),
+  sniper as (select entity, t0, max(usd) filter (nth = 1)::double as first_buy_usd, coalesce(sum(usd) filter (nth <= 5), 0)::double as usd_first_5, coalesce(sum(usd) filter (nth <= 10), 0)::double as usd_first_10,
+    coalesce(sum(usd) filter (after <= 2592000), 0)::double as usd_within_0, coalesce(sum(usd) filter (after <= 7776000), 0)::double as usd_within_1,
+    count(*) filter (after <= 2592000) as buys_within_0, count(*) filter (after <= 7776000) as buys_within_1 from sb group by all)"""
+CONC = """, tr as (select entity, t0, trader, count(*) filter (side = 'buy') as bn, coalesce(sum(usd) filter (side = 'buy'), 0) as bu, sum(case when side = 'buy' then tok else -tok end) as net from pit group by all),
+  rk as (select *, row_number() over (partition by entity order by bu desc, trader) as r, row_number() over (partition by entity order by net desc, trader) as q, greatest(net, 0) as held from tr),
+  conc as (select entity, t0, count(*) filter (held > 0) as holders, count(*) filter (bn > 0) as buyers, """ + ", ".join(
+    f"case when sum(bu) > 0 then round(sum(bu) filter (r <= {n})::double / sum(bu)::double, 6) end as top{n}_buy_share, case when sum(held) > 0 then round(sum(held) filter (q <= {n}) / sum(held), 6) end as top{n}_held_share" for n in (1, 5, 10)) + " from rk group by all)"
+
+
+@query("a3_sniper_stats", SNIPER + "select * from sniper")
+def _(s, d):
+    return ft.sniper_stats(pit(s, d))
+
+
+@query("a4_concentration", CONC + "select * from conc")
+def _(s, d):
+    return ft.concentration(pit(s, d))
+
+
+@query("a5_microstructure_pack", SNIPER + CONC + f""", flow as (select entity, t0, {FLOW} from pit group by entity, t0),
+  tot as (select entity, t0, coalesce(sum(usd) filter (side = 'buy'), 0)::double as buy_usd, coalesce(sum(usd) filter (side = 'sell'), 0)::double as sell_usd, max(usd) filter (side = 'buy')::double as max_buy_usd from pit group by all)
+  select flow.*, buy_usd, sell_usd, max_buy_usd, sniper.* exclude (entity, t0), conc.* exclude (entity, t0), round(buy_usd - sell_usd, 4) as net_usd,
+    case when buy_usd > 0 then round(coalesce(usd_within_0, 0) / buy_usd, 6) end as sniper_share, case when buy_usd > 0 then round(coalesce(usd_first_5, 0) / buy_usd, 6) end as first5_share,
+    case when buy_usd > 0 then round(coalesce(max_buy_usd, 0) / buy_usd, 6) end as max_buy_share
+  from flow join tot using (entity) left join sniper using (entity) left join conc using (entity)""")
+def _(s, d):
+    return ft.microstructure_pack(pit(s, d), W)
+
+
+@query("a6_repriced_usd_pack", """, rp as (select p.*, q.price as quote from pit p left join quotes q on q.ts = p.ts - p.ts % 86400)
+  select entity, t0, round(coalesce(sum((usd::double / 150 * quote)::decimal(28,6)) filter (age between 0 and 15552000 and quote is not null), 0)::double, 4) as usd,
+    count(*) filter (age between 0 and 15552000 and quote is not null) as n, count(*) filter (quote is null) as missing, round(median(quote), 6) as median_quote from rp group by all""")
+def _(s, d):
+    return ft.repriced_pack(pit(s, d), quotes(s, d), W["180d"], cap.minute_lookup)
+
+
+@query("a7_peak_vwap", """, sl as (select entity, ts - ts % 86400 as slot, sum(usd)::double / sum(tok) as vwap from trades where tok > 0 group by all)
+  select entity, round(max(vwap), 6) as peak, arg_max(slot, row(vwap, -slot)) as peak_slot, count(*) as slots, count(*) filter (vwap >= 2000) as above from sl group by entity""")
+def _(s, d):
+    return ft.peak_vwap(trades(s, d))
+
+
+@query("a8_buy_volume", """select c.entity, c.t0, coalesce(sum(usd) filter (side = 'buy' and age between 0 and 2592000), 0)::double as buy_usd, count(*) filter (side = 'buy' and age between 0 and 2592000) as buy_n
+  from captures c left join pit p using (entity) group by c.entity, c.t0""")
+def _(s, d):
+    return ft.buy_volume(captured(s, d), pit(s, d), W["30d"])
+
+
+@query("a9_replay_flow", """select entity, t0, count(*) filter (side = 'buy') as buys, count(*) filter (side = 'sell') as sells, coalesce(sum(usd) filter (side = 'buy'), 0)::double as buy_usd, coalesce(sum(usd) filter (side = 'sell'), 0)::double as sell_usd,
+    count(distinct trader) filter (side = 'buy') as buyers, count(distinct trader) filter (side = 'sell') as sellers, arg_max(venue, row(ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice)) as last_venue, max(age) as oldest,
+    round(coalesce(sum(usd) filter (side = 'buy'), 0)::double / greatest(coalesce(sum(usd) filter (side = 'sell'), 0)::double, 1e-12::double), 2) as ratio, count(*) = 0 as missing
+  from pit where age between 0 and 15552000 group by all""")
+def _(s, d):
+    return ft.replay_flow(pit(s, d), W["180d"])
+
+
+@query("a10_forward_labels", LABELS + "select * from labelled")
+def _(s, d):
+    return labelled(s, d)
+
+
+@query("a11_label_base_rates", LABELS + " select h as horizon, count(hit) as n, round(avg(hit::int), 6) as rate from (" + " union all ".join(f"select '{h}' as h, hit_{h} as hit from labelled" for h in H) + ") group by h")
+def _(s, d):
+    return lb.base_rates(labelled(s, d), list(H))
+
+
+@query("a15_cohort_funnel", LABELS + """, st as (select count(*) as a, count(*) filter (venue0 = 'pumpdotfun') as b, count(*) filter (venue0 = 'pumpdotfun' and hit_365d is not null) as c from labelled join captures using (entity))
+  select 0 as step, 'captured' as name, a as n_in, a as n_out, 0 as n_dropped from st union all select 1, 'venue', a, b, a - b from st union all select 2, 'labelled', b, c, b - c from st""")
+def _(s, d):
+    rows = labelled(s, d).join(captured(s, d).select("entity", "venue0"), "entity")
+    return ev.cohort_funnel(rows, [("captured", F.lit(True)), ("venue", F.col("venue0") == "pumpdotfun"), ("labelled", F.col("hit_365d").isNotNull())])
+
+
+@query("a16_class_by_week", LABELS + " select (t0 + 259200) // 604800 as week, count(*) filter (hit_365d) as pos, count(*) filter (not hit_365d) as neg, count(*) filter (hit_365d is null) as unknown from labelled group by 1")
+def _(s, d):
+    return ev.class_by_week(labelled(s, d).select("t0", F.col("hit_365d").cast("int").alias("y")))
+
+
+@query("a17_null_rates", LABELS + " select 'multiple_90d' as feature, round(avg((multiple_90d is null)::int), 6) as null_rate from labelled union all select 'time_365d', round(avg((time_365d is null)::int), 6) from labelled")
+def _(s, d):
+    return ev.null_rates(labelled(s, d), ["multiple_90d", "time_365d"])
+
+
+@query("a19_distribution_profile", LABELS + ", x as (select 'p0' as feature, p0 as v from labelled union all select 'multiple_365d', multiple_365d from labelled) select feature, count(*) as n, " + ", ".join(f"round(quantile_cont(v, {p / 100}), 6) as p{p:02d}" for p in (5, 25, 50, 75, 95)) + " from x where v is not null group by feature")
+def _(s, d):
+    return ev.distribution(labelled(s, d), ["p0", "multiple_365d"])
+
+
+@query("a21_feature_delta", """, a as (select entity, count(*) filter (age <= 2592000) as n, max(age) filter (age <= 2592000) as oldest from pit group by entity),
+  b as (select entity, count(*) filter (age <= 15552000) as n, max(age) filter (age <= 15552000) as oldest from pit group by entity)
+  select entity, 'n' as feature, a.n::double as "left", b.n::double as "right", (b.n - a.n)::double as delta from a join b using (entity)
+  union all select entity, 'oldest', a.oldest::double, b.oldest::double, (b.oldest - a.oldest)::double from a join b using (entity)""")
+def _(s, d):
+    p = pit(s, d)
+    side = lambda w: p.groupBy("entity").agg(F.count_if(F.col("age") <= w).alias("n"), F.max(F.when(F.col("age") <= w, F.col("age"))).alias("oldest"))
+    return ev.feature_delta(side(W["30d"]), side(W["180d"]), ["n", "oldest"])
+
+
+@query("a23_threshold_sweep", PREDS + ", t as (select unnest([0.1, 0.3, 0.5, 0.7, 0.9])::double as threshold) select threshold, count(*) filter (score >= threshold) as entries, coalesce(sum(y) filter (score >= threshold), 0)::bigint as hits, case when count(*) filter (score >= threshold) > 0 then round(coalesce(sum(y) filter (score >= threshold), 0) / count(*) filter (score >= threshold), 6) end as precision, round(coalesce(sum(y) filter (score >= threshold), 0) / sum(y), 6) as recall from preds, t group by threshold")
+def _(s, d):
+    return ev.threshold_sweep(predictions(s, d), [0.1, 0.3, 0.5, 0.7, 0.9])
+
+
+@query("a26_followup_peak", PRICED + """, ap as (select p.*, c.p0, max(price) over (partition by p.entity order by ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice rows between unbounded preceding and 1 preceding) as before
+    from priced p join captures c on p.entity = c.entity and p.ts > c.t0)
+  select entity, ts, round(price / p0, 6) as multiple, price >= 10 * p0 as hit from ap where before is null or price > before""")
+def _(s, d):
+    return lb.followup_peak(captured(s, d), priced(s, d).where("price is not null"))
+
+
+STRAT = PREDS + """, top as (select * from (select *, row_number() over (partition by fold order by score desc, t0, entity) as rank from preds) where rank <= 20),
+  ret as (select *, (least(coalesce(multiple, 0), 10) - 1 - 0.015::double)::decimal(18,6) as r from top),
+  cum as (select *, sum(r) over (partition by fold order by t0, entity rows unbounded preceding) as c from ret),
+  fall as (select *, c - max(c) over (partition by fold order by t0, entity rows unbounded preceding) as f from cum)"""
+
+
+@query("a29_strategy_summary", STRAT + " select fold, count(*) as n, round(avg(y), 6) as hit_rate, round(sum(r)::double, 4) as cum_r, round(sum(r)::double / count(*), 5) as mean_r, round(min(f)::double, 4) as drawdown from fall group by fold")
+def _(s, d):
+    return ev.strategy_summary(ev.strategy_returns(ev.rank_topk(predictions(s, d), ["fold"], 20)), ["fold"])
+
+
+@query("a36_event_coverage", "select c.entity, count(t.ts) as n_after, min(t.ts) as first_after, max(t.ts) as last_after from captures c left join trades t on t.entity = c.entity and t.ts > c.t0 group by c.entity")
+def _(s, d):
+    after = trades(s, d).join(captured(s, d), "entity").where("ts > t0").groupBy("entity").agg(F.count("*").alias("n"), F.min("ts").alias("first_after"), F.max("ts").alias("last_after"))
+    return captured(s, d).select("entity").join(after, "entity", "left").select("entity", F.coalesce("n", F.lit(0)).alias("n_after"), "first_after", "last_after")
+
+
+@query("a38_catalogue_features", """, g as (select *, ts - lag(ts) over (partition by entity order by ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as gap from pit),
+  a as (select entity, t0, round(var_pop(gap), 2) as gap_var, round(sum(usd) filter (age <= 15552000)::double / sum(tok) filter (age <= 15552000) / any_value(p0), 6) as vwap_vs_p0 from g group by all),
+  tr as (select entity, trader, sum(case when side = 'buy' then tok else -tok end) as net from pit group by all having net > 0),
+  gi as (select entity, 2 * sum(i * net) / (count(*) * sum(net)) - (count(*) + 1) / count(*) as gini from (select *, row_number() over (partition by entity order by net, trader) as i from tr) group by entity)
+  select a.*, round(gini, 6) as gini from a left join gi using (entity)""")
+def _(s, d):
+    return ft.catalogue_features(pit(s, d), W["180d"])
+
+
+PRIOR = """select entity, created, (count(*) over (partition by creator order by created range between {r} preceding and current row) - {less}) as {n}"""
+
+
+@query("w4_creator_priors", """, k as (select *, count(*) over (partition by creator, created) as peers, row_number() over (partition by creator, created order by entity) as place from creates)
+  select entity, created, count(*) over (partition by creator order by created range between 604800 preceding and current row) - (peers - place + 1) as prior_d7,
+    count(*) over (partition by creator order by created range between 2592000 preceding and current row) - (peers - place + 1) as prior_d30,
+    count(*) over (partition by creator order by created range between unbounded preceding and current row) - (peers - place + 1) as prior_all from k""")
+def _(s, d):
+    return lb.creator_priors(creates(s, d))
+
+
+@query("w4_creator_priors_strict", """select entity, created, (select count(*) from creates b where b.creator = a.creator and b.created < a.created and b.created >= a.created - 604800) as prior_d7,
+    (select count(*) from creates b where b.creator = a.creator and b.created < a.created and b.created >= a.created - 2592000) as prior_d30,
+    (select count(*) from creates b where b.creator = a.creator and b.created < a.created) as prior_all from creates a""")
+def _(s, d):
+    return lb.creator_priors(creates(s, d), strict=True)
+
+
+FOLDS = """, ix as (select entity, t0, row_number() over (order by t0, entity) - 1 as idx, count(*) over () as n from captures),
+  ed as (select k + 1 as fold, floor(round(0.4::double + 0.12::double * k, 9) * n)::bigint as lo, floor(round(0.4::double + 0.12::double * (k + 1), 9) * n)::bigint as hi from (select distinct n from ix), range(5) r(k)),
+  cu as (select ed.*, ix.t0 as cut from ed join ix on ix.idx = ed.lo),
+  folds as (select entity, t0, fold::int as fold, case when idx >= lo then 'test' else 'train' end as part from ix join cu on idx < hi and (idx >= lo or t0 < cut))"""
+
+
+@query("w6_expanding_folds", FOLDS + "select * from folds")
+def _(s, d):
+    return ev.expanding_folds(captured(s, d))
+
+
+@query("w7_embargo_fold", "select entity, t0, case when t0 <= 852076800 then 'train' when t0 > 852076800 + 2592000 and t0 <= 883612800 then 'val' when t0 > 883612800 + 2592000 and t0 <= 915148800 then 'test' end as part from captures where part is not null")
+def _(s, d):
+    return ev.embargo_split(captured(s, d).select("entity", "t0"), 852076800, 883612800, 915148800, 30 * DAY)
+
+
+@query("w9_capture_detector", PRICED + """, tw as (select p.*, k.created, count(*) over (partition by p.entity order by ts range between 15552000 preceding and current row) - 1 as n_trail from trades p left join (select entity, min(created) as created from creates group by 1) k using (entity)),
+  tp as (select *, case when tok <> 0 then usd::double / tok end as price from tw),
+  fit as (select * from (select *, row_number() over (partition by entity order by ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as rn from tp where price between 1000 and 1400 and n_trail >= 1 and ts - created >= 2592000) where rn = 1),
+  anyb as (select * from (select *, row_number() over (partition by entity order by ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as rn from tp where price between 1000 and 1400) where rn = 1)
+  select e.entity, coalesce(f.ts, a.ts) as t0, coalesce(f.price, a.price) as p0, case when a.entity is null then 'REJECT' when f.entity is null then 'LOW' when f.n_trail >= 3 then 'HIGH' else 'MED' end as quality,
+    case when a.entity is null then 'never_in_band' when f.entity is not null then '' when a.created is null or a.ts - a.created < 2592000 then 'too_young' else 'no_trailing_trade' end as reason
+  from (select distinct entity from trades) e left join fit f using (entity) left join anyb a using (entity)""")
+def _(s, d):
+    return cap.detect_captures(trades(s, d), creates(s, d), *BAND, age=30 * DAY, trail=180 * DAY)
+
+
+@query("w12_rank_topk", PREDS + " select entity, t0, score, y, multiple, fold, rank::int as rank from (select *, row_number() over (partition by fold order by score desc, t0, entity) as rank from preds) where rank <= 20")
+def _(s, d):
+    return ev.rank_topk(predictions(s, d), ["fold"], 20)
+
+
+@query("w13_precision_recall_at_k", PREDS + ", r as (select *, row_number() over (partition by fold order by score desc, t0, entity) as r from preds) select fold, sum(y)::bigint as pos, " + ", ".join(f"sum(y) filter (r <= {k})::bigint as hits_{k}, round(sum(y) filter (r <= {k}) / count(*) filter (r <= {k}), 6) as precision_{k}, round(sum(y) filter (r <= {k}) / sum(y), 6) as recall_{k}" for k in (10, 50)) + " from r group by fold")
+def _(s, d):
+    return ev.precision_recall_at_k(predictions(s, d), ["fold"], (10, 50))
+
+
+@query("w14_rolling_capacity", ", r as (select event_id, entity, ts, round(value, 2) as score, ts - ts % 3600 as slot, row_number() over (partition by ts - ts % 3600 order by round(value, 2) desc, ts, event_id) as rank from ev) select event_id, entity, ts, score, slot, rank::int as rank, rank <= 5 as accepted from r")
+def _(s, d):
+    return ev.rolling_capacity(events(s, d).select("event_id", "entity", "ts", F.round("value", 2).alias("score")), 5, 3600)
+
+
+@query("w16_largest_remainder_alloc", ", st as (select venue as stratum, count(*) as size from trades group by 1), t as (select *, floor(1001 * size / sum(size) over ())::bigint as base, (1001 * size) % sum(size) over () as frac, sum(size) over () as total from st) select stratum, size, base + (row_number() over (order by frac desc, stratum) <= 1001 - sum(base) over ())::bigint as slots from t")
+def _(s, d):
+    return ev.largest_remainder(trades(s, d).groupBy(F.col("venue").alias("stratum")).agg(F.count("*").alias("size")), 1001)
+
+
+@query("w17_interleave_strata", "select entity, venue0, row_number() over (partition by venue0 order by entity)::int as round from captures")
+def _(s, d):
+    return ev.interleave(captured(s, d).select("entity", "venue0"), ["venue0"], "entity")
+
+
+@query("w18_latest_per_entity", "select entity, event_id, ts, value from (select *, row_number() over (partition by entity order by ts desc, event_id desc) as r from ev) where r = 1")
+def _(s, d):
+    return ev.latest(events(s, d), ["entity"], F.desc("ts"), F.desc("event_id")).select("entity", "event_id", "ts", "value")
+
+
+@query("l1_stratified_sample")
+def _(s, d):
+    return ev.stratified_sample(captured(s, d), "venue0", 100)
+
+
+@query("l7_closest_to_mid", "select entity, p0 from captures order by abs(p0 - 1200), entity limit 50")
+def _(s, d):
+    return captured(s, d).orderBy(F.abs(F.col("p0") - 1200), "entity").limit(50).select("entity", "p0")
+
+
+@query("m3_rank_metrics", PREDS + """, g as (select fold, score, sum(y) as p, count(*) - sum(y) as q from preds group by all),
+  c as (select *, sum(p) over (partition by fold order by score desc) as tp, sum(q) over (partition by fold order by score desc) as fp from g)
+  select fold, sum(p)::bigint as pos, sum(q)::bigint as neg, round(sum(q * (tp - p / 2)) / (sum(p) * sum(q)), 6) as auc, round(sum(p * tp / (tp + fp)) / sum(p), 6) as ap, round(sum(p) / (sum(p) + sum(q)), 6) as base_rate from c group by fold""")
+def _(s, d):
+    return ev.rank_metrics(predictions(s, d), ["fold"])
+
+
+@query("m5_train_quantile_threshold", PREDS + FOLDS + " select f.fold, round(quantile_cont(score, 0.9::double), 9) as threshold from folds f join preds p using (entity) where part = 'train' group by f.fold")
+def _(s, d):
+    return ev.quantile_thresholds(ev.expanding_folds(captured(s, d)).join(predictions(s, d).select("entity", "score"), "entity"), 0.1)
+
+
+@query("m6_strategy_returns", PREDS + " select entity, round(least(coalesce(multiple, 0), 10) - 1 - 0.015::double, 6) as r_cap, round(case when coalesce(multiple, 0) >= 10 then 10 - 1 - 0.015::double else -1 - 0.015::double end, 6) as r_binary, round(least(coalesce(multiple, 0), 20) - 1 - 0.015::double, 6) as r_wide from preds")
+def _(s, d):
+    return ev.strategy_returns(predictions(s, d)).select("entity", *[F.round(c, 6).alias(c) for c in ("r_cap", "r_binary", "r_wide")])
+
+
+@query("j10_merge_pack", """, pk as (select entity, t0 + entity % 4 as t0, count(*) as n from pit group by entity, t0)
+  select c.entity, c.t0, case when abs(c.t0 - p.t0) <= 2 then n end as n, coalesce(abs(c.t0 - p.t0) <= 2, false) as matched from captures c left join pk p using (entity)""")
+def _(s, d):
+    pack = pit(s, d).groupBy("entity", "t0").agg(F.count("*").alias("n")).withColumn("t0", F.col("t0") + F.col("entity") % 4)
+    return ev.merge_pack(captured(s, d).select("entity", "t0"), pack, ["n"], 2)
+
+
+@query("j14_anti_done", "select entity, count(*) as n from trades where entity not in (select entity from captures) group by entity")
+def _(s, d):
+    return trades(s, d).join(captured(s, d).select("entity"), "entity", "left_anti").groupBy("entity").agg(F.count("*").alias("n"))
+
+
+@query("j15_overlay_update", ", o as (select entity, entity % 3 = 0 as flag, round(p0 * 2, 6) as v from captures) select c.entity, round(case when flag then v else p0 end, 6) as p0, round(p0, 6) as p0_base, flag as overlaid from captures c join o using (entity)")
+def _(s, d):
+    base = captured(s, d).select("entity", F.round("p0", 6).alias("p0"))
+    overlay = captured(s, d).select("entity", (F.col("entity") % 3 == 0).alias("flag"), F.round(F.col("p0") * 2, 6).alias("p0"))
+    return ev.overlay_update(base, overlay, ["p0"])
+
+
+@query("u3_key_set_equal", "select entity, 'left' as only_in from (select entity from trades except select entity from captures)")
+def _(s, d):
+    return ev.key_set_difference(trades(s, d), captured(s, d), "entity")
+
+
+@query("u5_distinct_buyers", "select distinct entity, t0, trader from pit where side = 'buy'")
+def _(s, d):
+    return pit(s, d).where("side = 'buy'").select("entity", "t0", "trader").distinct()
+
+
+@query("g1_feature_time_gate", "select entity, ts, t0, 'after_t0' as rule from (select t.entity, t.ts, c.t0 from trades t join captures c using (entity)) where ts > t0")
+def _(s, d):
+    return ev.future_reads(trades(s, d).join(captured(s, d), "entity").select("entity", "ts", "t0"), "ts")
+
+
+@query("t6_ks_drift", """, g as (select round(value, 1) as v, count(*) filter (ts < 1705276800) as a, count(*) filter (ts >= 1705276800) as b from ev group by 1)
+  select round(max(d), 6) as ks from (select abs(sum(a) over (order by v) / sum(a) over () - sum(b) over (order by v) / sum(b) over ()) as d from g)""")
+def _(s, d):
+    return ev.ks_drift(events(s, d).withColumn("value", F.round("value", 1)), F.col("ts") < 1705276800, "value")
+
+
+@query("a34_cycle_counters", "select ts - ts % 86400 as cycle, side, count(*) as n, count(distinct entity) as entities from ev group by all")
+def _(s, d):
+    return events(s, d).groupBy((F.col("ts") - F.col("ts") % DAY).alias("cycle"), "side", "entity").agg(F.count("*").alias("k")).groupBy("cycle", "side").agg(F.sum("k").alias("n"), F.count("*").alias("entities"))
