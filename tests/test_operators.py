@@ -1,6 +1,7 @@
 """Small cases of the point-in-time operators."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,7 +100,8 @@ def _norm(df):
     def one(v):
         if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
             return "NULL"
-        return f"{v:.6g}" if isinstance(v, float) else str(v)
+        number = isinstance(v, (int, float, np.integer, np.floating)) and not isinstance(v, (bool, np.bool_))
+        return f"{float(v):.10g}" if number else str(v)  # pandas turns whole numbers with nulls into floats
 
     return sorted(tuple(one(v) for v in row) for row in df[sorted(df.columns)].values.tolist())
 
