@@ -258,3 +258,15 @@ def test_pipeline(spark):
     assert 0 < len(out) < rows.count() and out["doc_id"].is_unique and (out["copies"] > 0).all()
     leaks = decontaminate.find_leaks(rows, spark.read.parquet(f"{sf}/benchmark.parquet")).toPandas()
     assert not set(out["doc_id"]) & set(leaks["doc_id"])
+
+
+def test_simhash_against_brute_force(spark):
+    import xxhash
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n)) for n in (5, 6, 40, 3000)]
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, rid long, t string")
+    for row in line_dedup._simhashes(rows, 5).collect():
+        words = texts[row.id].split()
+        pairs = [xxhash.xxh64_intdigest(b, xxhash.xxh64_intdigest(a, 42)) for a, b in zip(words, words[1:])]
+        assert row.sim == sum(1 << b for b in range(63) if 2 * sum(p >> b & 1 for p in pairs) > len(pairs))
