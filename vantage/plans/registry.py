@@ -473,3 +473,6 @@ def _(s, d):
 @query("a34_cycle_counters", "select ts - ts % 86400 as cycle, side, count(*) as n, count(distinct entity) as entities from ev group by all")
 def _(s, d):
     return events(s, d).groupBy((F.col("ts") - F.col("ts") % DAY).alias("cycle"), "side", "entity").agg(F.count("*").alias("k")).groupBy("cycle", "side").agg(F.sum("k").alias("n"), F.count("*").alias("entities"))
+
+
+from vantage.plans import derived  # noqa: E402, F401 - registers its queries
