@@ -157,6 +157,20 @@ def test_join_against_brute_force(spark):
         assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
+def test_join_by_links_of_the_last_round(spark):
+    """The first two texts link, but either has more than four partners that look nearer by their bitmaps and do not link."""
+    rnd = random.Random(1)
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    core = words("c", 356)
+    texts = [core + words("p", 44), core + words("q", 44)]
+    texts += [rnd.sample(core, 351) + rnd.sample(words("f", 160), 40) for _ in range(60)] + [core + rnd.sample(words("g", 200), 50) for _ in range(60)]
+    sets = [set(t) for t in texts]
+    assert [b for b in range(1, 122) if 100 * len(sets[0] & sets[b]) >= 80 * len(sets[0] | sets[b])] == [1]
+    assert [a for a in range(2, 122) if 100 * len(sets[a] & sets[1]) >= 80 * len(sets[a] | sets[1])] == []
+    got = {r.doc_id: r.component_id for r in jaccard_join.link_similar(docs(spark, [" ".join(t) for t in texts]).coalesce(1), n=1).collect()}
+    assert got[0] == got[1] == 0 and 0 not in {got[i] for i in range(2, 122)}
+
+
 def test_lines(spark):
     line = "the quick brown fox jumps over the lazy dog near the old river bank and then it sleeps until morning comes again"
     near = line.replace("sleeps", "sleepz")

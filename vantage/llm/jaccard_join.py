@@ -337,7 +337,7 @@ def link_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
         found = both.where(100 * overlap >= percent * (F.size("ta") + F.size("tb") - overlap)).select("a", "b")
         found = materialize(found, "links")
         links = found if links is None else links.unionByName(found)
-        if not partners or found.isEmpty():
+        if found.isEmpty():
             continue
         components = materialize(connected_components(links), "components")
         labels = members.select("ck").distinct().join(components, F.col("ck") == F.col("node"), "left").select("ck", F.coalesce("component", "ck").alias("label"))
