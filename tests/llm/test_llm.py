@@ -180,6 +180,20 @@ def test_lines(spark):
     assert got[2].n_removed in (0, 1) and got[3].text is None and got[4].text == ""
 
 
+def test_lines_with_changed_words_go(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    first = [[word() for _ in range(n)] for n in (12, 20, 20, 50, 50)]
+    again = [list(w) for w in first]
+    for w, changed in zip(again, (1, 1, 2, 1, 4), strict=True):
+        for i in range(changed):
+            w[3 + 5 * i] = word()
+    other = [[word() for _ in range(20)]]
+    texts = ["\n".join(" ".join(w) for w in lines) for lines in (first, again + other)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert got[0].n_removed == 0 and (got[1].n_removed, got[1].text) == (5, " ".join(other[0]))
+
+
 def test_quality_counts(spark):
     rnd = random.Random(4)
     texts = [" ".join(rnd.choice(["a", "b", "cé", "#d", "\n", "x y"]) for _ in range(rnd.randrange(0, 120))) for _ in range(40)] + [None, "a\na\n a\na", "a b c a b c a b"]
