@@ -81,6 +81,25 @@ def test_row_index_equals_global_order(spark):
     assert [r.entity for r in sorted(got, key=lambda r: r.idx)] == want
 
 
+def test_trailing_capacity_against_a_loop(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(i, T0 + rnd.choice((0, 20000)) + rnd.randrange(9000), float(rnd.randrange(9))) for i in range(400)]
+    rows += [(400, 3590, 1.0), (401, 3591, 2.0), (402, 3610, 3.0), (403, 3611, 4.0), (404, 7260, 1.0)]
+    events = spark.createDataFrame(rows, "event_id long, ts long, score double")
+    for cap_, top_k in ((7, 2), (2, 5), (0, 5), (-1, 1)):
+        taken, want = [], set()
+        for now in sorted({-(-r[1] // 60) * 60 for r in rows}):
+            passed = sorted((r for r in rows if -(-r[1] // 60) * 60 == now), key=lambda r: (-r[2], r[1], r[0]))
+            room = len(passed) if cap_ < 0 else max(0, cap_ - sum(t >= now - 3600 for t in taken))
+            accepted = passed[:room][:top_k]
+            taken += [now] * len(accepted)
+            want |= {r[0] for r in accepted}
+        got = ev.trailing_capacity(events, cap_, 3600, top_k, 60).collect()
+        assert len(got) == len(rows) and {r.event_id for r in got if r.accepted} == want
+
+
 def test_normalize_swaps_and_band(spark):
     rows = spark.createDataFrame([("m", "SOL", 10.0, 1.0, 100.0), ("SOL", "m", 1.0, 5.0, 90.0), ("m", "n", 1.0, 1.0, 9.0), ("m", "SOL", 0.0, 1.0, 5.0), ("m", "SOL", 1.0, 1.0, 0.5)], "bought string, sold string, bought_amount double, sold_amount double, usd double")
     assert sorted((r.side, r.tok, r.base) for r in cap.normalize_swaps(rows).collect()) == [("buy", 10.0, 1.0), ("sell", 5.0, 1.0)]

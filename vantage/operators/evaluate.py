@@ -90,12 +90,43 @@ def strategy_summary(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def rolling_capacity(events: DataFrame, cap: int, window: int) -> DataFrame:
-    """Per slot of time, the best `cap` events by score, then time, then key."""
+    """Top-k per slot: in each fixed slot of time, the best `cap` events by score, then time, then key."""
     slot = F.col("ts") - F.col("ts") % window
     w = Window.partitionBy("slot").orderBy(F.desc("score"), "ts", "event_id")
     return events.withColumn("slot", slot).withColumn("rank", F.row_number().over(w)).withColumn("accepted", F.col("rank") <= cap)
 
 
+def trailing_capacity(events: DataFrame, cap: int, window: int, top_k: int, every: int) -> DataFrame:
+    """Micro-batches of `every` seconds, decided at their end `now`: of each, the best events by score, then time,
+    then key are accepted, up to top_k and to cap less what was accepted since now - window, that time included.
+    A negative cap is none.
+
+    The counts carry over in a table of one row per batch, cut where no batch lies within the window before.
+    """
+    batch = Window.partitionBy("now").orderBy(F.desc("score"), "ts", "event_id")
+    ranked = events.withColumn("now", -F.floor(-F.col("ts") / every) * every).withColumn("rank", F.row_number().over(batch))
+    sizes = ranked.where("now is not null").groupBy("now").agg(F.least(F.count("*"), F.lit(max(0, top_k))).alias("n"))
+    time = Window.orderBy("now")
+    starts = F.coalesce(F.col("now") - F.lag("now").over(time) > window, F.lit(True)).cast("int")
+    runs = sizes.withColumn("_start", starts).withColumn("run", F.sum("_start").over(time)).select("run", "now", "n")
+
+    def carry(run):
+        run = run.sort_values("now", ignore_index=True)
+        now, taken = run["now"].tolist(), run["n"].tolist()
+        first = held = 0
+        for i in range(len(now)):
+            while now[first] < now[i] - window:
+                held -= taken[first]
+                first += 1
+            if cap >= 0:
+                taken[i] = min(taken[i], max(0, cap - held))
+            held += taken[i]
+        return run[["now"]].assign(room=taken)
+
+    room = runs.groupBy("run").applyInPandas(carry, "now long, room long")
+    return ranked.join(room, "now", "left").withColumn("accepted", F.coalesce(F.col("rank") <= F.col("room"), F.lit(False))).drop("room")
+
+
 def largest_remainder(strata: DataFrame, n: int) -> DataFrame:
     """(stratum, size) -> slots: n slots in proportion to sizes; remainders go to the largest fractions."""
     total = strata.agg(F.sum("size").alias("total"))

@@ -388,6 +388,11 @@ def _(s, d):
     return ev.rolling_capacity(events(s, d).select("event_id", "entity", "ts", F.round("value", 2).alias("score")), 5, 3600)
 
 
+@query("w14_trailing_capacity")
+def _(s, d):
+    return ev.trailing_capacity(events(s, d).select("event_id", "entity", "ts", F.round("value", 2).alias("score")), 5, 3600, 3, 60)
+
+
 @query("w16_largest_remainder_alloc", ", st as (select venue as stratum, count(*) as size from trades group by 1), t as (select *, floor(1001 * size / sum(size) over ())::bigint as base, (1001 * size) % sum(size) over () as frac, sum(size) over () as total from st) select stratum, size, base + (row_number() over (order by frac desc, stratum) <= 1001 - sum(base) over ())::bigint as slots from t")
 def _(s, d):
     return ev.largest_remainder(trades(s, d).groupBy(F.col("venue").alias("stratum")).agg(F.count("*").alias("size")), 1001)
