@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; set here only where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a folder of this machine; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -34,6 +40,14 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(table: DataFrame) -> None:
+    """Delete a table of materialize() that nothing will read again."""
+    files = table.inputFiles()
+    if files:
+        folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; null has none. Splitting at one plain character needs no regex engine."""
     flat = F.coalesce(text, F.lit(""))
@@ -47,12 +61,13 @@ def n_words_of(text: Column) -> Column:
     return F.when(text.isNull(), 0).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(a long, b long) undirected links -> (node, component): the smallest node id that links reach.
 
     Large-star and small-star rounds: each node hands its smallest neighbour to the others, so a round is two
     group-bys with partial aggregation and two joins, and no group is ever collected. A round is written to
-    the shared folder; rounds end when the links no longer change. Nodes without links do not appear.
+    the shared folder, and the one before it deleted; rounds end when the links no longer change, which they
+    always do, as every change lowers an end of a link. Nodes without links do not appear.
     """
 
     def star(links: DataFrame, large: bool) -> DataFrame:
@@ -70,11 +85,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     links = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "links")
     seen = state(links)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        links = materialize(star(star(links, True), False), "links")
-        now = state(links)
+    while seen[0]:
+        after = materialize(star(star(links, True), False), "links")
+        now = state(after)
+        release(links)
+        links = after
         if now == seen:
             break
         seen = now
