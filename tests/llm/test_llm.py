@@ -176,8 +176,8 @@ def test_lines(spark):
     near = line.replace("sleeps", "sleepz")
     texts = [line + "\nshort one", line.upper() + "!\nshort one", "other words that do not repeat anywhere in here\n" + near, None, ""]
     got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
-    assert got[0].text == texts[0] and got[1].text == "short one" and (got[1].n_lines, got[1].n_removed) == (2, 1)
-    assert got[2].n_removed in (0, 1) and got[3].text is None and got[4].text == ""
+    assert got[0].text == texts[0] and got[1].text == "" and (got[1].n_lines, got[1].n_removed) == (2, 2)
+    assert got[2].n_removed == 1 and got[3].text is None and got[4].text == ""
 
 
 def test_lines_with_changed_words_go(spark):
@@ -288,13 +288,147 @@ def test_pipeline(spark):
     assert not set(out["doc_id"]) & set(leaks["doc_id"])
 
 
-def test_simhash_against_brute_force(spark):
-    import xxhash
+def test_pipeline_stages_tell_rows_apart(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (1, base), (1, "unique " + " ".join(f"u{i}" for i in range(60))), (2, base + " tail"), (None, base + " end"), (3, None), (4, ""), (4, "")]
+    d = spark.createDataFrame([(i, t, "en", "a" if i else None, len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("_row", F.lit(1))
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    got = stages["near-duplicate join"](spark, d, str(tmp_path))
+    kept = [r.text for r in got.collect()]
+    assert sum(t is not None and t.startswith(base) for t in kept) == 1 and sum((t or "").startswith("unique") for t in kept) == 1
+    assert kept.count(None) == 1 and kept.count("") == 1
+    assert stages["benchmark decontamination"](spark, d, str(tmp_path)).count() == 6
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, str(tmp_path))
+        assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == corpus_pipeline.COLUMNS
+
+
+def _edit(a, b, most):
+    """Edit distance of two strings, or most + 1."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+def test_lines_recall_against_all_pairs(spark):
+    """Of the groups that edit similarity of all pairs makes, at least nine tenths of the lines to go do go."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9)))
+    lines = []
+    for _ in range(90):
+        first = [word() for _ in range(rnd.choice([5, 8, 11, 15, 30, 50]))]
+        lines.append(" ".join(first))
+        for _ in range(rnd.randrange(0, 4)):
+            w = list(first)
+            for _ in range(rnd.randrange(1, 1 + max(1, len(w) // 10))):
+                k = rnd.randrange(len(w))
+                w[k : k + 1] = rnd.choice([[], [word()], [w[k], word()], [w[k] + "s"]])
+            lines.append(" ".join(w))
+    rnd.shuffle(lines)
+    near = {i: i for i in range(len(lines))}
+
+    def find(x):
+        while near[x] != x:
+            x = near[x]
+        return x
 
-    rng = random.Random(3)
-    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n)) for n in (5, 6, 40, 3000)]
-    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, rid long, t string")
-    for row in line_dedup._simhashes(rows, 5).collect():
-        words = texts[row.id].split()
-        pairs = [xxhash.xxh64_intdigest(b, xxhash.xxh64_intdigest(a, 42)) for a, b in zip(words, words[1:])]
-        assert row.sim == sum(1 << b for b in range(63) if 2 * sum(p >> b & 1 for p in pairs) > len(pairs))
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        long = max(len(lines[a]), len(lines[b]))
+        if min(len(lines[a]), len(lines[b])) >= 0.8 * long and find(a) != find(b) and _edit(lines[a], lines[b], int(0.2 * long + 1e-9)) <= 0.2 * long + 1e-9:
+            a, b = find(a), find(b)
+            near[max(a, b)] = min(a, b)
+    want = {i for i in range(len(lines)) if find(i) != i}
+    got = {r.doc_id for r in line_dedup.dedup_lines(docs(spark, lines)).where("n_removed = 1").collect()}
+    assert len(want) > 50 and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_lines_hot_block_very_long_and_clashing_names(spark):
+    shared = " ".join(f"common{i}" for i in range(12))
+    rnd = random.Random(9)
+    far = [shared + " " + " ".join(f"x{rnd.randrange(10**6)}" for _ in range(rnd.choice([20, 40]))) for _ in range(60)]
+    long = " ".join(f"v{rnd.randrange(10**6)}" for _ in range(30_000))
+    d = docs(spark, [*far, long, long.replace(" v1", " z1", 3), "ok", "OK!"]).withColumn("row", F.lit("r")).withColumn("lines", F.lit("l")).withColumn("gone", F.lit("g")).withColumn("rid", F.lit("d"))
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(d).collect()}
+    assert [i for i in got if got[i].n_removed] == [61, 63] or sorted(i for i in got if got[i].n_removed) == [61, 63]
+    assert all((r.row, r.lines, r.gone, r.rid) == ("r", "l", "g", "d") for r in got.values())
+
+
+def test_host_verdicts_against_brute_force(spark):
+    rnd = random.Random(11)
+    rows = [(h, rnd.random() < p) for h, p, n in (("a", 0.6, 60), ("b", 0.1, 80), (None, 0.15, 50), ("d", 0.9, 2), ("e", 0.1, 200)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "host string, bad boolean")
+    got = {r.host: r for r in quality_rules.host_verdicts(df, "host", {"r": F.col("bad")}, ratio=1.5).collect()}
+    n, k = Counter(h for h, _ in rows), Counter(h for h, b in rows if b)
+    total = len(rows)
+    m = sum(k.values()) / total
+    v = sum(n[h] * (k[h] / n[h]) ** 2 for h in n) / total - m * m
+    between = max(v - m * (1 - m) / (len(n) / sum(1 / x for x in n.values())), 0)
+    strength = m * (1 - m) / between - 1
+    for h in n:
+        shrunk = (k[h] + m * strength) / (n[h] + strength)
+        assert got[h].shrunk == pytest.approx(shrunk) and got[h].bad == (shrunk > 1.5 * m)
+    same = quality_rules.host_verdicts(spark.createDataFrame([("a", True), ("b", True)], "host string, bad boolean"), "host", {"r": F.col("bad")})
+    assert not any(r.bad for r in same.collect())
+
+
+def test_host_verdict_drops_soft_failures_only(spark):
+    rnd = random.Random(12)
+    clean = lambda: " ".join(f"w{rnd.randrange(5000)}" for _ in range(80))
+    noisy = lambda: clean() + " # # # # # # # # # #"
+    rows = [(i, noisy() if i % 2 else clean(), "bad") for i in range(40)] + [(100 + i, noisy() if i == 0 else clean(), "good") for i in range(60)]
+    got = {r.doc_id: r for r in quality_rules.host_level_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].kept == (i % 2 == 0) and got[i].bad_rules == "symbols" for i in range(40))
+    assert all(got[100 + i].kept for i in range(60))
+
+
+def test_secrets_linked_against_brute_force(spark):
+    rnd, scope = random.Random(13), 40
+    pieces = ["AKIA" + "D" * 16, "token=abcdef123", "0123456789abcdef" * 2, "Zz9" * 12, "https://h.example/p", "https://h.example/cb?token=abcdef123456", "https://h.example/" + "Q7w" * 14]
+    texts = [" ".join(rnd.choice([*pieces, "word", "a much longer run of plain words here"]) for _ in range(rnd.randrange(1, 9))) for _ in range(60)]
+    got = {r.doc_id: r for r in secret_scan.link_credentials(docs(spark, texts), scope=scope).collect()}
+    patterns = {"assign": secret_scan.ASSIGN, "access": secret_scan.ACCESS, "hex": secret_scan.HEX, "opaque": secret_scan.OPAQUE, "endpoint": secret_scan.ENDPOINT}
+    for i, t in enumerate(texts):
+        found = {k: [(m.start(), m.end()) for m in re.finditer(p, t) if k != "assign" or len(m[2]) >= 6] for k, p in patterns.items()}
+        apart = lambda x, y: x[0] >= y[1] or x[1] <= y[0]
+        strong = [x for k in ("assign", "access", "hex") for x in found[k]]
+        for k in ("opaque", "endpoint"):
+            found[k] = [x for x in found[k] if all(apart(x, y) for y in strong)]
+        near = lambda x, *kinds: any(apart(x, y) and y[0] <= x[1] + scope and y[1] >= x[0] - scope for k in kinds for y in found[k])  # noqa: E731, B023
+        more = [("opaque", x) for x in found["opaque"] if near(x, "access") or (near(x, "endpoint") and near(x, "assign"))]
+        more += [("endpoint", x) for x in found["endpoint"] if near(x, "access") and near(x, "assign", "hex", "opaque")]
+        kinds = list(secret_scan.KINDS)
+        spans = sorted([(x[0], kinds.index(k), x[1]) for k in kinds[:3] for x in found[k]] + [(x[0], kinds.index(k), x[1]) for k, x in more])
+        assert got[i].spans == ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in spans), t
+    assert any(r.n_linked for r in got.values())
+
+
+def test_tool_arguments_are_checked_as_values(spark):
+    calls = [("a", '{"o":{"x":"s"},"x":3}'), ("b", '{"x":"s","o":{"k":[1]}}'), ("c", '{"x":null}'), ('d"q', '{"x":"a\\"b","n":1.5,"l":[],"b":true}'), ("e", '{"x":"s","a.b":1}')]
+    rows = spark.createDataFrame([(i, 1, k, "f", a, None) for k, (i, a) in enumerate(calls)], "call_id string, conv_id long, turn long, name string, arguments string, depends_on array<string>")
+    schemas = spark.createDataFrame([("f", "x", "string", True), ("f", "o", "object", False), ("f", "n", "number", False), ("f", "l", "array", False), ("f", "b", "boolean", False), ("f", "a.b", "mystery", False)], "name string, param string, type string, required boolean")
+    got = {r.call_id: r for r in tool_calls.link_calls(rows, spark.createDataFrame([], "call_id string, content string"), schemas).collect()}
+    assert {k: r.errors for k, r in got.items()} == {"a": "type:x", "b": "", "c": "type:x", 'd"q': "", "e": "type:a.b"}
+    import json
+
+    assert json.loads(got['d"q'].canonical) == {"arguments": {"x": 'a"b', "n": 1.5, "l": [], "b": True}, "id": 'd"q', "name": "f"}
+
+
+def test_leaks_short_items_names_and_odd_slots(spark):
+    items = [(1, "solve this quickly please"), (2, "Поезд из Москва едет быстро до станции и стоит там долго"), (3, "A letter from Anna Maria reached the small town by the sea after nine long days of rain")]
+    texts = [(1, "so now solve this quickly please and go on"), (2, items[1][1].replace("Москва", "Казань")), (3, items[2][1].replace("Anna Maria", "Bob")), (4, "solve that quickly please")]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3)} and got[2, 2].reparameterised and got[3, 3].reparameterised
+    words = [f"word{i}" for i in range(60)]
+    item = " ".join([*words[:10], "Paris", *words[10:50], "Paris", *words[50:]])
+    text = item.replace("Paris word50", "Lyon word50")
+    one = decontaminate.find_leaks(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert len(one) == 1 and 0.8 <= one[0].coverage < 1

@@ -42,41 +42,60 @@ def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.drop("_w", "_l", "_h", "_any", "_s", "_p")
 
 
-def host_verdicts(rows: DataFrame, host: str, failed: str, max_rate: float = 0.5, tolerance: float = 1e-9) -> DataFrame:
-    """(host, failed boolean) -> one row per host: n_docs, n_failed, shrunk_rate, host_bad.
+#: Rules whose failures are counted by host, with the condition on a document's counts.
+RULES = ("short", "repeat", "symbols", "dup_lines")
 
-    The prior is a beta whose mean is the pooled failure rate and whose strength comes from the moments of
-    the hosts' rates; each host's rate is shrunk to (failed + alpha) / (docs + alpha + beta). Null is a host
-    of its own. Without hosts there are no rows; when rates do not vary the prior is as strong as the data.
+
+def host_verdicts(rows: DataFrame, host: str, rules: dict[str, Column], ratio: float = 1.1, tolerance: float = 1e-9) -> DataFrame:
+    """One row per host and rule: host, rule, n_docs, n_failed, pooled, shrunk, bad.
+
+    Failures are counted by host and rule. Per rule the prior is a beta whose mean is the pooled failure rate
+    and whose strength comes from the moments of the hosts' rates; each host's rate is shrunk to
+    (failed + alpha) / (docs + alpha + beta), and the host is bad when that exceeds `ratio` times the pooled
+    rate. Null is a host of its own. Without hosts there are no rows; when rates vary no more than chance lets
+    them, the prior is as strong as all documents together.
     """
-    hosts = rows.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
+    hosts = rows.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), *[F.count_if(c).alias(r) for r, c in rules.items()])
+    hosts = hosts.unpivot(["host", "n_docs"], list(rules), "rule", "n_failed")
     rate = F.col("n_failed") / F.col("n_docs")
-    one = hosts.agg(
-        (F.sum("n_failed") / F.sum("n_docs")).alias("_m"),
+    prior = hosts.groupBy("rule").agg(  # one row per rule
+        (F.sum("n_failed") / F.sum("n_docs")).alias("pooled"),
         (F.sum(F.col("n_docs") * rate * rate) / F.sum("n_docs") - F.pow(F.sum("n_failed") / F.sum("n_docs"), 2)).alias("_v"),
         (F.count("*") / F.sum(1 / F.col("n_docs"))).alias("_size"),
         F.sum("n_docs").alias("_all"),
     )
-    m, noise = F.col("_m"), F.col("_m") * (1 - F.col("_m"))
+    noise = F.col("pooled") * (1 - F.col("pooled"))
     between = F.greatest(F.col("_v") - noise / F.col("_size"), F.lit(0.0))
-    one = one.select("_m", F.when(between > tolerance, F.greatest(noise / between - 1, F.lit(tolerance))).otherwise(F.col("_all").cast("double")).alias("_k"))
-    out = hosts.crossJoin(F.broadcast(one))  # one row
-    out = out.withColumn("shrunk_rate", (F.col("n_failed") + m * F.col("_k")) / (F.col("n_docs") + F.col("_k")))
-    return out.select("host", "n_docs", "n_failed", "shrunk_rate", (F.col("shrunk_rate") > max_rate).alias("host_bad"))
+    prior = prior.select("rule", "pooled", F.when(between > tolerance, F.greatest(noise / between - 1, F.lit(tolerance))).otherwise(F.col("_all").cast("double")).alias("_k"))
+    out = hosts.join(F.broadcast(prior), "rule")
+    out = out.withColumn("shrunk", (F.col("n_failed") + F.col("pooled") * F.col("_k")) / (F.col("n_docs") + F.col("_k")))
+    return out.select("host", "rule", "n_docs", "n_failed", "pooled", "shrunk", (F.col("shrunk") > ratio * F.col("pooled")).alias("bad"))
 
 
-def host_level_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 50, max_repeat: int = 50, max_rate: float = 0.5, max_symbols: float = 0.1, max_dup_lines: float = 0.3) -> DataFrame:
-    """One row per input row: key, counts of document_counts, base_failed, host, shrunk_rate, host_bad, kept.
+def host_level_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 50, max_repeat: int = 50, ratio: float = 1.1, max_symbols: float = 0.1, max_dup_lines: float = 0.03) -> DataFrame:
+    """One row per input row: key, counts of document_counts, base_failed, host, bad_rules, host_bad, kept.
 
     base_failed: fewer than min_words words, or more than max_repeat percent of the words lie in repeated
-    windows. kept: not base_failed, and, on hosts whose shrunk failure rate exceeds max_rate, the stricter
-    rules hold too (symbols per word, repeated lines per word of text). Repeated rows each get their row;
-    null text fails for want of words; an empty table gives no rows; other columns are not read.
+    windows. On hosts that are bad by a rule, documents also go that fail it in its soft form: more than half
+    of max_repeat, more than max_symbols symbols per word, or more than max_dup_lines repeated lines per word;
+    short documents have no soft form. bad_rules are the rules the host is bad by, comma-joined. Documents
+    that fail nothing stay on every host. Repeated rows each get their row; null text fails for want of words;
+    an empty table gives no rows; other columns are not read, so their names cannot clash.
     """
     rows = document_counts(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host"))).drop("text")
-    rows = rows.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")))
+    n = F.col("n_words")
+    soft = {
+        "repeat": 200 * F.col("n_repeat_words") > max_repeat * n,
+        "symbols": F.col("n_symbols") > max_symbols * n,
+        "dup_lines": F.col("n_dup_lines") > max_dup_lines * n,
+    }
+    rows = rows.withColumn("base_failed", (n < min_words) | (100 * F.col("n_repeat_words") > max_repeat * n))
     rows = materialize(rows, "quality")
-    verdicts = host_verdicts(rows, "host", "base_failed", max_rate).select(F.col("host").alias("_host"), "shrunk_rate", "host_bad")
-    strict = (F.col("n_symbols") > max_symbols * F.col("n_words")) | (F.col("n_dup_lines") * 10 > max_dup_lines * F.col("n_words"))
-    out = rows.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
-    return out.withColumn("kept", ~F.col("base_failed") & ~(F.coalesce("host_bad", F.lit(False)) & strict)).withColumnRenamed("doc_id", key)
+    verdicts = host_verdicts(rows, "host", {"short": n < min_words, **soft}, ratio).where("bad")
+    verdicts = verdicts.groupBy(F.col("host").alias("_host")).agg(F.array_sort(F.collect_set("rule")).alias("bad"))  # RULES at most
+    out = rows.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left").withColumn("bad", F.coalesce("bad", F.array().cast("array<string>")))
+    dropped = F.lit(False)
+    for rule, fails in soft.items():
+        dropped = dropped | (fails & F.array_contains("bad", rule))
+    out = out.withColumn("kept", ~F.col("base_failed") & ~dropped).withColumn("host_bad", F.size("bad") > 0).withColumn("bad_rules", F.array_join("bad", ","))
+    return out.drop("_host", "bad").withColumnRenamed("doc_id", key)

@@ -51,7 +51,7 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = calls_of(load(spark, sf_dir, "conversations"))
-    schemas = spark.createDataFrame(TOOLS, "name string, param string, type string, required boolean")
+    schemas = spark.sql("select * from values " + ", ".join(f"('{n}', '{p}', '{t}', {str(r).lower()})" for n, p, t, r in TOOLS) + " as t(name, param, type, required)")
     out = tool_calls.link_calls(calls, results, schemas)
     return out.select("call_id", "conv_id", "position", "level", "n_results", "errors", "valid", "canonical")
 
@@ -125,7 +125,7 @@ from p left join n on p.page_id = n.page_id and p.url = n.url
 
 def op7_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.host_level_rules(load(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_bad")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_bad", "bad_rules")
 
 
 def op8_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,9 +53,12 @@ def link_credentials(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     Strong parts (assignments with a value of min_value characters, access identifiers, long hex runs) always
     count. Weak parts are interval-joined with the strong ones of the same text: an opaque string is reported
     when an access identifier, or an endpoint and an assignment, lie within scope code points of it; an
-    endpoint when both an access identifier and a secret do. The join runs on (text, block of scope
-    characters) as semi-joins, so no pairs are emitted. Null text counts as empty; repeated rows get equal
-    results; a text without parts has spans '' and the digest of the empty string.
+    endpoint when both an access identifier and a secret do. Weak parts never overlap strong ones, and what
+    overlaps a candidate does not complete it. The join runs on (text, block of scope characters) as
+    semi-joins, so no pairs are emitted. Null text counts as empty; repeated rows get equal results; a text
+    without parts has spans '' and the digest of the empty string; an empty table gives no rows; other columns
+    are not read. Whole texts are scanned at any length; the work within a text grows with its length and
+    with the square of its own matches.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("text", t)
@@ -72,7 +75,7 @@ def link_credentials(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     rows = rows.select("id", "h", *[slim(F.col(k)).alias(k) for k in KINDS])
     told = F.concat("assign", "access", "hex")
     free = lambda kind: F.filter(kind, lambda x: ~F.exists(told, lambda y: (y["s"] < x["e"]) & (y["e"] > x["s"])))
-    rows = materialize(rows.withColumn("opaque", free("opaque")), "spans")  # what is told already is not a weak part
+    rows = materialize(rows.withColumn("opaque", free("opaque")).withColumn("endpoint", free("endpoint")), "spans")  # what is told already is not a weak part
 
     part = lambda *kinds: rows.where(F.size(F.concat(*kinds)) > 0).select("id", "h", F.explode(F.concat(*kinds)).alias("x")).select("id", "h", "x.*").distinct()
     block = lambda a, b: F.explode(F.sequence(F.floor(a / scope), F.floor(b / scope)))
@@ -82,7 +85,7 @@ def link_credentials(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     def near(left: DataFrame, *kinds: str) -> DataFrame:
         c = part(*kinds).select(F.col("id").alias("ci"), F.col("h").alias("ch"), F.col("s").alias("cs"), F.col("e").alias("ce"), F.col("k").alias("ck")).withColumn("cb", block(F.greatest(F.col("cs") - scope, F.lit(0)), F.col("ce") + scope))
         on = left["id"].eqNullSafe(c["ci"]) & (left["h"] == c["ch"]) & (left["block"] == c["cb"]) & (c["cs"] <= left["e"] + scope) & (c["ce"] >= left["s"] - scope)
-        return left.join(c, on & ((c["ck"] != left["k"]) | (c["cs"] != left["s"])), "left_semi")
+        return left.join(c, on & ((c["cs"] >= left["e"]) | (c["ce"] <= left["s"])), "left_semi")  # no part completes itself
 
     opaque, endpoint = weak.where(F.col("k") == KINDS.index("opaque")), weak.where(F.col("k") == KINDS.index("endpoint"))
     told = near(opaque, "access").unionByName(near(near(opaque, "endpoint"), "assign")).unionByName(near(near(endpoint, "access"), "assign", "hex", "opaque"))

@@ -50,7 +50,7 @@ def _write(archive_bytes: int, chunk_bytes: int):
     """Records -> chunks of archives, each one gzip stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k, seq, raw, held, stream = TaskContext.get().partitionId(), 0, 0, 0, [], None
+        part, k, seq, raw, held, size, stream = TaskContext.get().partitionId(), 0, 0, 0, [], 0, None
         name = lambda: f"archive-{part:06d}-{k:04d}.warc.gz"
 
         def out(last: bool) -> pa.RecordBatch:
@@ -63,13 +63,13 @@ def _write(archive_bytes: int, chunk_bytes: int):
                 stream = stream or zlib.compressobj(6, zlib.DEFLATED, 31)
                 data = record_bytes(*(c[i].as_py() for c in columns))
                 held.append(stream.compress(data))
-                raw += len(data)
+                raw, size = raw + len(data), size + len(held[-1])
                 if raw >= archive_bytes:
                     yield out(True)
-                    k, seq, raw, held, stream = k + 1, 0, 0, [], None
-                elif sum(map(len, held)) >= chunk_bytes:
+                    k, seq, raw, held, size, stream = k + 1, 0, 0, [], 0, None
+                elif size >= chunk_bytes:
                     yield out(False)
-                    seq, held = seq + 1, []
+                    seq, held, size = seq + 1, [], 0
         if stream:
             yield out(True)
 
