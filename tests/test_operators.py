@@ -9,7 +9,10 @@ import __spark_entry__
 from vantage.operators import capture as cap
 from vantage.operators import evaluate as ev
 from vantage.operators import features as ft
+from vantage.operators import gates as gt
 from vantage.operators import labels as lb
+from vantage.operators import normalize as nz
+from vantage.operators import scores as sc
 from vantage.plans import registry
 
 T0 = 1_000_000
@@ -72,6 +75,24 @@ def test_embargo(spark):
     rows = spark.createDataFrame([(i, t * day) for i, t in enumerate((1, 5, 70, 75, 141))], "entity int, t0 long")
     got = {r.entity: r.part for r in ev.embargo_split(rows, 10 * day, 80 * day, 150 * day, 30 * day).collect()}
     assert got == {0: "train", 1: "train", 2: "val", 3: "val", 4: "test"}
+    purged = {r.entity: r.part for r in ev.embargo_split(rows, 10 * day, 80 * day, 150 * day, 30 * day, 66 * day).collect()}
+    assert purged == {0: "train", 2: "val", 3: "val", 4: "test"}
+    assert {r.part for r in ev.embargo_split(rows, 10 * day, 80 * day, 106 * day, 30 * day).collect()} == {"train", "val"}
+    assert ev.embargo_split(rows, 10 * day, 20 * day, 150 * day, 30 * day).count() == 0
+
+
+def test_label_violations(spark):
+    prices = spark.createDataFrame([("m", T0, 2.0), ("m", T0 - 1, 2.0), ("m", T0 + 1, 0.0), ("m", T0 + 1, None), ("m", None, 1.0), ("m", T0 + 2, 3.0)], "entity string, ts long, price double")
+    assert sorted(r.rule for r in lb.label_violations(captures(spark), prices).collect()) == ["missing_time", "not_after_t0", "not_after_t0", "price", "price"]
+    assert lb.peak_hit(captures(spark), prices, 3.0).first().hit and not lb.peak_hit(captures(spark), prices.limit(0), 3.0).first().hit
+
+
+def test_returns_without_a_multiple(spark):
+    rows = spark.createDataFrame([(1, 1, "f", None, 0), (2, 2, "f", 12.0, 1), (3, 3, "f", 0.5, 0)], "entity int, t0 long, fold string, multiple double, y int")
+    got = {r.entity: r for r in ev.strategy_returns(rows, 0.0).collect()}
+    assert got[1].r_cap is None and got[1].r_binary == -1.0 and got[2].r_cap == 9.0 and got[2].r_wide == 11.0
+    one = ev.strategy_summary(ev.strategy_returns(rows, 0.0), ["fold"]).first()
+    assert (one.n, one.n_returns, one.cum_r, one.drawdown) == (3, 2, 8.5, -0.5)
 
 
 def test_row_index_equals_global_order(spark):
@@ -133,6 +154,43 @@ def duck():
     return con
 
 
+def test_normalised_payloads(spark):
+    """Three rows, one after t0: two trades, 42.5 bought in the last 60 s."""
+    row = lambda at, side, usd: f'{{"blockTimeMs": {at * 1000}, "side": "{side}", "valueUsd": "{usd}", "valueNative": "0.5", "trader": {{"address": "W"}}, "baseAmount": {{"raw": "2500000", "decimals": 6}}}}'
+    t0 = 1_800_000_000
+    rows = [("m", t0, row(t0 - 30, "buy", "42.5")), ("m", t0, row(t0 - 90, "SELL", "7")), ("m", t0, row(t0 + 1, "buy", "999")), ("m", t0, '{"timestamp": "2027-01-15T08:00:00", "is_buy": true, "sol_amount": 2}'), ("m", t0, "nonsense"), ("m", t0, None)]
+    got = sorted((r.ts - t0, r.side, r.usd, r.tok, r.base, r.trader) for r in nz.frontend_trades(spark.createDataFrame(rows, "entity string, t0 long, payload string"), 100.0).collect())
+    assert got == [(-90, "sell", 7.0, 2.5, 0.5, "W"), (-30, "buy", 42.5, 2.5, 0.5, "W"), (0, "buy", 200.0, 0.0, 2.0, None)]
+
+
+def test_capture_schema_rules(spark):
+    ddl = "capture_id string, complete boolean, mc0 double, definition_version string, sol_usd_source string, capture_quality string, t0 long"
+    rows = [("ok", False, 9.0, "v1", "pyth", "HIGH", 1), ("a", True, 9.0, "v1", "pyth", "HIGH", 1), ("b", False, 99.0, "v1", "pyth", "MED", 1), ("c", False, 9.0, "v1", "other", "HIGH", None), ("d", False, 9.0, "v1", None, "MED", 1), ("e", False, 9.0, "v1", "pyth", "MED", 1), ("e", False, 9.0, "v0", "pyth", "MED", 1)]
+    got = sorted((r.capture_id, r.rule) for r in gt.capture_schema(spark.createDataFrame(rows, ddl), 8.0, 20.0, "v1").collect())
+    assert got == [("a", "complete"), ("b", "band"), ("c", "high_source"), ("c", "t0"), ("d", "source"), ("e", "duplicate"), ("e", "version")]
+
+
+def test_column_gates():
+    assert gt.leak_columns(["buy", "hit_10x", "peak"], ["peak"]) == ["hit_10x", "peak"]
+    assert gt.recipe_difference(["a", "b", "c"], ["b", "a", "x"]) == {"missing": ["c"], "extra": ["x"], "moved": ["b", "a"]}
+
+
+def test_samples_keep_what_they_must(spark):
+    rows = spark.range(100).select(F.col("id").alias("entity"), (F.col("id") * 86400).alias("t0"), (F.col("id") % 4 == 0).cast("int").alias("y"))
+    got = {r.entity for r in sc.forced_sample(rows, F.col("entity") < 5, F.col("entity") % 2 == 0, 20, "entity").collect()}
+    assert len(got) == 20 and set(range(5)) <= got and all(e < 5 or e % 2 == 0 for e in got)
+    assert sc.forced_sample(rows, F.col("entity") < 30, F.lit(False), 20, "entity").count() == 30
+    capped = sc.week_cap(rows, "y", 30, "entity").groupBy("y").count().collect()
+    assert {r.y: r["count"] for r in capped}[1] == 25 and {r.y: r["count"] for r in capped}[0] <= 30
+
+
+def test_lite_score_needs_the_bought_volume(spark):
+    names = ("buy_vol_usd_60s", "sniper_vol_share_5s", "top1_buyer_vol_share", "top5_buyer_vol_share", "age_s", "progress_curve_proxy", "net_sol_curve", "creator_prior_mints_7d", "creator_prior_mints_30d")
+    rows = spark.createDataFrame([(None,) * 9, (100.0,) + (None,) * 8], ", ".join(f"{n} double" for n in names))
+    got = sorted((r.score is None, r.score) for r in sc.lite_score(rows, {"buy_vol_usd_60s": 1.0}, 0.0).collect())
+    assert got[0][1] == pytest.approx(1 / (1 + np.exp(-np.log1p(100) / 10))) and got[1] == (True, None)
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_against_sql(spark, duck, name):
     got, want = registry.queries()[name](spark, SF).toPandas(), duck.execute(registry.oracle_sql()[name]).df()

@@ -78,21 +78,27 @@ def minute_lookup(rows: DataFrame, quotes: DataFrame, step: int = 86400) -> Data
     return rows.withColumn("_slot", F.col("ts") - F.col("ts") % step).join(q, "_slot", "left").drop("_slot")
 
 
-def detect_captures(trades: DataFrame, created: DataFrame, lo: float, hi: float, age: int, trail: int) -> DataFrame:
-    """First in-band trade with an age of `age` or more and another trade in the `trail` seconds before it.
+def detect_captures(trades: DataFrame, created: DataFrame, lo: float, hi: float, age: int, late: int = 3600, source: Column | None = None, graduated: DataFrame | None = None) -> DataFrame:
+    """(entity, t0, p0, quality, reason): the first in-band trade that is `age` old, since the create or the first trade.
 
-    Entities without one get their first in-band trade with quality LOW and a reason; those never in the band
-    are REJECT. The quality is HIGH with 3 or more trailing trades, else MED.
+    The quality follows the source of the quote, HIGH for pyth and pyth_asof and else MED, and is LOW when the
+    first trade comes more than `late` after the create. Entities without such a trade get their first in-band
+    one with LOW and a reason. Those first seen above the band, graduated by then, or never in the band are REJECT.
     """
     rows = implied_mc(trades).join(created.groupBy("entity").agg(F.min("created").alias("created")), "entity", "left")
-    w = Window.partitionBy("entity").orderBy("ts").rangeBetween(-trail, 0)
-    rows = rows.withColumn("n_trail", F.count("*").over(w) - 1).withColumn("banded", in_band(F.col("price"), lo, hi))
-    fit = F.col("banded") & (F.col("n_trail") >= 1) & F.coalesce(F.col("ts") - F.col("created") >= age, F.lit(False))
-    pick = F.struct("ts", "id", "price", "n_trail")
-    got = rows.groupBy("entity").agg(F.min(F.when(fit, pick)).alias("fit"), F.min(F.when(F.col("banded"), pick)).alias("any"), F.min("created").alias("created"))
+    rows = rows.withColumn("first", F.min("ts").over(Window.partitionBy("entity"))).withColumn("source", F.lit(None).cast("string") if source is None else source)
+    old = F.coalesce(F.col("ts") - F.col("created") >= age, F.lit(False)) | (F.col("ts") - F.col("first") >= age)
+    banded = in_band(F.col("price"), lo, hi)
+    pick = F.struct("ts", "id", "price", "source")
+    got = rows.groupBy("entity").agg(F.min(F.when(banded & old, pick)).alias("fit"), F.min(F.when(banded, pick)).alias("any"), F.min("created").alias("created"), F.min("first").alias("first"), F.min(F.when(F.col("price").isNotNull(), F.struct("ts", "id", "price"))).alias("seen"))
+    if graduated is not None:
+        got = got.join(graduated.select("entity", "graduated"), "entity", "left")
     best = F.coalesce("fit", "any")
-    quality = F.when(F.col("any").isNull(), "REJECT").when(F.col("fit").isNull(), "LOW").when(F.col("fit.n_trail") >= 3, "HIGH").otherwise("MED")
-    reason = F.when(F.col("any").isNull(), "never_in_band").when(F.col("fit").isNotNull(), "").when(F.col("created").isNull() | (F.col("any.ts") - F.col("created") < age), "too_young").otherwise("no_trailing_trade")
+    gone = F.coalesce(F.col("graduated") <= best["ts"], F.lit(False)) if graduated is not None else F.lit(False)
+    graded = F.when(F.coalesce(F.col("first") - F.col("created") > late, F.lit(False)), "LOW").when(F.lower(best["source"]).isin("pyth", "pyth_asof"), "HIGH").otherwise("MED")
+    reject = F.when(F.col("any").isNull(), "never_in_band").when(F.col("seen.price") > hi, "first_seen_above_band").when(gone, "graduated")
+    quality = F.when(reject.isNotNull(), "REJECT").when(F.col("fit").isNull(), "LOW").otherwise(graded)
+    reason = F.coalesce(reject, F.when(F.col("fit").isNull(), "too_young").otherwise(""))
     return got.select("entity", best["ts"].alias("t0"), best["price"].alias("p0"), quality.alias("quality"), reason.alias("reason"))
 
 

@@ -31,18 +31,18 @@ def complete(columns: list[str], allowed: list[str], excused: Column) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() | (excused if c in allowed else F.lit(False)) for c in columns])
 
 
-def robust_distance(rows: DataFrame, columns: list[str], missing: float = 3.0) -> Column:
-    """Mean of |x - median| / (IQR / 1.35) over columns; null values and constant columns count as missing.
+def robust_distance(rows: DataFrame, columns: list[str], missing: float = 3.0) -> DataFrame:
+    """Adds distance: mean of |x - median| / (IQR / 1.35) over columns; null values and constant columns count as missing.
 
-    The statistics are one row, taken in one pass over all rows.
+    The statistics are one row, joined to all rows; nothing runs while the plan is built.
     """
-    stats = rows.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
-    terms = []
-    for c in columns:
-        q1, q2, q3 = stats[c] or (0.0, 0.0, 0.0)
-        scale = (q3 - q1) / 1.35
-        terms.append(F.coalesce(F.abs(F.col(c) - F.lit(q2)) / F.lit(scale), F.lit(missing)) if scale > 0 else F.lit(missing))
-    return reduce(lambda a, b: a + b, terms) / len(columns)
+    stats = rows.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q{i}") for i, c in enumerate(columns)])
+    out, terms = rows.crossJoin(F.broadcast(stats)), []
+    for i, c in enumerate(columns):
+        q = F.col(f"_q{i}")
+        scale = (q[2] - q[0]) / 1.35
+        terms.append(F.when(scale > 0, F.coalesce(F.abs(F.col(c) - q[1]) / scale, F.lit(missing))).otherwise(F.lit(missing)))
+    return out.withColumn("distance", reduce(lambda a, b: a + b, terms) / len(columns)).drop(*[f"_q{i}" for i in range(len(columns))])
 
 
 def merge_fill(base: DataFrame, side: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -95,9 +95,9 @@ def replay_scan(priced: DataFrame, band: Column, hit: Column) -> DataFrame:
 
 
 def cost_sensitivity(rows: DataFrame, costs: list[float], cap: float = 10.0) -> DataFrame:
-    """n and mean return per cost: one pass over rows, as costs only shift the capped multiples."""
-    gross = F.least(F.coalesce("multiple", F.lit(0.0)), F.lit(cap)) - 1
-    one = rows.agg(F.count("*").alias("n"), F.avg(gross).alias("gross"))
+    """n and mean return per cost over rows with a multiple: one pass, as costs only shift the capped multiples."""
+    gross = F.when(F.col("multiple").isNotNull(), F.least(F.col("multiple"), F.lit(cap)) - 1)
+    one = rows.agg(F.count("multiple").alias("n"), F.avg(gross).alias("gross"))
     return one.select("n", "gross", F.explode(F.array(*[F.lit(c) for c in costs])).alias("cost")).select("cost", "n", (F.col("gross") - F.col("cost")).alias("mean_r"))
 
 
@@ -114,3 +114,8 @@ def union_first(tables: list[DataFrame], key: str) -> DataFrame:
     names = [c for c in rows.columns if c not in (key, "_at")]
     best = rows.groupBy(key).agg(F.min_by(F.struct(*names), "_at").alias("_row"))
     return best.select(key, "_row.*")
+
+
+def union_samples(samples: Mapping[str, DataFrame]) -> DataFrame:
+    """All rows of the samples, with the name of the sample; a row that stands in several is kept in each."""
+    return reduce(lambda x, y: x.unionByName(y), [df.withColumn("sample", F.lit(name)) for name, df in samples.items()])

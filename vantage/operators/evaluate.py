@@ -33,11 +33,18 @@ def expanding_folds(df: DataFrame, n_folds: int = 5, start: float = 0.4) -> Data
     return rows.select("entity", "t0", "fold", F.when(F.col("idx") >= F.col("lo"), "test").otherwise("train").alias("part"))
 
 
-def embargo_split(df: DataFrame, train_end: int, val_end: int, test_end: int, embargo: int) -> DataFrame:
-    """train up to train_end whose outcome is known before validation starts; val and test after an embargo."""
+def embargo_split(df: DataFrame, train_end: int, val_end: int, test_end: int, embargo: int, horizon: int | None = None) -> DataFrame:
+    """train: t0 up to train_end whose outcome, t0 + horizon, is known when validation starts; val: after train_end +
+    embargo, up to val_end; test: after the last row of val + embargo, up to test_end. The horizon is the embargo
+    unless told. Without rows in val there is no split, and no rows."""
     v = F.col("t0")
-    part = F.when((v <= train_end), "train").when((v > train_end + embargo) & (v <= val_end), "val").when((v > val_end + embargo) & (v <= test_end), "test")
-    return df.withColumn("part", part).where("part is not null")
+    is_val = (v > train_end + embargo) & (v <= val_end)
+    ends = df.where(is_val).agg(F.min("t0").alias("_lo"), F.max("t0").alias("_hi"))  # one row
+    rows = df.crossJoin(F.broadcast(ends))
+    train = (v <= train_end) & (v + (embargo if horizon is None else horizon) <= F.col("_lo"))
+    test = (v > F.col("_hi") + embargo) & (v <= test_end)
+    part = F.when(train, "train").when(is_val, "val").when(test, "test")
+    return rows.withColumn("part", part).where("part is not null").drop("_lo", "_hi")
 
 
 def rank_metrics(preds: DataFrame, by: list[str]) -> DataFrame:
@@ -76,17 +83,27 @@ def quantile_thresholds(preds: DataFrame, fraction: float) -> DataFrame:
 
 
 def strategy_returns(rows: DataFrame, cost: float = 0.015, cap: float = 10.0) -> DataFrame:
-    """Returns after cost: take profit at the cap, binary, and with twice the cap; a null multiple loses all."""
-    m = F.coalesce(F.col("multiple"), F.lit(0.0))
-    return rows.withColumn("r_cap", F.least(m, F.lit(cap)) - 1 - cost).withColumn("r_binary", F.when(m >= cap, cap - 1 - cost).otherwise(-1 - cost)).withColumn("r_wide", F.least(m, F.lit(2 * cap)) - 1 - cost)
+    """Returns after cost: take profit at the cap, binary by the hit y, and with twice the cap. Without a multiple
+    there is no capped return; without y no binary one."""
+    m = F.col("multiple")
+    capped = lambda c: F.when(m.isNotNull(), F.least(m, F.lit(c)) - 1 - cost)
+    binary = F.when(F.col("y") == 1, cap - 1 - cost).when(F.col("y").isNotNull(), -1 - cost)
+    return rows.withColumn("r_cap", capped(cap)).withColumn("r_binary", binary).withColumn("r_wide", capped(2 * cap))
 
 
-def strategy_summary(rows: DataFrame, by: list[str]) -> DataFrame:
-    """n, hit rate, cumulative and mean return, and the deepest fall of the cumulative return below its peak."""
+def cum_drawdown(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Adds cum, the running sum of a value in time order, and fall, its distance below its running peak; null adds nothing."""
     w = Window.partitionBy(*by).orderBy("t0", "entity").rowsBetween(Window.unboundedPreceding, 0)
-    c = rows.withColumn("r", F.coalesce("r_cap", F.lit(0.0)).cast("decimal(18,6)")).withColumn("cum", F.sum("r").over(w))
-    c = c.withColumn("fall", F.col("cum") - F.max("cum").over(w))
-    return c.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("hit_rate"), F.round(F.sum("r").cast("double"), 4).alias("cum_r"), F.round((F.sum("r") / F.count("*")).cast("double"), 5).alias("mean_r"), F.round(F.min("fall").cast("double"), 4).alias("drawdown"))
+    rows = rows.withColumn("cum", F.coalesce(F.sum(F.col(value).cast("decimal(18,6)")).over(w), F.lit(0).cast("decimal(28,6)")))
+    return rows.withColumn("fall", F.col("cum") - F.max("cum").over(w))
+
+
+def strategy_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """n, hit rate, and of rows with a return: their number, cumulative and mean return, and the deepest fall of the
+    cumulative return below its peak."""
+    r = F.col("r_cap").cast("decimal(18,6)")
+    c = cum_drawdown(rows, by, "r_cap")
+    return c.groupBy(*by).agg(F.count("*").alias("n"), F.count("r_cap").alias("n_returns"), F.round(F.avg("y"), 6).alias("hit_rate"), F.round(F.sum(r).cast("double"), 4).alias("cum_r"), F.round((F.sum(r) / F.count("r_cap")).cast("double"), 5).alias("mean_r"), F.round(F.min("fall").cast("double"), 4).alias("drawdown"))
 
 
 def rolling_capacity(events: DataFrame, cap: int, window: int) -> DataFrame:

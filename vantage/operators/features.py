@@ -28,21 +28,29 @@ def per_trader(pit: DataFrame, windows: dict[str, int]) -> DataFrame:
     return pit.groupBy(*KEY, "trader").agg(*aggs)
 
 
-def flow_windows(pit: DataFrame, windows: dict[str, int]) -> DataFrame:
-    """Counts, volumes and distinct traders by side for each window and in total, and the oldest trade's age."""
+def _flow_aggs(windows: dict[str, int]) -> list[Column]:
     aggs = []
     for name in windows:
         for side in ("buy", "sell"):
             aggs += [F.sum(f"{side}_n_{name}").alias(f"{side}_n_{name}"), F.sum(f"{side}_usd_{name}").cast("double").alias(f"{side}_usd_{name}"), F.count_if(F.col(f"{side}_n_{name}") > 0).alias(f"{side}ers_{name}")]
-    aggs += [F.sum("buy_n").alias("buy_n"), F.sum("sell_n").alias("sell_n"), F.max("oldest").alias("oldest")]
-    return per_trader(pit, windows).groupBy(*KEY).agg(*aggs)
+    return aggs + [F.sum("buy_n").alias("buy_n"), F.sum("sell_n").alias("sell_n"), F.max("oldest").alias("oldest")]
 
 
-def sniper_stats(pit: DataFrame, first: tuple[int, int] = (5, 10), seconds: tuple[int, int] = (30 * 86400, 90 * 86400)) -> DataFrame:
-    """The first buys of each capture, by order and by time after the first trade."""
+def flow_windows(pit: DataFrame, windows: dict[str, int]) -> DataFrame:
+    """Counts, volumes and distinct traders by side for each window and in total, and the oldest trade's age."""
+    return per_trader(pit, windows).groupBy(*KEY).agg(*_flow_aggs(windows))
+
+
+def buy_ordinal(pit: DataFrame) -> DataFrame:
+    """The buys of each capture with nth, their place by time and larger amount, and after, seconds since its first trade."""
     begin = F.min("ts").over(Window.partitionBy(*KEY))
     rows = pit.withColumn("after", F.col("ts") - begin).where("side = 'buy'")
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("ts", F.desc("usd"), "id")))
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("ts", F.desc("usd"), "id")))
+
+
+def sniper_stats(pit: DataFrame, first: tuple[int, int] = (5, 10), seconds: tuple[int, int] = (30 * 86400, 90 * 86400)) -> DataFrame:
+    """The first buys of each capture, by order and by time after the first trade."""
+    rows = buy_ordinal(pit)
     aggs = [F.max(F.when(F.col("nth") == 1, F.col("usd"))).cast("double").alias("first_buy_usd")]
     aggs += [_usd(F.col("nth") <= n).cast("double").alias(f"usd_first_{n}") for n in first]
     aggs += [_usd(F.col("after") <= s).cast("double").alias(f"usd_within_{i}") for i, s in enumerate(seconds)]
@@ -50,23 +58,35 @@ def sniper_stats(pit: DataFrame, first: tuple[int, int] = (5, 10), seconds: tupl
     return rows.groupBy(*KEY).agg(*aggs)
 
 
-def concentration(pit: DataFrame, tops: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """Shares of the largest buyers and of the largest net holders; null where the denominator is not positive."""
-    t = per_trader(pit, {})
+def trader_ranks(traders: DataFrame) -> DataFrame:
+    """Adds r, the rank by bought usd, q, the rank by net tokens, and held, the net tokens where positive."""
     by_usd = Window.partitionBy(*KEY).orderBy(F.desc("buy_usd"), "trader")
     by_tok = Window.partitionBy(*KEY).orderBy(F.desc("net_tok"), "trader")
-    t = t.withColumn("r", F.row_number().over(by_usd)).withColumn("q", F.row_number().over(by_tok)).withColumn("held", F.greatest("net_tok", F.lit(0.0)))
+    return traders.withColumn("r", F.row_number().over(by_usd)).withColumn("q", F.row_number().over(by_tok)).withColumn("held", F.greatest("net_tok", F.lit(0.0)))
+
+
+def _share_aggs(tops: tuple[int, ...]) -> list[Column]:
     share = lambda part, whole: F.when(whole > 0, F.round(part.cast("double") / whole.cast("double"), 6))
     aggs = [F.count_if(F.col("held") > 0).alias("holders"), F.count_if(F.col("buy_n") > 0).alias("buyers")]
     for n in tops:
         aggs += [share(F.sum(F.when(F.col("r") <= n, F.col("buy_usd"))), F.sum("buy_usd")).alias(f"top{n}_buy_share"), share(F.sum(F.when(F.col("q") <= n, F.col("held"))), F.sum("held")).alias(f"top{n}_held_share")]
-    return t.groupBy(*KEY).agg(*aggs)
+    return aggs
+
+
+def concentration(pit: DataFrame, tops: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """Shares of the largest buyers and of the largest net holders; null where the denominator is not positive."""
+    return trader_ranks(per_trader(pit, {})).groupBy(*KEY).agg(*_share_aggs(tops))
+
 
+def microstructure_pack(pit: DataFrame, windows: dict[str, int], tops: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """Flow, snipers and concentration of each capture in one row, with null-safe shares.
 
-def microstructure_pack(pit: DataFrame, windows: dict[str, int]) -> DataFrame:
-    """Flow, snipers and concentration of each capture in one row, with null-safe shares."""
-    total = pit.groupBy(*KEY).agg(_usd(F.col("side") == "buy").cast("double").alias("buy_usd"), _usd(F.col("side") != "buy").cast("double").alias("sell_usd"), F.max(F.when(F.col("side") == "buy", F.col("usd"))).cast("double").alias("max_buy_usd"))
-    out = flow_windows(pit, windows).join(total, list(KEY)).join(sniper_stats(pit), list(KEY), "left").join(concentration(pit), list(KEY), "left")
+    One table of (capture, trader) holds what flow, totals and concentration need, so trades are aggregated once
+    for those and once for the snipers.
+    """
+    total = [F.sum("buy_usd").cast("double").alias("buy_usd"), F.sum("sell_usd").cast("double").alias("sell_usd"), F.max("max_buy").cast("double").alias("max_buy_usd")]
+    traders = trader_ranks(per_trader(pit, windows)).groupBy(*KEY).agg(*_flow_aggs(windows), *total, *_share_aggs(tops))
+    out = traders.join(sniper_stats(pit), list(KEY), "left")
     share = lambda part: F.when(F.col("buy_usd") > 0, F.round(F.coalesce(F.col(part), F.lit(0.0)) / F.col("buy_usd"), 6))
     out = out.withColumn("net_usd", F.round(F.col("buy_usd") - F.col("sell_usd"), 4))
     return out.withColumn("sniper_share", share("usd_within_0")).withColumn("first5_share", share("usd_first_5")).withColumn("max_buy_share", share("max_buy_usd"))
@@ -89,14 +109,18 @@ def repriced_pack(pit: DataFrame, quotes: DataFrame, window: int, lookup) -> Dat
     rows = lookup(pit, quotes)
     inside = F.col("age").between(0, window) & F.col("quote").isNotNull()
     usd = F.sum(F.when(inside, (F.col("base") * F.col("quote")).cast("decimal(28,6)"))).cast("double")
-    return rows.groupBy(*KEY).agg(F.round(F.coalesce(usd, F.lit(0.0)), 4).alias("usd"), F.count_if(inside).alias("n"), F.count_if(F.col("quote").isNull()).alias("missing"), F.round(F.median("quote"), 6).alias("median_quote"))
+    return rows.groupBy(*KEY).agg(F.round(F.coalesce(usd, F.lit(0.0)), 4).alias("usd"), F.count_if(inside).alias("n"), F.count_if(F.col("quote").isNull()).alias("missing"), F.round(F.median("quote"), 8).alias("median_quote"))
+
 
+def replay_flow(captures: DataFrame, pit: DataFrame, window: int) -> DataFrame:
+    """Counts, volumes, traders, ratio, last venue and the missing flag of a window, one row for each capture.
 
-def replay_flow(pit: DataFrame, window: int) -> DataFrame:
-    """Counts, volumes, traders, ratio, net flow, last venue and missing flag of a window."""
+    A capture without events in the window has zeros, no age and no venue, and is missing.
+    """
     inside, buy = F.col("age").between(0, window), F.col("side") == "buy"
     t = pit.where(inside).groupBy(*KEY, "trader").agg(F.count_if(buy).alias("b"), F.count_if(~buy).alias("s"), _usd(buy).alias("bu"), _usd(~buy).alias("su"), F.max(F.struct("ts", "id", "venue")).alias("last"), F.max("age").alias("oldest"))
-    out = t.groupBy(*KEY).agg(F.sum("b").alias("buys"), F.sum("s").alias("sells"), F.sum("bu").cast("double").alias("buy_usd"), F.sum("su").cast("double").alias("sell_usd"), F.count_if(F.col("b") > 0).alias("buyers"), F.count_if(F.col("s") > 0).alias("sellers"), F.max("last")["venue"].alias("last_venue"), F.max("oldest").alias("oldest"))
+    got = t.groupBy(*KEY).agg(F.sum("b").alias("buys"), F.sum("s").alias("sells"), F.sum("bu").cast("double").alias("buy_usd"), F.sum("su").cast("double").alias("sell_usd"), F.count_if(F.col("b") > 0).alias("buyers"), F.count_if(F.col("s") > 0).alias("sellers"), F.max("last")["venue"].alias("last_venue"), F.max("oldest").alias("oldest"))
+    out = captures.select(*KEY).join(got, list(KEY), "left").na.fill(0, ["buys", "sells", "buyers", "sellers"]).na.fill(0.0, ["buy_usd", "sell_usd"])
     return out.withColumn("ratio", F.round(F.col("buy_usd") / F.greatest("sell_usd", F.lit(1e-12)), 2)).withColumn("missing", F.col("buys") + F.col("sells") == 0)
 
 

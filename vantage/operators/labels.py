@@ -23,6 +23,20 @@ def forward_labels(captures: DataFrame, prices: DataFrame, horizons: dict[str, i
     return out
 
 
+def label_violations(captures: DataFrame, prices: DataFrame) -> DataFrame:
+    """Prices that no label may use, with the rule: at or before t0, without a time, or not positive (null included)."""
+    rows = prices.select("entity", "ts", "price").join(captures.select("entity", "t0"), "entity")
+    rule = F.when(F.col("ts").isNull(), "missing_time").when(F.col("ts") <= F.col("t0"), "not_after_t0").when(~F.coalesce(F.col("price") > 0, F.lit(False)), "price")
+    return rows.withColumn("rule", rule).where("rule is not null")
+
+
+def peak_hit(captures: DataFrame, prices: DataFrame, multiple: float = 10.0) -> DataFrame:
+    """(entity, hit): the highest price after t0 reaches `multiple` times a positive p0; no price after t0 is no hit."""
+    top = prices.join(captures.select("entity", "t0"), "entity").where("ts > t0").groupBy("entity").agg(F.max("price").alias("top"))
+    out = captures.select("entity", "p0").join(top, "entity", "left")
+    return out.select("entity", F.coalesce((F.col("p0") > 0) & (F.col("top") >= multiple * F.col("p0")), F.lit(False)).alias("hit"))
+
+
 def base_rates(labels: DataFrame, horizons: list[str]) -> DataFrame:
     """Mean of hits over rows that have a label, per horizon."""
     stacked = labels.select(F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"hit_{h}").alias("hit")) for h in horizons])).alias("x")).select("x.*")
@@ -66,19 +80,34 @@ def create_age(captures: DataFrame, creates: DataFrame, most: int) -> DataFrame:
 
 
 def creator_graduates(captures: DataFrame, creates: DataFrame, graduations: DataFrame) -> DataFrame:
-    """Other entities of the same creator, created before t0, that graduated in [create, t0]: within 7, 30, all days."""
-    own = captures.join(creates, "entity").select("entity", "t0", "creator")
-    others = creates.join(graduations, "entity").where("graduated >= created").select("creator", F.col("entity").alias("other"), F.col("created").alias("oc"), "graduated")
-    met = own.join(others, "creator").where((F.col("other") != F.col("entity")) & (F.col("oc") < F.col("t0")) & (F.col("graduated") <= F.col("t0")))
-    days = F.floor((F.col("t0") - F.col("graduated")) / DAY)
-    got = met.groupBy("entity").agg(F.count("*").alias("all"), F.count_if(days <= 7).alias("d7"), F.count_if(days <= 30).alias("d30"))
-    return own.join(got, "entity", "left").select("entity", *[F.coalesce(c, F.lit(0)).alias(f"graduates_{c}") for c in ("d7", "d30", "all")])
+    """Other entities of the same creator, created before t0, that graduated in [create, t0]: within 7, 30, all days.
+
+    Captures and graduations of a creator stand on one time line and are counted by range windows, so no
+    pairs are made; an entity's own graduation is taken off again, and so are those created at t0 itself.
+    """
+    own = captures.join(creates, "entity").select("entity", "t0", "creator", "created")
+    grads = creates.join(graduations, "entity").where("graduated >= created").select("entity", "creator", "created", "graduated")
+    mine = own.join(grads.select("entity", "graduated"), "entity", "left").select("creator", F.col("t0").alias("at"), "entity", "t0", "created", "graduated", F.lit(0).alias("n"), F.lit(0).alias("late"))
+    others = grads.select("creator", F.col("graduated").alias("at"), F.lit(1).alias("n"), (F.col("created") == F.col("graduated")).cast("int").alias("late"))
+    line = mine.unionByName(others, allowMissingColumns=True)
+    w = Window.partitionBy("creator").orderBy("at")
+    ranges = {"d7": (8 * DAY - 1, w.rangeBetween(-(8 * DAY - 1), 0)), "d30": (31 * DAY - 1, w.rangeBetween(-(31 * DAY - 1), 0)), "all": (None, w.rangeBetween(Window.unboundedPreceding, 0))}
+    counts = []
+    for name, (reach, r) in ranges.items():
+        inside = (F.col("graduated") <= F.col("t0")) & ((F.col("created") < F.col("t0"))) & (F.lit(True) if reach is None else F.col("t0") - F.col("graduated") <= reach)
+        counts.append((F.sum("n").over(r) - F.sum("late").over(w.rangeBetween(0, 0)) - F.coalesce(inside, F.lit(False)).cast("int")).alias(f"graduates_{name}"))
+    return line.select("entity", *counts).where("entity is not null")
 
 
 def buyer_history(pit: DataFrame, trades: DataFrame, back: int) -> DataFrame:
-    """Distinct buyers of a capture, and how many bought other entities in [t0 - back, t0)."""
-    buyers = pit.where("side = 'buy'").select("entity", "t0", "trader").distinct()
-    other = trades.where("side = 'buy'").select(F.col("entity").alias("o"), "trader", "ts")
-    met = buyers.join(other, "trader").where((F.col("o") != F.col("entity")) & (F.col("ts") >= F.col("t0") - back) & (F.col("ts") < F.col("t0")))
-    seen = met.groupBy("entity", "trader").agg(F.count("*").alias("n"))
-    return buyers.join(seen, ["entity", "trader"], "left").groupBy("entity").agg(F.count("*").alias("buyers"), F.count("n").alias("with_history"), F.coalesce(F.sum("n"), F.lit(0)).alias("history"))
+    """Distinct buyers of a capture, and how many bought other entities in [t0 - back, t0).
+
+    Buys and captures of a trader stand on one time line and are counted by range windows; buys of the
+    captured entity itself are counted the same way and taken off.
+    """
+    buyers = pit.where("side = 'buy'").select("entity", "t0", "trader").distinct().withColumn("at", F.col("t0")).withColumn("n", F.lit(0))
+    buys = trades.where("side = 'buy'").select("entity", "trader", F.col("ts").alias("at"), F.lit(1).alias("n"))
+    line = buyers.unionByName(buys, allowMissingColumns=True)
+    count = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("at").rangeBetween(-back, -1)), F.lit(0))
+    got = line.withColumn("any", count("trader")).withColumn("same", count("trader", "entity")).where("t0 is not null").withColumn("n", F.col("any") - F.col("same"))
+    return got.groupBy("entity").agg(F.count("*").alias("buyers"), F.count_if(F.col("n") > 0).alias("with_history"), F.sum("n").alias("history"))

@@ -58,7 +58,7 @@ def _(s, d):
   select entity, round((coalesce(abs(oldest - m1) / (s1 / 1.35::double), 3) + coalesce(abs(max_buy - m2) / (s2 / 1.35::double), 3)) / 2, 5) as distance from long, st""")
 def _(s, d):
     rows = _long(s, d)
-    return rows.select("entity", F.round(cmp.robust_distance(rows, ["oldest", "max_buy"]), 5).alias("distance"))
+    return cmp.robust_distance(rows, ["oldest", "max_buy"]).select("entity", F.round("distance", 5).alias("distance"))
 
 
 @query("p26_sanity_filter", PRICED + "select entity, count(*) as n from priced where price > 0 and price <= 1500 group by entity")
@@ -110,8 +110,7 @@ def _(s, d):
 
 @query("a12_label_from_peak", PRICED + "select c.entity, coalesce(max(price) >= 1.2::double * any_value(p0), false) as hit from captures c left join priced p on p.entity = c.entity and p.ts > c.t0 group by c.entity")
 def _(s, d):
-    peaks = lb.followup_peak(captured(s, d), priced(s, d).where("price is not null")).groupBy("entity").agg((F.max("multiple") >= 1.2).alias("hit"))
-    return captured(s, d).select("entity").join(peaks, "entity", "left").select("entity", F.coalesce("hit", F.lit(False)).alias("hit"))
+    return lb.peak_hit(captured(s, d), priced(s, d).where("price is not null"), 1.2)
 
 
 @query("a14_band_outcome_labels", PRICED + """select c.entity, c.t0, max(price) as max_after, count(price) > 0 and bool_or(coalesce(p.venue = 'pumpswap', false)) as reached
@@ -153,7 +152,7 @@ def _(s, d):
     return cmp.replay_scan(rows, cap.in_band(F.col("price"), *BAND), F.col("price") >= 1600)
 
 
-@query("a30_cost_sensitivity", PREDS + " select cost, count(*) as n, round(avg(least(coalesce(multiple, 0), 10) - 1) - cost, 5) as mean_r from preds, (select unnest([0.005, 0.015, 0.03])::double as cost) group by cost")
+@query("a30_cost_sensitivity", PREDS + " select cost, count(multiple) as n, round(avg(case when multiple is not null then least(multiple, 10) - 1 end) - cost, 5) as mean_r from preds, (select unnest([0.005, 0.015, 0.03])::double as cost) group by cost")
 def _(s, d):
     return cmp.cost_sensitivity(predictions(s, d), [0.005, 0.015, 0.03]).withColumn("mean_r", F.round("mean_r", 5))
 

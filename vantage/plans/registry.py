@@ -16,6 +16,9 @@ from vantage.sources.bindings import BAND, DAY, SQL, creates, events, quotes, ta
 W = {"30d": 30 * DAY, "180d": 180 * DAY}
 H = {"90d": 90 * DAY, "180d": 180 * DAY, "365d": 365 * DAY}
 
+#: Order of the trades of an entity.
+NTH = "order by ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice"
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -223,7 +226,7 @@ def _(s, d):
 
 @query("a6_repriced_usd_pack", """, rp as (select p.*, q.price as quote from pit p left join quotes q on q.ts = p.ts - p.ts % 86400)
   select entity, t0, round(coalesce(sum((usd::double / 150 * quote)::decimal(28,6)) filter (age between 0 and 15552000 and quote is not null), 0)::double, 4) as usd,
-    count(*) filter (age between 0 and 15552000 and quote is not null) as n, count(*) filter (quote is null) as missing, round(median(quote), 6) as median_quote from rp group by all""")
+    count(*) filter (age between 0 and 15552000 and quote is not null) as n, count(*) filter (quote is null) as missing, round(median(quote), 8) as median_quote from rp group by all""")
 def _(s, d):
     return ft.repriced_pack(pit(s, d), quotes(s, d), W["180d"], cap.minute_lookup)
 
@@ -240,12 +243,15 @@ def _(s, d):
     return ft.buy_volume(captured(s, d), pit(s, d), W["30d"])
 
 
-@query("a9_replay_flow", """select entity, t0, count(*) filter (side = 'buy') as buys, count(*) filter (side = 'sell') as sells, coalesce(sum(usd) filter (side = 'buy'), 0)::double as buy_usd, coalesce(sum(usd) filter (side = 'sell'), 0)::double as sell_usd,
+@query("a9_replay_flow", """, w as (select * from pit where age between 0 and 15552000)
+  select c.entity, c.t0, count(*) filter (side = 'buy') as buys, count(*) filter (side = 'sell') as sells, coalesce(sum(usd) filter (side = 'buy'), 0)::double as buy_usd, coalesce(sum(usd) filter (side = 'sell'), 0)::double as sell_usd,
     count(distinct trader) filter (side = 'buy') as buyers, count(distinct trader) filter (side = 'sell') as sellers, arg_max(venue, row(ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice)) as last_venue, max(age) as oldest,
-    round(coalesce(sum(usd) filter (side = 'buy'), 0)::double / greatest(coalesce(sum(usd) filter (side = 'sell'), 0)::double, 1e-12::double), 2) as ratio, count(*) = 0 as missing
-  from pit where age between 0 and 15552000 group by all""")
+    round(coalesce(sum(usd) filter (side = 'buy'), 0)::double / greatest(coalesce(sum(usd) filter (side = 'sell'), 0)::double, 1e-12::double), 2) as ratio, count(ts) = 0 as missing
+  from (select * from captures union all select entity + 1000000000, t0, p0, venue0 from captures) c left join w on w.entity = c.entity group by c.entity, c.t0""")
 def _(s, d):
-    return ft.replay_flow(pit(s, d), W["180d"])
+    seen = captured(s, d)  # and as many captures of entities that have no events
+    both = seen.unionByName(seen.withColumn("entity", F.col("entity") + 1000000000))
+    return ft.replay_flow(both, pit(s, d), W["180d"])
 
 
 @query("a10_forward_labels", LABELS + "select * from labelled")
@@ -303,16 +309,22 @@ def _(s, d):
 
 
 STRAT = PREDS + """, top as (select * from (select *, row_number() over (partition by fold order by score desc, t0, entity) as rank from preds) where rank <= 20),
-  ret as (select *, (least(coalesce(multiple, 0), 10) - 1 - 0.015::double)::decimal(18,6) as r from top),
-  cum as (select *, sum(r) over (partition by fold order by t0, entity rows unbounded preceding) as c from ret),
+  ret as (select *, case when multiple is not null then (least(multiple, 10) - 1 - 0.015::double)::decimal(18,6) end as r from top),
+  cum as (select *, coalesce(sum(r) over (partition by fold order by t0, entity rows unbounded preceding), 0) as c from ret),
   fall as (select *, c - max(c) over (partition by fold order by t0, entity rows unbounded preceding) as f from cum)"""
 
 
-@query("a29_strategy_summary", STRAT + " select fold, count(*) as n, round(avg(y), 6) as hit_rate, round(sum(r)::double, 4) as cum_r, round(sum(r)::double / count(*), 5) as mean_r, round(min(f)::double, 4) as drawdown from fall group by fold")
+@query("a29_strategy_summary", STRAT + " select fold, count(*) as n, count(r) as n_returns, round(avg(y), 6) as hit_rate, round(sum(r)::double, 4) as cum_r, round(sum(r)::double / count(r), 5) as mean_r, round(min(f)::double, 4) as drawdown from fall group by fold")
 def _(s, d):
     return ev.strategy_summary(ev.strategy_returns(ev.rank_topk(predictions(s, d), ["fold"], 20)), ["fold"])
 
 
+@query("w8_cum_drawdown", STRAT + " select entity, t0, fold, round(c::double, 4) as cum, round(f::double, 4) as fall from fall")
+def _(s, d):
+    out = ev.cum_drawdown(ev.strategy_returns(ev.rank_topk(predictions(s, d), ["fold"], 20)), ["fold"], "r_cap")
+    return out.select("entity", "t0", "fold", F.round(F.col("cum").cast("double"), 4).alias("cum"), F.round(F.col("fall").cast("double"), 4).alias("fall"))
+
+
 @query("a36_event_coverage", "select c.entity, count(t.ts) as n_after, min(t.ts) as first_after, max(t.ts) as last_after from captures c left join trades t on t.entity = c.entity and t.ts > c.t0 group by c.entity")
 def _(s, d):
     after = trades(s, d).join(captured(s, d), "entity").where("ts > t0").groupBy("entity").agg(F.count("*").alias("n"), F.min("ts").alias("first_after"), F.max("ts").alias("last_after"))
@@ -357,20 +369,27 @@ def _(s, d):
     return ev.expanding_folds(captured(s, d))
 
 
-@query("w7_embargo_fold", "select entity, t0, case when t0 <= 852076800 then 'train' when t0 > 852076800 + 2592000 and t0 <= 883612800 then 'val' when t0 > 883612800 + 2592000 and t0 <= 915148800 then 'test' end as part from captures where part is not null")
+@query("w7_embargo_fold", """, v as (select min(t0) as lo, max(t0) as hi from captures where t0 > 852076800 + 2592000 and t0 <= 883612800)
+  select entity, t0, case when t0 <= 852076800 and t0 + 15552000 <= lo then 'train' when t0 > 852076800 + 2592000 and t0 <= 883612800 then 'val' when t0 > hi + 2592000 and t0 <= 915148800 then 'test' end as part
+  from captures, v where part is not null""")
 def _(s, d):
-    return ev.embargo_split(captured(s, d).select("entity", "t0"), 852076800, 883612800, 915148800, 30 * DAY)
+    return ev.embargo_split(captured(s, d).select("entity", "t0"), 852076800, 883612800, 915148800, 30 * DAY, 180 * DAY)
 
 
-@query("w9_capture_detector", PRICED + """, tw as (select p.*, k.created, count(*) over (partition by p.entity order by ts range between 15552000 preceding and current row) - 1 as n_trail from trades p left join (select entity, min(created) as created from creates group by 1) k using (entity)),
-  tp as (select *, case when tok <> 0 then usd::double / tok end as price from tw),
-  fit as (select * from (select *, row_number() over (partition by entity order by ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as rn from tp where price between 1000 and 1400 and n_trail >= 1 and ts - created >= 2592000) where rn = 1),
-  anyb as (select * from (select *, row_number() over (partition by entity order by ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as rn from tp where price between 1000 and 1400) where rn = 1)
-  select e.entity, coalesce(f.ts, a.ts) as t0, coalesce(f.price, a.price) as p0, case when a.entity is null then 'REJECT' when f.entity is null then 'LOW' when f.n_trail >= 3 then 'HIGH' else 'MED' end as quality,
-    case when a.entity is null then 'never_in_band' when f.entity is not null then '' when a.created is null or a.ts - a.created < 2592000 then 'too_young' else 'no_trailing_trade' end as reason
-  from (select distinct entity from trades) e left join fit f using (entity) left join anyb a using (entity)""")
+@query("w9_capture_detector", PRICED + f""", k as (select entity, min(created) as created from creates group by 1), g as (select entity, min(ts) as graduated from trades where venue = 'pumpswap' group by 1),
+  tp as (select p.*, k.created, case when tok <> 0 then usd::double / tok end as price, min(ts) over (partition by p.entity) as first, case when l_suppkey % 3 = 0 then 'pyth' else 'jupiter' end as source from trades p left join k using (entity)),
+  rk as (select *, coalesce(ts - created >= 2592000, false) or ts - first >= 2592000 as old from tp),
+  fit as (select * from (select *, row_number() over (partition by entity {NTH}) as rn from rk where price between 1000 and 1400 and old) where rn = 1),
+  anyb as (select * from (select *, row_number() over (partition by entity {NTH}) as rn from rk where price between 1000 and 1400) where rn = 1),
+  seen as (select * from (select *, row_number() over (partition by entity {NTH}) as rn from rk where price is not null) where rn = 1)
+  select e.entity, coalesce(f.ts, a.ts) as t0, coalesce(f.price, a.price) as p0,
+    case when a.entity is null then 'never_in_band' when s.price > 1400 then 'first_seen_above_band' when coalesce(graduated <= coalesce(f.ts, a.ts), false) then 'graduated' when f.entity is null then 'too_young' else '' end as reason,
+    case when reason in ('never_in_band', 'first_seen_above_band', 'graduated') then 'REJECT' when f.entity is null then 'LOW' when coalesce(e.first - e.created > 86400 * 300, false) then 'LOW' when f.source = 'pyth' then 'HIGH' else 'MED' end as quality
+  from (select entity, min(first) as first, min(created) as created from rk group by 1) e left join fit f using (entity) left join anyb a using (entity) left join seen s using (entity) left join g using (entity)""")
 def _(s, d):
-    return cap.detect_captures(trades(s, d), creates(s, d), *BAND, age=30 * DAY, trail=180 * DAY)
+    grads = trades(s, d).where("venue = 'pumpswap'").groupBy("entity").agg(F.min("ts").alias("graduated"))
+    source = F.when(F.col("id.l_suppkey") % 3 == 0, "pyth").otherwise("jupiter")
+    return cap.detect_captures(trades(s, d), creates(s, d), *BAND, age=30 * DAY, late=300 * DAY, source=source, graduated=grads)
 
 
 @query("w12_rank_topk", PREDS + " select entity, t0, score, y, multiple, fold, rank::int as rank from (select *, row_number() over (partition by fold order by score desc, t0, entity) as rank from preds) where rank <= 20")
@@ -430,7 +449,7 @@ def _(s, d):
     return ev.quantile_thresholds(ev.expanding_folds(captured(s, d)).join(predictions(s, d).select("entity", "score"), "entity"), 0.1)
 
 
-@query("m6_strategy_returns", PREDS + " select entity, round(least(coalesce(multiple, 0), 10) - 1 - 0.015::double, 6) as r_cap, round(case when coalesce(multiple, 0) >= 10 then 10 - 1 - 0.015::double else -1 - 0.015::double end, 6) as r_binary, round(least(coalesce(multiple, 0), 20) - 1 - 0.015::double, 6) as r_wide from preds")
+@query("m6_strategy_returns", PREDS + " select entity, round(case when multiple is not null then least(multiple, 10) - 1 - 0.015::double end, 6) as r_cap, round(case when y = 1 then 10 - 1 - 0.015::double else -1 - 0.015::double end, 6) as r_binary, round(case when multiple is not null then least(multiple, 20) - 1 - 0.015::double end, 6) as r_wide from preds")
 def _(s, d):
     return ev.strategy_returns(predictions(s, d)).select("entity", *[F.round(c, 6).alias(c) for c in ("r_cap", "r_binary", "r_wide")])
 
@@ -480,4 +499,4 @@ def _(s, d):
     return events(s, d).groupBy((F.col("ts") - F.col("ts") % DAY).alias("cycle"), "side", "entity").agg(F.count("*").alias("k")).groupBy("cycle", "side").agg(F.sum("k").alias("n"), F.count("*").alias("entities"))
 
 
-from vantage.plans import derived  # noqa: E402, F401 - registers its queries
+from vantage.plans import derived, gated  # noqa: E402, F401 - register their queries

@@ -45,7 +45,7 @@ def creates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One quote a day, at midnight; every seventh day has none."""
     orders = table(spark, sf_dir, "orders").where(F.dayofyear("o_orderdate") % 7 != 0)
-    return orders.groupBy(_day("o_orderdate").alias("ts")).agg((F.avg(F.col("o_totalprice").cast("decimal(18,4)")).cast("double") / 1000).alias("price"))
+    return orders.groupBy(_day("o_orderdate").alias("ts")).agg((F.sum(F.col("o_totalprice").cast("decimal(18,4)")).cast("double") / F.count("*") / 1000).alias("price"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ SQL = """with trades as (
 creates as (
   select p_partkey as entity, p_brand as creator, 9131 * 86400 + (p_partkey * 37) % 8000 * 3600 as created, p_name as name, p_type as symbol from part),
 quotes as (
-  select (o_orderdate::date - date '1970-01-01') * 86400 as ts, (sum(o_totalprice::decimal(18,4)) / count(*))::double / 1000 as price
+  select (o_orderdate::date - date '1970-01-01') * 86400 as ts, sum(o_totalprice::decimal(18,4))::double / count(*) / 1000 as price
   from orders where dayofyear(o_orderdate) % 7 <> 0 group by 1),
 ev as (
   select event_id, user_id as entity, (ts::date - date '1970-01-01') * 86400 + hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts))::bigint as ts,
