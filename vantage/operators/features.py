@@ -109,7 +109,7 @@ def repriced_pack(pit: DataFrame, quotes: DataFrame, window: int, lookup) -> Dat
     rows = lookup(pit, quotes)
     inside = F.col("age").between(0, window) & F.col("quote").isNotNull()
     usd = F.sum(F.when(inside, (F.col("base") * F.col("quote")).cast("decimal(28,6)"))).cast("double")
-    return rows.groupBy(*KEY).agg(F.round(F.coalesce(usd, F.lit(0.0)), 4).alias("usd"), F.count_if(inside).alias("n"), F.count_if(F.col("quote").isNull()).alias("missing"), F.round(F.median("quote"), 8).alias("median_quote"))
+    return rows.groupBy(*KEY).agg(F.coalesce(usd, F.lit(0.0)).alias("usd"), F.count_if(inside).alias("n"), F.count_if(F.col("quote").isNull()).alias("missing"), F.round(F.median("quote"), 8).alias("median_quote"))
 
 
 def replay_flow(captures: DataFrame, pit: DataFrame, window: int) -> DataFrame:

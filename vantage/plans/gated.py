@@ -168,14 +168,14 @@ def _(s, d):
 
 @query("p11_repair_sol", FLOWED + """, z as (select entity, b5, s5, b, case when entity % 3 = 0 then (b5 - s5) / 150 else 0 end as total, case when entity % 5 = 0 then 1.0::double else 0 end as curve from fw),
   y as (select *, curve = 0 and total = 0 and (b5 > 0 or s5 > 0) as need from z)
-  select entity, round(case when need then (b5 - s5) / 120 else total end, 6) as net_sol_total, round(case when need then (b5 - s5) / 120 when curve = 0 and total <> 0 then total else curve end, 6) as net_sol_curve,
-    round(least(greatest(case when need then (b5 - s5) / 120 when curve = 0 and total <> 0 then total else curve end / 85, 0), 2), 6) as progress, round(case when b > 0 then b / 120 else 0 end, 6) as max_buy_sol from y""")
+  select entity, round(case when need then (b5 - s5) / 120 else total end, 8) as net_sol_total, round(case when need then (b5 - s5) / 120 when curve = 0 and total <> 0 then total else curve end, 8) as net_sol_curve,
+    round(least(greatest(case when need then (b5 - s5) / 120 when curve = 0 and total <> 0 then total else curve end / 85, 0), 2), 8) as progress, round(case when b > 0 then b / 120 else 0 end, 8) as max_buy_sol from y""")
 def _(s, d):
     e = F.col("entity")
     rows = _flow(s, d).select("entity", F.col("buy_vol_usd_5m").alias("buy_vol_usd_total"), F.col("sell_vol_usd_5m").alias("sell_vol_usd_total"), F.col("buy_vol_usd_60s").alias("max_buy_usd"), F.lit(0.0).alias("max_buy_sol"), F.lit(None).cast("double").alias("progress_curve_proxy"))
     rows = rows.withColumn("net_sol_total", F.when(e % 3 == 0, (F.col("buy_vol_usd_total") - F.col("sell_vol_usd_total")) / 150).otherwise(0.0)).withColumn("net_sol_curve", F.when(e % 5 == 0, 1.0).otherwise(0.0))
     out = sc.repair_sol(rows, 120.0)
-    return out.select("entity", *[F.round(c, 6).alias(c) for c in ("net_sol_total", "net_sol_curve", "max_buy_sol")], F.round("progress_curve_proxy", 6).alias("progress"))
+    return out.select("entity", *[F.round(c, 8).alias(c) for c in ("net_sol_total", "net_sol_curve", "max_buy_sol")], F.round("progress_curve_proxy", 8).alias("progress"))
 
 
 @query("p13_resolve_label", PREDS + " select entity, coalesce(case when fold > 0 then y end, (score >= 0.4)::int) as label, case when fold > 0 then 'primary' else 'proxy' end as label_source from preds")
@@ -250,10 +250,10 @@ def _(s, d):
     return first.select("entity", F.col("f.ts").alias("t0"), F.col("f.mc").alias("mc0"))
 
 
-@query("w11_curve_path", f"""select entity, count(*) as n, round(max(c), 4) as top from (select entity, greatest(30 + sum(case when side = 'buy' then (usd::double / 150)::decimal(18,6) else -(usd::double / 150)::decimal(18,6) end) over (partition by entity {NTH} rows unbounded preceding), 0.000000001)::double as c from trades) group by entity""")
+@query("w11_curve_path", f"""select entity, count(*) as n, round(max(c), 7) as top from (select entity, greatest(30 + sum(case when side = 'buy' then (usd::double / 150)::decimal(18,6) else -(usd::double / 150)::decimal(18,6) end) over (partition by entity {NTH} rows unbounded preceding), 0.000000001)::double as c from trades) group by entity""")
 def _(s, d):
     rows = trades(s, d).withColumn("base", F.col("base").cast("decimal(18,6)"))
-    return cap.curve_path(rows).groupBy("entity").agg(F.count("*").alias("n"), F.round(F.max(F.col("reserve").cast("double")), 4).alias("top"))
+    return cap.curve_path(rows).groupBy("entity").agg(F.count("*").alias("n"), F.round(F.max(F.col("reserve").cast("double")), 7).alias("top"))
 
 
 @query("w15_batch_rank", PREDS + " select entity, fold, row_number() over (partition by fold order by score desc, t0, entity) as rank from preds")

@@ -225,7 +225,7 @@ def _(s, d):
 
 
 @query("a6_repriced_usd_pack", """, rp as (select p.*, q.price as quote from pit p left join quotes q on q.ts = p.ts - p.ts % 86400)
-  select entity, t0, round(coalesce(sum((usd::double / 150 * quote)::decimal(28,6)) filter (age between 0 and 15552000 and quote is not null), 0)::double, 4) as usd,
+  select entity, t0, coalesce(sum((usd::double / 150 * quote)::decimal(28,6)) filter (age between 0 and 15552000 and quote is not null), 0)::double as usd,
     count(*) filter (age between 0 and 15552000 and quote is not null) as n, count(*) filter (quote is null) as missing, round(median(quote), 8) as median_quote from rp group by all""")
 def _(s, d):
     return ft.repriced_pack(pit(s, d), quotes(s, d), W["180d"], cap.minute_lookup)
