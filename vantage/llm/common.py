@@ -36,7 +36,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
