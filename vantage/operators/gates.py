@@ -83,3 +83,45 @@ def first_gate(gates: dict[str, Column]) -> Column:
 def all_of(conditions: list[Column]) -> Column:
     """All hold; null does not."""
     return reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in conditions])
+
+
+def window_gate(trades: DataFrame, window: int) -> DataFrame:
+    """Trades (entity, t0, ts) that a window claims and that have no time, lie after t0, or before its begin."""
+    rule = F.when(F.col("ts").isNull(), "missing").when(F.col("ts") > F.col("t0"), "after_t0").when(F.col("ts") < F.col("t0") - window, "before_window")
+    return trades.withColumn("rule", rule).where("rule is not null")
+
+
+def feature_quality(df: DataFrame, features: list[str], labels: list[str], lo: float, hi: float, least: int = 1) -> DataFrame:
+    """(check, n, n_bad, ok, soft): label columns among the features, too few rows, prices outside the band, nulls by feature."""
+    leaks = leak_columns(features, labels)
+    bad = {"band": ~F.coalesce(F.col("p0").between(lo, hi), F.lit(False))} | {f"null_{c}": F.col(c).isNull() for c in features}
+    out = checks(df, bad, {f"null_{c}": 1.0 for c in features}, tuple(f"null_{c}" for c in features))
+    n = df.agg(F.count("*").alias("n"))
+    short = (F.col("n") < least).cast("long")
+    more = n.select(F.inline(F.array(F.struct(F.lit("leak").alias("check"), "n", F.lit(len(leaks)).cast("long").alias("n_bad"), F.lit(not leaks).alias("ok"), F.lit(False).alias("soft")), F.struct(F.lit("rows").alias("check"), "n", short.alias("n_bad"), (short == 0).alias("ok"), F.lit(False).alias("soft")))))
+    return out.unionByName(more)
+
+
+def candidate_sample(df: DataFrame, forbidden: tuple[str, ...], value: str, lo: float, hi: float, key: str = "entity") -> DataFrame:
+    """(key, rule) of candidates outside the band; an error where the sample is to hold columns known only after t0."""
+    wrong = sorted(set(df.columns) & set(forbidden))
+    if wrong:
+        raise ValueError(f"columns known only after t0: {', '.join(wrong)}")
+    return broken(df, {"band": F.col(value).between(lo, hi)}, key)
+
+
+def journal_invariant(rows: DataFrame, cut: int, ages: tuple[str, ...], prior_prefix: str, prior_store: str, skipped: str) -> DataFrame:
+    """(entity, rule) of rows since the cut: the age's source is a known one, the score was not skipped for want of a
+    prior, and a prior, where one is told, comes from the training family."""
+    prior = F.coalesce(F.col("creator_prior_source"), F.lit(""))
+    rules = {
+        "age_source": F.col("age_source").isin(*ages),
+        "score_mode": F.coalesce(F.col("score_mode"), F.lit("")) != skipped,
+        "prior_source": (prior == "") | F.startswith(prior, F.lit(prior_prefix)) | (prior == prior_store),
+    }
+    return broken(rows.where(F.col("ts") >= cut), rules, "entity")
+
+
+def missing_stamps(columns: list[str], required: tuple[str, ...] = ("feature_set_version", "label_version", "seed")) -> list[str]:
+    """The version columns that an artifact lacks."""
+    return [c for c in required if c not in columns]

@@ -70,3 +70,96 @@ def cache_problems(docs: DataFrame) -> DataFrame:
         F.when(F.expr(has(("amount_usd", "valueUsd"))), "amount"),
     )
     return d.select("entity", F.array_join(problems, ",").alias("problems"))
+
+
+#: Fields of nested trade rows.
+GQL = """Block struct<Time:string>, Transaction struct<Signer:string>, Trade struct<Amount:string,AmountInUSD:string,
+Currency:struct<MintAddress:string>,Account:struct<Address:string>,Dex:struct<ProgramAddress:string,ProtocolName:string,ProtocolFamily:string>,
+Side:struct<Type:string,Amount:string,AmountInUSD:string,Currency:struct<MintAddress:string>,Account:struct<Address:string>>>"""
+#: Fields of create instructions.
+CREATE = """Block struct<Time:string>, Transaction struct<Signer:string>, Instruction struct<Accounts:array<struct<Address:string>>,
+Program:struct<Arguments:array<struct<Name:string,Value:struct<string:string,address:string>>>>>"""
+#: Fields of coin snapshots.
+COIN = """mint string, usd_market_cap string, market_cap_usd string, name string, symbol string, creator string, created_timestamp string,
+complete boolean, real_sol_reserves string, real_token_reserves string, bonding_curve string"""
+
+
+def gql_trades(rows: DataFrame, program: str, swap_program: str, sol_usd: float, least_usd: float = 1.0) -> DataFrame:
+    """(payload) -> entity, ts, side, usd, tok, base, trader, project of nested trades.
+
+    Of trades in the native asset the missing one of usd and base is derived from the other; more than a million base
+    units are raw ones. Trades without entity, time, side or usd, or below least_usd, go. Without a program the
+    protocol's name tells the project, and without both it is the curve.
+    """
+    p = rows.select(F.from_json("payload", GQL).alias("p")).select("p.*").select("Block.Time", "Transaction.Signer", "Trade.*")
+    quote = F.nullif(F.col("Side.Currency.MintAddress"), F.lit(""))
+    native = quote.isNull() | (quote == NATIVE[1])
+    amount = F.when(native, F.coalesce(F.col("Side.Amount").try_cast("double"), F.lit(0.0))).otherwise(0.0)
+    amount = F.when(amount > 1e6, amount / 1e9).otherwise(amount)
+    told = F.coalesce(F.col("AmountInUSD").try_cast("double"), F.col("Side.AmountInUSD").try_cast("double"))
+    usd = F.when(native & (F.coalesce(told, F.lit(0.0)) <= 0) & (amount > 0), amount * sol_usd).otherwise(told)
+    base = F.when(native & (amount <= 0) & (usd > 0), usd / sol_usd).otherwise(F.greatest(amount, F.lit(0.0)))
+    by = F.nullif(F.col("Dex.ProgramAddress"), F.lit(""))
+    name = F.replace(F.lower(F.coalesce("Dex.ProtocolName", "Dex.ProtocolFamily", F.lit(""))), F.lit(" "), F.lit(""))
+    project = F.when(by == program, "pumpdotfun").when(by == swap_program, "pumpswap").when(F.contains(name, F.lit("pumpswap")) | (name == "pumpamm"), "pumpswap").when(F.contains(name, F.lit("pump")) | by.isNull(), "pumpdotfun").otherwise("other")
+    trader = F.coalesce(F.nullif(F.col("Side.Account.Address"), F.lit("")), F.nullif(F.col("Account.Address"), F.lit("")), "Signer", F.lit("unknown"))
+    out = p.select(F.nullif(F.col("Currency.MintAddress"), F.lit("")).alias("entity"), event_time(F.col("Time")).alias("ts"), F.lower("Side.Type").alias("side"), usd.alias("usd"), F.coalesce(F.col("Amount").try_cast("double"), F.lit(0.0)).alias("tok"), base.alias("base"), trader.alias("trader"), project.alias("project"))
+    return out.where(F.col("entity").isNotNull() & F.col("ts").isNotNull() & F.col("side").isin("buy", "sell") & (F.col("usd") >= max(least_usd, 0.0)))
+
+
+def creates_of(rows: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """(payload) -> entity, creator, created, name, symbol of create instructions.
+
+    The entity is the argument mint or token, else an account that ends in pump, else the first account. With hints
+    (entity), it is the first of the argument and the accounts that is among them, and other rows go.
+    """
+    p = rows.select(F.from_json("payload", CREATE).alias("p"), F.monotonically_increasing_id().alias("_row"))
+    given = F.coalesce(F.col("p.Instruction.Program.Arguments"), F.array().cast("array<struct<Name:string,Value:struct<string:string,address:string>>>"))
+    value = lambda a: F.coalesce(a["Value"]["string"], a["Value"]["address"])
+
+    def last(*names: str) -> Column:
+        found = [F.try_element_at(F.transform(F.filter(given, lambda a: F.lower(a["Name"]) == n), value), F.lit(-1)) for n in names]  # noqa: B023
+        return F.coalesce(*[F.nullif(v, F.lit("")) for v in found])
+
+    accounts = F.filter(F.coalesce(F.col("p.Instruction.Accounts.Address"), F.array().cast("array<string>")), lambda a: F.coalesce(a, F.lit("")) != "")
+    out = p.select("_row", last("mint", "token").alias("arg"), accounts.alias("accounts"), F.coalesce(F.nullif(F.col("p.Transaction.Signer"), F.lit("")), last("creator", "user")).alias("creator"), event_time(F.col("p.Block.Time")).alias("created"), last("name").alias("name"), last("symbol").alias("symbol"))
+    out = out.where("created is not null")
+    columns = ["entity", "creator", "created", "name", "symbol"]
+    if hints is None:
+        pump = F.get(F.filter("accounts", lambda a: F.endswith(a, F.lit("pump"))), F.lit(0))
+        return out.withColumn("entity", F.coalesce("arg", pump, F.get("accounts", F.lit(0)))).where("entity is not null").select(columns)
+    may = out.select("creator", "created", "name", "symbol", "_row", F.posexplode(F.concat(F.array("arg"), "accounts")).alias("at", "entity")).join(hints.select("entity").distinct(), "entity", "left_semi")
+    return may.groupBy("_row").agg(F.min_by(F.struct(*columns), "at").alias("r")).select("r.*")
+
+
+def snapshots(rows: DataFrame, lo: float, hi: float, initial: float) -> DataFrame:
+    """(seen, payload) -> the last in-band, not completed snapshot of each entity, with its created time and proxies."""
+    from .capture import in_band
+    from .records import snapshot_proxies
+
+    c = rows.select("seen", F.from_json("payload", COIN).alias("c")).select("seen", "c.*")
+    cap = F.coalesce(F.col("usd_market_cap").try_cast("double"), F.col("market_cap_usd").try_cast("double"))
+    made = F.col("created_timestamp").try_cast("double")
+    proxies = snapshot_proxies(F.col("real_token_reserves").try_cast("double"), F.col("real_sol_reserves").try_cast("double"), initial)
+    out = c.select(F.col("mint").alias("entity"), "seen", cap.alias("mc"), "name", "symbol", "creator", F.floor(F.when(made >= 1e12, made / 1000).otherwise(made)).alias("created"), "complete", *[v.alias(k) for k, v in proxies.items()])
+    out = out.where((F.coalesce(F.col("entity"), F.lit("")) != "") & in_band(F.col("mc"), lo, hi) & ~F.coalesce("complete", F.lit(False)))
+    rest = [x for x in out.columns if x not in ("entity", "seen")]
+    return out.groupBy("entity").agg(F.max(F.struct("seen", *rest)).alias("r")).select("entity", "r.*")
+
+
+def transfer_legs(rows: DataFrame, quote: str = NATIVE[1]) -> DataFrame:
+    """(tx, kind, err, mint, payer, transfers array<struct<mint,sender,receiver,amount>>) -> tx, side, trader, tok, base.
+
+    Where the payer gives up tokens on balance, it is one sell of the net amounts. Otherwise each receipt of tokens by
+    an account that sends none is a buy, paired in order with the trader's payments to token senders; receipts
+    beyond its payments have base 0. Failed and liquidity transactions go. All is done within the row: no shuffle.
+    """
+    ok = rows.where(~F.coalesce("err", F.lit(False)) & ~F.lower(F.coalesce("kind", F.lit(""))).rlike("liquidity|create_pool"))
+    ok = ok.withColumn("m", F.expr("filter(transfers, t -> t.mint = mint and t.amount > 0)")).withColumn("q", F.expr(f"filter(transfers, t -> t.mint = '{quote}' and t.amount > 0)"))
+    net = lambda side: F.expr(f"aggregate({side}, 0D, (s, t) -> s + case when t.receiver = payer then t.amount else 0D end - case when t.sender = payer then t.amount else 0D end)")
+    ok = ok.withColumn("net", net("m")).withColumn("got", net("q")).withColumn("pools", F.expr("array_distinct(transform(m, t -> t.sender))"))
+    ok = ok.withColumn("buys", F.expr("filter(m, t -> not array_contains(pools, t.receiver))")).withColumn("paid", F.expr("filter(q, t -> array_contains(pools, t.receiver) and not array_contains(pools, t.sender))"))
+    buys = F.expr("""transform(buys, (t, i) -> named_struct('side', 'buy', 'trader', t.receiver, 'tok', t.amount, 'base',
+        coalesce(get(filter(paid, x -> x.sender = t.receiver), size(filter(slice(buys, 1, i), y -> y.receiver = t.receiver))).amount, 0D)))""")
+    sell = F.array(F.struct(F.lit("sell").alias("side"), F.col("payer").alias("trader"), (-F.col("net")).alias("tok"), F.greatest("got", F.lit(0.0)).alias("base")))
+    return ok.select("tx", F.inline(F.when(F.col("net") < 0, sell).otherwise(buys)))
