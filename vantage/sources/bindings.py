@@ -49,7 +49,11 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events")
+    return event_rows(table(spark, sf_dir, "events"))
+
+
+def event_rows(rows: DataFrame) -> DataFrame:
+    """The columns of events, of a table or of a stream."""
     clock = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.floor(F.second("ts"))
     return rows.select("event_id", F.col("user_id").alias("entity"), (_day("ts") + clock).cast("long").alias("ts"), F.col("event_type").alias("side"), "value", F.get_json_object("props", "$.k").cast("long").alias("trader"))
 
