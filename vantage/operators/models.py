@@ -72,7 +72,7 @@ def model_zoo(folded: DataFrame, features: list[str], kinds: tuple[str, ...] = (
 
 
 def average_precision(scored: DataFrame, by: list[str]) -> DataFrame:
-    """(by, ap): average precision; equal scores count as one step. Scores are grouped in 4096 buckets of the unit interval
+    """(by, ap): average precision, null without hits; equal scores count as one step. Scores are grouped in 4096 buckets of the unit interval
     first, so that no group is sorted in one task."""
     from pyspark.sql import Window
 
@@ -82,7 +82,7 @@ def average_precision(scored: DataFrame, by: list[str]) -> DataFrame:
     sizes = sizes.select(*by, "_b", F.coalesce(F.sum("bn").over(ahead), F.lit(0)).alias("on"), F.coalesce(F.sum("bh").over(ahead), F.lit(0)).alias("oh"))
     inner = Window.partitionBy(*by, "_b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     cum = steps.withColumn("cn", F.sum("n").over(inner)).withColumn("ch", F.sum("h").over(inner)).join(sizes, [*by, "_b"])
-    return cum.groupBy(*by).agg((F.sum(F.col("h") * (F.col("ch") + F.col("oh")) / (F.col("cn") + F.col("on"))) / F.sum("h")).alias("ap"))
+    return cum.groupBy(*by).agg((F.sum(F.col("h") * (F.col("ch") + F.col("oh")) / (F.col("cn") + F.col("on"))) / F.nullif(F.sum("h"), F.lit(0))).alias("ap"))
 
 
 def permutation_importance(model: PipelineModel, rows: DataFrame, features: list[str], key: str = "entity", repeats: int = 3, seed: int = 7) -> DataFrame:

@@ -9,7 +9,7 @@ from vantage.operators import models as md
 from vantage.operators import scores as sc
 from vantage.plans.derived import _long
 from vantage.plans.gated import WEIGHTS, _lite
-from vantage.plans.registry import captured, predictions, query
+from vantage.plans.registry import PREDS, captured, predictions, query
 from vantage.sources import files
 from vantage.sources.bindings import creates, event_rows, events, table
 from vantage.sources.shared import materialize, scratch
@@ -124,6 +124,14 @@ def _(s, d):
     return md.average_precision(md.model_zoo(_folded(s, d, 2), FEATURES), ["model", "fold"])
 
 
+@query("a32_ablation_deltas", PREDS + """, g as (select fold, score, count(*) as n, count(*) filter (entity % 4 = 0) as h from preds group by all), c as (select *, sum(n) over w as cn, sum(h) over w as ch from g window w as (partition by fold order by score desc)),
+  a as (select fold::varchar as fold, round(sum(h * ch / cn) / sum(h), 6) as ap from c group by fold) select a.fold, a.ap, round(a.ap - b.ap, 6) as delta_ap, abs(a.ap - b.ap) < 0.005 as prefer_simpler from a, (select * from a where fold = '0') b""")
+def _(s, d):
+    scored = predictions(s, d).select(F.col("fold").cast("string").alias("fold"), "score", (F.col("entity") % 4 == 0).cast("int").alias("y"))
+    ap = md.average_precision(scored, ["fold"]).withColumn("ap", F.round("ap", 6))
+    return sc.compare_to_baseline(ap, "fold", "0", ["ap"]).withColumn("delta_ap", F.round("delta_ap", 6))
+
+
 @query("m8_lite_fit")
 def _(s, d):
     phi = sc.lite_inputs()
