@@ -145,3 +145,11 @@ def test_average_precision_and_fit(spark):
     drop = {r.feature: r["drop"] for r in md.permutation_importance(model, df, ["x", "z"], repeats=1).collect()}
     assert drop["z"] > 0.2 > abs(drop["x"])
     assert md.score(model, df, ["x", "z"], ["entity", "y"]).where((F.col("score") > 0.5) != (F.col("y") == 1)).count() == 0
+
+
+def test_reject_reasons(spark):
+    rows = [(True, "", "HIGH", "pyth"), (False, "x", "HIGH", "pyth"), (None, "", "HIGH", "pyth"), (True, "", "med", "pyth"), (True, "", "REJECT", "pyth"), (True, "", "HIGH", "coingecko"), (True, "", None, "pyth")]
+    df = spark.createDataFrame(rows, "refined boolean, detail string, quality string, sol_usd_source string")
+    want = [None, "t0_unrefined:x", "t0_unrefined:provisional", "capture_quality_med_pyth_required", "capture_quality_reject", "sol_usd_not_pyth:coingecko", "not_scoreable"]
+    assert [r.reject_reason for r in gt.score_reject_reason(df).collect()] == want
+    assert [r.scoreable for r in gt.score_reject_reason(df, require_pyth=False, allow_med=True).collect()] == [True, False, False, True, False, True, False]

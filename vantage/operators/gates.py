@@ -125,3 +125,25 @@ def journal_invariant(rows: DataFrame, cut: int, ages: tuple[str, ...], prior_pr
 def missing_stamps(columns: list[str], required: tuple[str, ...] = ("feature_set_version", "label_version", "seed")) -> list[str]:
     """The version columns that an artifact lacks."""
     return [c for c in required if c not in columns]
+
+
+def quality_of(source: Column) -> Column:
+    """HIGH for quotes of pyth or as of pyth, else MED."""
+    return F.when(F.lower(F.coalesce(source, F.lit(""))).isin("pyth", "pyth_asof"), "HIGH").otherwise("MED")
+
+
+def score_reject_reason(captures: DataFrame, require_pyth: bool = True, allow_med: bool = False) -> DataFrame:
+    """Adds scoreable and reject_reason of captures (refined, detail, quality, sol_usd_source): null where they may be scored.
+
+    In this order: not refined, a quality of LOW or REJECT, MED where only HIGH will do, a quote of another source, and
+    any quality that is none of these.
+    """
+    quality = F.upper(F.coalesce("quality", F.lit("")))
+    reason = F.when(~F.coalesce("refined", F.lit(False)), F.concat(F.lit("t0_unrefined:"), F.coalesce(F.nullif(F.col("detail"), F.lit("")), F.lit("provisional"))))
+    reason = reason.when(quality.isin("LOW", "REJECT"), F.concat(F.lit("capture_quality_"), F.lower(quality)))
+    if not allow_med:
+        reason = reason.when(quality == "MED", "capture_quality_med_pyth_required")
+    if require_pyth:
+        reason = reason.when(quality_of(F.col("sol_usd_source")) != "HIGH", F.concat(F.lit("sol_usd_not_pyth:"), F.coalesce("sol_usd_source", F.lit(""))))
+    reason = reason.when(~quality.isin("HIGH", "MED"), "not_scoreable")
+    return captures.withColumn("reject_reason", reason).withColumn("scoreable", F.col("reject_reason").isNull())

@@ -235,3 +235,13 @@ def _(s, d):
     coin = F.struct(F.col("o_custkey").cast("string").alias("mint"), F.when(k % 2 == 0, mc).alias("usd_market_cap"), mc.alias("market_cap_usd"), ((k + 1600000000) * F.when(k % 2 == 0, 1000).otherwise(1)).alias("created_timestamp"), (F.col("o_orderstatus") == "F").alias("complete"), (k % 90 * 1000000000).alias("real_sol_reserves"), (k % 50).alias("real_token_reserves"))
     out = nz.snapshots(table(s, d, "orders").select(k.alias("seen"), F.to_json(coin).alias("payload")), 50000.0, 200000.0, 40.0)
     return out.select("entity", "seen", "mc", "created", F.round("progress", 6).alias("progress"), "net_base")
+
+
+@query("p23_quality_grade", """, c as (select entity, case when entity % 3 = 0 then 'pyth' when entity % 3 = 1 then 'jupiter' end as src, entity % 11 > 0 as refined, case when entity % 22 = 0 then 'no trades' else '' end as detail, case when entity % 5 = 0 then 'LOW' when entity % 7 = 0 then 'HIGH' when entity % 3 = 0 then 'HIGH' else 'MED' end as quality from captures),
+  r as (select *, case when not refined then 't0_unrefined:' || coalesce(nullif(detail, ''), 'provisional') when quality = 'LOW' then 'capture_quality_low' when quality = 'MED' then 'capture_quality_med_pyth_required' when coalesce(src, '') <> 'pyth' then 'sol_usd_not_pyth:' || coalesce(src, '') end as reject_reason from c)
+  select entity, quality, reject_reason, reject_reason is null as scoreable from r""")
+def _(s, d):
+    e = F.col("entity")
+    rows = captured(s, d).select("entity", F.when(e % 3 == 0, "pyth").when(e % 3 == 1, "jupiter").alias("sol_usd_source"), (e % 11 > 0).alias("refined"), F.when(e % 22 == 0, "no trades").otherwise("").alias("detail"))
+    rows = rows.withColumn("quality", F.when(e % 5 == 0, "LOW").when(e % 7 == 0, "HIGH").otherwise(gt.quality_of(F.col("sol_usd_source"))))
+    return gt.score_reject_reason(rows).select("entity", "quality", "reject_reason", "scoreable")
