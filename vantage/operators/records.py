@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .capture import implied_mc, in_band
+from .gates import first_gate
 from .samples import numbered
 
 
@@ -140,3 +141,19 @@ def latest_followup(log: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The view of an append-only log in which a later write of the same keys replaces the earlier one."""
     rest = [c for c in log.columns if c not in (*keys, version)]
     return log.groupBy(*keys).agg(F.max(F.struct(version, *rest)).alias("r")).select(*keys, f"r.{version}", *[f"r.{c}" for c in rest])
+
+
+def reconstruct_matrix(sample: DataFrame, captures: DataFrame, features: DataFrame, labels: DataFrame, gates: dict[str, Column], columns: list[str]) -> DataFrame:
+    """Each row of a sample (entity, stored columns) with its capture, label, features, reason and deltas.
+
+    captures (entity, t0, p0), features and labels (entity, hit) have an entity once. Stored columns come as store_<name>, and
+    <name>_delta is the rebuilt value less the stored one, where both tables have it. Entities without a capture and those
+    that fail a gate stay, with the reason and null features; a gate that is null does not fail.
+    """
+    stored = [c for c in sample.columns if c != "entity"]
+    rows = sample.select("entity", *[F.col(c).alias(f"store_{c}") for c in stored]).join(captures.select("entity", "t0", "p0"), "entity", "left")
+    rows = rows.join(features.select("entity", *columns), "entity", "left").join(labels.select("entity", "hit"), "entity", "left")
+    reason = F.coalesce(F.when(F.col("t0").isNull(), "no_capture"), first_gate(gates))
+    rows = rows.withColumn("reason", reason)
+    rows = mask_features(rows, columns, F.col("reason").isNotNull())
+    return rows.withColumns({f"{c}_delta": F.col(c) - F.col(f"store_{c}") for c in columns if c in stored})

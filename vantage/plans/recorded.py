@@ -245,3 +245,18 @@ def _(s, d):
     rows = captured(s, d).select("entity", F.when(e % 3 == 0, "pyth").when(e % 3 == 1, "jupiter").alias("sol_usd_source"), (e % 11 > 0).alias("refined"), F.when(e % 22 == 0, "no trades").otherwise("").alias("detail"))
     rows = rows.withColumn("quality", F.when(e % 5 == 0, "LOW").when(e % 7 == 0, "HIGH").otherwise(gt.quality_of(F.col("sol_usd_source"))))
     return gt.score_reject_reason(rows).select("entity", "quality", "reject_reason", "scoreable")
+
+
+@query("a35_reconstruct_matrix", LONG + """, pk as (select c.entity, max(t.usd::double / t.tok) as top, any_value(p0) as p0 from captures c join trades t on t.entity = c.entity and t.ts > c.t0 and t.tok > 0 group by 1),
+  j as (select k.entity, k.entity % 10 as store_n, c.t0, c.p0, case when c.entity is not null then coalesce(top >= 1.2::double * pk.p0, false) end as hit, l.n, l.max_buy, case when c.t0 is null then 'no_capture' when l.n < 3 then 'few_trades' when l.max_buy > 60000 then 'max_buy' end as reason
+    from creates k left join captures c using (entity) left join long l on l.entity = k.entity left join pk on pk.entity = k.entity)
+  select entity, store_n, t0, p0, hit, reason, case when reason is null then n end as n, case when reason is null then max_buy end as max_buy, case when reason is null then n - store_n end as n_delta from j""")
+def _(s, d):
+    from vantage.operators import labels as lb
+    from vantage.plans.registry import priced
+
+    c = captured(s, d)
+    hits = lb.peak_hit(c, priced(s, d).where("price is not null"), 1.2)
+    gates = {"few_trades": F.col("n") >= 3, "max_buy": F.col("max_buy") <= 60000}
+    sample = creates(s, d).select("entity", (F.col("entity") % 10).alias("n"))
+    return rc.reconstruct_matrix(sample, c, _long(s, d), hits, gates, ["n", "max_buy"])
