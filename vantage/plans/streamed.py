@@ -9,6 +9,7 @@ from vantage.operators import models as md
 from vantage.operators import scores as sc
 from vantage.plans.derived import _long
 from vantage.plans.gated import WEIGHTS, _lite
+from vantage.plans.recorded import FLAGGED, _flagged
 from vantage.plans.registry import PREDS, captured, predictions, query
 from vantage.sources import files
 from vantage.sources.bindings import creates, event_rows, events, table
@@ -162,3 +163,18 @@ def _(s, d):
 def _(s, d):
     model, rows = _fitted(s, d)
     return md.recalibrate(model, rows.withColumn("net", F.when(F.col("entity") % 3 > 0, F.col("net"))), rows, FEATURES, 0.5)
+
+
+@query("k4_quarantine_partition", FLAGGED + " select entity, score from fg where is_stub or early")
+def _(s, d):
+    return files.quarantine_partition(_flagged(s, d), "is_legacy", scratch(s, "legacy")).select("entity", "score")
+
+
+@query("t2_score_and_enter")
+def _(s, d):
+    path = scratch(s, "entered")
+    priors = events(s, d).where("side = 'signup'").groupBy("entity").agg(F.count("*").alias("prior"))
+    score = F.col("value") / 500 + F.least(F.coalesce("prior", F.lit(0)), F.lit(10)) * 0.01
+    stream = _stream(s, d).select("event_id", "entity", "ts", "side", "value")
+    jobs.score_and_enter(stream, priors, score, 0.3, 20, 3600, 10, path, scratch(s, "state")).awaitTermination()
+    return s.read.parquet(path).select("entity", "ts", "event_id", F.round("score", 6).alias("score"))
