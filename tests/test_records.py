@@ -62,6 +62,7 @@ def _write(spark, folder, name, rows):
 def test_streams_go_on_after_a_restart_and_take_late_rows(spark, tmp_path):
     source, state, out, state2, out2 = (str(tmp_path / x) for x in ("in", "s1", "o1", "s2", "o2"))
     stream = lambda: jobs.replay(spark, f"{source}/*", EVENT)
+    assert jobs.sightings(spark, out).count() == jobs.peaks(spark, out2, 6.0).count() == 0
     _write(spark, source, "1", [(1, 7, 100, "x", 5.0), (2, 7, 90, "x", 50.0), (3, 8, 10, "x", 6.0)])
     for _ in range(2):  # the second run finds nothing new
         jobs.first_sighting(stream(), F.col("value") < 10, out, state).awaitTermination()

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,6 +28,16 @@ def _append(path: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table of a sink; empty where no batch has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as absent:
+        if absent.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def first_sighting(events: DataFrame, inside: Column, path: str, checkpoint: str) -> StreamingQuery:
     """Keeps, for each entity, its least (ts, event_id) among events inside the band. Read with sightings()."""
     first = events.where(inside).groupBy("entity").agg(F.min(F.struct("ts", "event_id", "value")).alias("first"))
@@ -35,7 +46,7 @@ def first_sighting(events: DataFrame, inside: Column, path: str, checkpoint: str
 
 def sightings(spark: SparkSession, path: str) -> DataFrame:
     """(entity, ts, event_id, value): the earliest sighting of each entity, late ones included."""
-    rows = spark.read.schema("entity long, first struct<ts:long,event_id:long,value:double>, batch int").parquet(path)
+    rows = _stored(spark, path, "entity long, first struct<ts:long,event_id:long,value:double>, batch int")
     return rows.groupBy("entity").agg(F.min("first").alias("f")).select("entity", "f.*")
 
 
@@ -47,7 +58,7 @@ def followup_peak(events: DataFrame, path: str, checkpoint: str) -> StreamingQue
 
 def peaks(spark: SparkSession, path: str, target: float) -> DataFrame:
     """(entity, peak, n, hit): a peak never falls, as the largest of all batches counts."""
-    rows = spark.read.schema("entity long, peak double, n long, batch int").parquet(path)
+    rows = _stored(spark, path, "entity long, peak double, n long, batch int")
     return rows.groupBy("entity").agg(F.max("peak").alias("peak"), F.max("n").alias("n")).withColumn("hit", F.col("peak") >= target)
 
 
@@ -63,7 +74,7 @@ def flow_windows(events: DataFrame, captures: DataFrame, window: int, late: str,
 
 def flows(spark: SparkSession, path: str) -> DataFrame:
     """(entity, t0, n, total) of the joined rows so far."""
-    rows = spark.read.schema("entity long, t0 timestamp, event_id long, side string, value double").parquet(path)
+    rows = _stored(spark, path, "entity long, t0 timestamp, event_id long, side string, value double")
     return rows.groupBy("entity", "t0").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
@@ -81,12 +92,7 @@ def score_and_enter(events: DataFrame, priors: DataFrame, score: Column, thresho
         now = batch.agg(F.max("ts")).first()[0]
         if now is None:
             return
-        try:
-            accepted = spark.read.schema(schema).parquet(path).where(F.col("batch") < number)
-        except Exception as absent:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(absent):
-                raise
-            accepted = spark.createDataFrame([], schema)
+        accepted = _stored(spark, path, schema).where(F.col("batch") < number)
         room = top_k if cap < 0 else min(top_k, max(0, cap - accepted.where(F.col("now") >= now - window).count()))
         scored = batch.join(priors, "entity", "left").withColumn("score", score).where(F.col("score") >= threshold)
         one = scored.groupBy("entity").agg(F.max_by(F.struct("ts", "event_id", "score"), F.struct("score", -F.col("ts"), -F.col("event_id"))).alias("r")).select("entity", "r.*")
