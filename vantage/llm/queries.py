@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, quality_rules, repeat_index, secret_scan, tool_calls, url_lists, warc
+from . import decontaminate, fill_middle, jaccard_join, line_dedup, mixing, quality_rules, quality_trees, repeat_index, secret_scan, tool_calls, url_lists, warc, whitening
 from .common import load, n_words_of
 
 
@@ -150,6 +150,39 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.link_credentials(load(spark, sf_dir, "documents"))
 
 
+def op11_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_trees.score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.rewrite(load(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
+OP13_SQL = """
+with d as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as l, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+k as (
+  select *, len(l) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d),
+c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from k),
+p as (
+  select *, array_to_string(l[1:a], '') as pre, array_to_string(l[a + 1:b], '') as mid, array_to_string(l[b + 1:], '') as suf from c)
+select doc_id, cast(n as bigint) as n, form,
+  case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(t) as restored_sha256
+from p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -162,6 +195,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_signature_trees": op8_signature_trees,
         "op9_url_lists": op9_url_lists,
         "op10_secret_scan": op10_secret_scan,
+        "op11_whiten_embeddings": op11_whiten_embeddings,
+        "op12_quality_trees": op12_quality_trees,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
@@ -177,4 +213,4 @@ from d left join r on d.payload_digest = r.payload_digest and d.payload_bytes >=
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_normalise": OP3_SQL, "op6_tool_calls": OP6_SQL, "op8_signature_trees": OP8_SQL, "op9_url_lists": OP9_SQL}
+    return {"op3_warc_normalise": OP3_SQL, "op6_tool_calls": OP6_SQL, "op8_signature_trees": OP8_SQL, "op9_url_lists": OP9_SQL, "op13_fill_middle": OP13_SQL}
