@@ -208,7 +208,7 @@ def whiten(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding"
 
     The fit list holds each distinct vector once. Rows without a vector, with a null, infinite or NaN entry, with an
     entry of 2^46 or more, or of another length than the commonest go; so do empty vectors. A null key stays; repeated
-    rows give repeated results, and equal vectors equal ones. Directions along which all vectors agree have no
+    rows give repeated results, and equal vectors ones that agree but for rounding. Directions along which all vectors agree have no
     component, so a single vector gives no rows, like an empty table. Other columns are not read, whatever their names.
     """
     rows = quantised(embeddings, key, vector)
