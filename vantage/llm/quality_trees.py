@@ -19,7 +19,9 @@ STATISTICS = [
     "words_per_line", "words_per_point", "symbol_words", "distinct_words", "top_word", "repeated_pairs", "distinct_pairs", "repeated_lines", "short_words", "long_words",
 ]
 #: Bytes of text that are counted at once; one longer text is cut at white space.
-PIECE = 1 << 21
+PIECE = 1 << 20
+#: Bytes of text whose words are held at once, but for a longer single text.
+GROUP = 4 << 20
 #: Whole numbers that a gradient of 1 stands for: sums of whole numbers do not depend on their order.
 UNIT = 1 << 24
 
@@ -153,7 +155,8 @@ def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text"
         for batch in batches:
             if batch.num_rows:
                 offsets, data = hashing.texts(batch.column("_t"))
-                flat = statistics(offsets, data)
+                cuts = np.unique(np.append(np.searchsorted(offsets, np.arange(offsets[0] + GROUP, offsets[-1], GROUP)), batch.num_rows))
+                flat = np.vstack([statistics(offsets[a : b + 1], data) for a, b in zip(np.append(0, cuts[:-1]), cuts, strict=True)])
                 lists = pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1], pa.array(flat.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "statistics"])
 
