@@ -72,6 +72,48 @@ def as_of_quotes(rows: DataFrame, quotes: DataFrame, at: str = "ts", most_age: i
     return out.select("_row.*", F.when(fresh, F.col("_got.q_ts")).alias("quote_ts"), F.when(fresh, F.col("_got.price")).alias("quote"))
 
 
+def as_of_chain(rows: DataFrame, series: list[tuple[str, DataFrame, int]], at: str = "ts", explicit: str | None = None, default: float | None = None, bucket: int = 86400, salt: int = 8) -> DataFrame:
+    """rows with quote, quote_ts and quote_source: the latest quote at or before `at` of the first series that has one in time.
+
+    series: (name, quotes of ts and price, largest age in seconds), the preferred one first. Each series keeps its own latest
+    quote, so a stale one never hides the next series', and a quote after `at` is never read. A positive value of the
+    column `explicit` goes before all series, with the source "explicit" and no time; where no series answers, the
+    quote is the default with the source "default", or null without one. Quotes without a time or a positive price
+    count for nothing; rows without a time get no series' quote.
+
+    One pass over rows and all series: time is cut into buckets, each bucket also starts with each series' last quote
+    from before it, and a window runs within a part of a bucket. Rows of a bucket are dealt over `salt` parts, as one
+    moment may hold many of them; the quotes, which are few, stand in each part.
+    """
+    names = rows.columns
+    kind = "struct<ts:bigint,price:double>"
+    good = [(i, q.where("ts is not null and price > 0").select(F.col("ts").cast("long").alias("ts"), F.col("price").cast("double").alias("price"))) for i, (_, q, _) in enumerate(series)]
+    quoted = None
+    for i, q in good:
+        q = q.groupBy("ts").agg(F.max("price").alias("price")).withColumn("_b", F.floor(F.col("ts") / bucket))
+        last = q.groupBy("_b").agg(F.max(F.struct("ts", "price")).alias("q"))
+        reach = -(-series[i][2] // bucket)
+        ahead = last.select(F.explode(F.sequence(F.col("_b") + 1, F.col("_b") + reach)).alias("_b"), "q") if reach > 0 else last.limit(0)
+        start = ahead.groupBy("_b").agg(F.max("q").alias("q"))  # the latest of all buckets within reach
+        one = q.select("_b", F.col("ts").alias("_t"), F.struct("ts", "price").alias("q")).unionByName(start.select("_b", F.col("q.ts").alias("_t"), "q"))
+        one = one.select("_b", "_t", *[(F.col("q") if i == j else F.lit(None).cast(kind)).alias(f"_q{j}") for j in range(len(series))])
+        quoted = one if quoted is None else quoted.unionByName(one)
+    dealt = F.pmod(F.xxhash64(*names), F.lit(salt)).cast("int")
+    left = rows.select(F.floor(F.col(at) / bucket).alias("_b"), dealt.alias("_p"), F.col(at).cast("long").alias("_t"), F.lit(1).alias("_s"), F.struct(*names).alias("_row"), *[F.lit(None).cast(kind).alias(f"_q{j}") for j in range(len(series))])
+    right = quoted.withColumn("_p", F.explode(F.array(*[F.lit(k) for k in range(salt)]))).withColumn("_s", F.lit(0)).withColumn("_row", F.lit(None).cast(left.schema["_row"].dataType))
+    w = Window.partitionBy("_b", "_p").orderBy("_t", "_s").rowsBetween(Window.unboundedPreceding, 0)
+    seen = left.unionByName(right).withColumns({f"_q{j}": F.last(f"_q{j}", True).over(w) for j in range(len(series))}).where("_s = 1")
+    found = [F.when(F.col("_t") - F.col(f"_q{j}.ts") <= age, F.struct(F.col(f"_q{j}.ts").alias("ts"), F.col(f"_q{j}.price").alias("price"), F.lit(name).alias("source"))) for j, (name, _, age) in enumerate(series)]
+    answer = lambda price, source: F.struct(F.lit(None).cast("long").alias("ts"), price.cast("double").alias("price"), F.lit(source).alias("source"))
+    if explicit is not None:
+        own = F.col(f"_row.{explicit}")
+        found.insert(0, F.when(own > 0, answer(own, "explicit")))
+    if default is not None:
+        found.append(answer(F.lit(default), "default"))
+    got = seen.select("_row", F.coalesce(*found).alias("_a"))
+    return got.select("_row.*", F.col("_a.price").alias("quote"), F.col("_a.ts").alias("quote_ts"), F.col("_a.source").alias("quote_source"))
+
+
 def minute_lookup(rows: DataFrame, quotes: DataFrame, step: int = 86400) -> DataFrame:
     """rows with the quote of their own step of time, null where it has none."""
     q = quotes.select((F.col("ts") - F.col("ts") % step).alias("_slot"), F.col("price").alias("quote"))

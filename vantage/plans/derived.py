@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vantage.operators import capture as cap
 from vantage.operators import compare as cmp
 from vantage.operators import labels as lb
+from vantage.operators import ordered as od
 from vantage.plans.registry import PREDS, PRICED, captured, pit, predictions, priced, query
 from vantage.sources.bindings import BAND, creates, quotes, table, trades
 
@@ -167,6 +168,12 @@ def _(s, d):
     return cmp.union_first([captured(s, d).select("entity", "t0"), creates(s, d).select("entity", "created")], "entity")
 
 
+@query("u4_spearman", PREDS + """, k as (select entity, score, round(multiple, 1) as m from preds where multiple is not null), n as (select *, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2 as a, rank() over (order by m) + (count(*) over (partition by m) - 1) / 2 as b from k)
+  select count(*) as n, round(corr(a, b), 9) as spearman from n""")
+def _(s, d):
+    return od.spearman(predictions(s, d).withColumn("m", F.round("multiple", 1)), "score", "m").withColumn("spearman", F.round("spearman", 9))
+
+
 @query("u4_accept_set_overlap", PREDS + """ select case when score >= 0.3 and entity % 3 = 0 then 'both' when score >= 0.3 then 'only_a' when entity % 3 = 0 then 'only_b' else 'none' end as part,
   count(*) as n, round(avg(y), 6) as "precision" from preds group by 1""")
 def _(s, d):

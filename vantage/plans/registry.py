@@ -11,6 +11,7 @@ from vantage.operators import capture as cap
 from vantage.operators import evaluate as ev
 from vantage.operators import features as ft
 from vantage.operators import labels as lb
+from vantage.operators import ordered as od
 from vantage.sources.bindings import BAND, DAY, SQL, creates, events, quotes, table, trades
 
 W = {"30d": 30 * DAY, "180d": 180 * DAY}
@@ -143,6 +144,26 @@ def _(s, d):
     return out.select("entity", "t0", "quote_ts", F.round("quote", 6).alias("quote"))
 
 
+SERIES = """, q1 as (select (o_orderdate::date - date '1970-01-01') * 86400 + 43200 as ts, max(o_totalprice) / 1000 as price from orders where dayofyear(o_orderdate) % 5 < 2 group by 1),
+  q2 as (select (o_orderdate::date - date '1970-01-01') * 86400 as ts, max(o_totalprice) / 500 as price from orders where dayofyear(o_orderdate) % 3 = 0 group by 1),
+  q3 as (select (o_orderdate::date - date '1970-01-01') * 86400 as ts, max(o_totalprice) / 250 as price from orders where day(o_orderdate) in (1, 11) group by 1),
+  a as (select c.entity, c.t0, case when entity % 17 = 0 then 150.0::double when entity % 17 = 1 then -1.0::double end as own, q1.ts as t1, q1.price as p1 from captures c asof left join q1 on c.t0 >= q1.ts),
+  b as (select a.*, q2.ts as t2, q2.price as p2 from a asof left join q2 on a.t0 >= q2.ts), x as (select b.*, q3.ts as t3, q3.price as p3 from b asof left join q3 on b.t0 >= q3.ts),
+  s as (select *, case when own > 0 then 'explicit' when t0 - t1 <= 50000 then 'noon' when t0 - t2 <= 86400 then 'third_day' when t0 - t3 <= 432000 then 'tenth_day' else 'default' end as quote_source from x)"""
+
+
+@query("j6_asof_chain", SERIES + """select entity, t0, quote_source, case quote_source when 'noon' then t1 when 'third_day' then t2 when 'tenth_day' then t3 end as quote_ts,
+  round(case quote_source when 'explicit' then own when 'noon' then p1 when 'third_day' then p2 when 'tenth_day' then p3 else 99.5::double end, 6) as quote from s""")
+def _(s, d):
+    o = table(s, d, "orders")
+    day = F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")).cast("long") * DAY
+    series = lambda keep, shift, by: o.where(keep).groupBy((day + shift).alias("ts")).agg((F.max("o_totalprice") / by).alias("price"))
+    chain = [("noon", series(F.dayofyear("o_orderdate") % 5 < 2, 43200, 1000), 50000), ("third_day", series(F.dayofyear("o_orderdate") % 3 == 0, 0, 500), DAY), ("tenth_day", series(F.dayofmonth("o_orderdate").isin(1, 11), 0, 250), 5 * DAY)]
+    own = F.when(F.col("entity") % 17 == 0, 150.0).when(F.col("entity") % 17 == 1, -1.0)
+    out = cap.as_of_chain(captured(s, d).select("entity", "t0", own.alias("own")), chain, at="t0", explicit="own", default=99.5)
+    return out.select("entity", "t0", "quote_source", "quote_ts", F.round("quote", 6).alias("quote"))
+
+
 @query("j7_create_join", """select c.entity, c.t0, k.creator, c.t0 - k.created as age, coalesce(length(k.name), 0)::bigint as name_len
   from captures c left join creates k on k.entity = c.entity and k.created <= c.t0""")
 def _(s, d):
@@ -444,6 +465,28 @@ def _(s, d):
     return ev.rank_metrics(predictions(s, d), ["fold"])
 
 
+CURVE = PREDS + """, g as (select fold, score, sum(y)::bigint as p, count(*) - sum(y)::bigint as q from preds group by all),
+  c as (select *, sum(p) over w as tp, sum(q) over w as fp, sum(p) over f as pos, sum(q) over f as neg from g window w as (partition by fold order by score desc), f as (partition by fold))"""
+
+
+@query("m3_curve_metrics", CURVE + """, b as (select *, 2 * tp / (tp + fp + pos) as f1, tp / (tp + fp) as pr, tp / pos as re from c),
+  h as (select fold, sum(p * least(1, greatest(0, (pos - (tp + fp - p - q)) / (p + q)))) as h from c group by fold)
+  select fold, any_value(pos)::bigint as pos, any_value(neg)::bigint as neg, round(sum(q * (tp - p / 2)) / any_value(pos * neg), 6) as auc, round(sum(p * pr) / any_value(pos), 6) as ap, round(max(f1), 6) as best_f1, arg_max(score, row(f1, -score)) as threshold,
+    round(arg_max(pr, row(f1, -score)), 6) as best_precision, round(arg_max(re, row(f1, -score)), 6) as best_recall, any_value(pos)::bigint as k_natural, round(any_value(h) / any_value(pos), 6) as precision_natural, round(any_value(h) / any_value(pos), 6) as recall_natural
+  from b join h using (fold) group by fold""")
+def _(s, d):
+    out = od.curve_metrics(predictions(s, d), ["fold"])
+    return out.withColumns({c: F.round(c, 6) for c in ("auc", "ap", "best_f1", "best_precision", "best_recall", "precision_natural", "recall_natural")})
+
+
+@query("m3_rank_bands", CURVE + """, k as (select fold, pos, n, band, k from (select distinct fold, pos, pos + neg as n from c), lateral (values ('top_1.0%', greatest(1, round_even(0.01::double * n, 0))), ('top_10.0%', greatest(1, round_even(0.1::double * n, 0))), ('top_50', 50), ('top_100000000', 100000000)) v(band, k) where k <= n),
+  h as (select k.fold, band, k::bigint as k, any_value(k.pos) as pos, any_value(n) as n, sum(p * least(1, greatest(0, (k - (tp + fp - p - q)) / (p + q)))) as hits from k join c using (fold) group by all)
+  select fold, band, k, round(hits, 6) as hits, round(hits / k, 6) as "precision", round(hits / pos, 6) as recall, round(2 * hits / (k + pos), 6) as f1, round(hits / k * n / pos, 6) as lift from h""")
+def _(s, d):
+    out = od.rank_bands(predictions(s, d), ["fold"], [0.01, 0.1], [50, 100_000_000])
+    return out.withColumns({c: F.round(c, 6) for c in ("hits", "precision", "recall", "f1", "lift")})
+
+
 @query("m5_train_quantile_threshold", PREDS + FOLDS + " select f.fold, round(quantile_cont(score, 0.9::double), 9) as threshold from folds f join preds p using (entity) where part = 'train' group by f.fold")
 def _(s, d):
     return ev.quantile_thresholds(ev.expanding_folds(captured(s, d)).join(predictions(s, d).select("entity", "score"), "entity"), 0.1)

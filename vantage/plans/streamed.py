@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from vantage.operators import evaluate as ev
 from vantage.operators import models as md
+from vantage.operators import ordered as od
 from vantage.operators import scores as sc
 from vantage.plans.derived import _long
 from vantage.plans.gated import WEIGHTS, _lite
 from vantage.plans.recorded import FLAGGED, _flagged
 from vantage.plans.registry import PREDS, captured, predictions, query
-from vantage.sources import files
+from vantage.sources import files, keyed, zstd_log
 from vantage.sources.bindings import creates, event_rows, events, table
 from vantage.sources.shared import materialize, scratch
 from vantage.streaming import jobs
@@ -28,8 +29,17 @@ def _(s, d):
 def _(s, d):
     path = scratch(s, "log")
     rows = events(s, d).select("entity", "event_id", "side", "value")
-    rows.write.option("compression", "gzip").json(path)
-    return files.read_event_log(s, path, "entity long, event_id long, side string, value double", rows.where("side = 'signup'"))
+    zstd_log.write_event_log(rows, path)
+    return zstd_log.read_event_log(s, path, "entity long, event_id long, side string, value double", rows.where("side = 'signup'"))
+
+
+@query("s3_event_log_times", "select event_id, ts, value from ev where ts between 1704500000 and 1705500000 and entity in (select entity from ev where event_id % 9 = 0)")
+def _(s, d):
+    path = scratch(s, "log")
+    rows = events(s, d).select("entity", "event_id", "ts", "value")
+    zstd_log.write_event_log(rows.repartition(5), path)
+    log = zstd_log.read_event_log(s, path, "event_id long, value double, entity long, ts long", rows.where("event_id % 9 = 0"), at="ts", since=1704500000, until=1705500000)
+    return log.select("event_id", "ts", "value")
 
 
 def _batches(s, d):
@@ -91,11 +101,48 @@ def _(s, d):
     return jobs.flows(s, path).select("entity", F.unix_timestamp("t0").alias("t0"), "n", F.round("total", 3).alias("total"))
 
 
-@query("t6_monitor", """, sl as (select unnest(range(1704067200, 1704067200 + 604800, 900)) as slot), g as (select ts - ts % 900 as slot, count(*) as n, count(*) filter (value < 60) as n_low, count(*) filter (event_id % 50 = 0) as c from ev group by 1),
-  j as (select slot, coalesce(n, 0) as n, coalesce(n_low, 0) as n_low, case when n is null then 'silent' when c > 0 then 'complete' when n_low > 0.4::double * n then 'low_share' end as problem from sl left join g using (slot)) select * from j where problem is not null""")
+SLOTS = """, sl as (select unnest(range((select min(ts) - min(ts) % 900 from ev), (select max(ts) + 1 from ev), 900)) as slot),
+  g as (select ts - ts % 900 as slot, count(*) as n, count(*) filter (value < 60) as n_low, count(*) filter (event_id % 50 = 0) as c from ev group by 1),
+  j as (select slot, coalesce(n, 0) as n, coalesce(n_low, 0) as n_low, case when n is null then 'silent' when c > 0 then 'complete' when n_low > 0.4::double * n then 'low_share' end as problem from sl left join g using (slot)) select * from j where problem is not null"""
+
+
+def _graded(rows):
+    return rows.select("ts", F.when(F.col("value") < 60, "LOW").otherwise("HIGH").alias("quality"), (F.col("event_id") % 50 == 0).alias("complete"))
+
+
+@query("t6_monitor", SLOTS)
+def _(s, d):
+    lo, hi = events(s, d).agg(F.min("ts"), F.max("ts")).first()
+    return jobs.monitor(_graded(events(s, d)), *((lo, hi + 1) if lo is not None else (0, 0)))
+
+
+@query("t6_stream_monitor", SLOTS)
 def _(s, d):
-    rows = events(s, d).select("ts", F.when(F.col("value") < 60, "LOW").otherwise("HIGH").alias("quality"), (F.col("event_id") % 50 == 0).alias("complete"))
-    return jobs.monitor(rows, 1704067200, 1704067200 + 604800)
+    path, out, state = scratch(s, "monitor"), scratch(s, "slots"), scratch(s, "state")
+    lo, hi = events(s, d).agg(F.min("ts"), F.max("ts")).first()
+    if lo is None:
+        return jobs.monitored(s, out)
+    beat = lambda rows, name: rows.select(F.timestamp_seconds("id").alias("at")).write.parquet(f"{path}/{name}")
+    beat(s.range(lo - lo % 900, hi + 1, 900), "beats0")
+
+    def run():
+        seen = _graded(_stream(s, d)).withColumn("at", F.timestamp_seconds("ts"))
+        beats = s.readStream.schema("at timestamp").parquet(f"{path}/beats*")
+        jobs.monitor_stream(seen, beats, f"{hi - lo + 900} seconds", out, state).awaitTermination()
+
+    run()
+    beat(s.range(2 * hi - lo + 2700, 2 * hi - lo + 2701), "beats1")  # a later beat closes all slots of the range
+    run()
+    return jobs.monitored(s, out)
+
+
+@query("t6_weekly_ks", """, b as (select value as v, floor((ts + 259200) / 604800)::bigint as week, ts < 1704672000 as r from ev where value is not null),
+  vs as (select v, count(*) filter (r) as k from b group by v), cr as (select v, sum(k) over (order by v) / sum(k) over () as f from vs),
+  wk as (select week, count(*) as n from b where not r group by 1), g as (select v, week, count(*) as k from b where not r group by all),
+  f as (select wk.week, n, cr.v, cr.f, sum(coalesce(k, 0)) over (partition by wk.week order by cr.v) / n as fw from wk cross join cr left join g on g.week = wk.week and g.v = cr.v)
+  select week, n, round(max(abs(f - fw)), 9) as ks from f group by week, n""")
+def _(s, d):
+    return od.weekly_ks(events(s, d), F.col("ts") < 1704672000, "value").select("week", "n", F.round("ks", 9).alias("ks"))
 
 
 @query("t7_replay_batches", PEAKS)
@@ -170,6 +217,25 @@ def _(s, d):
     return files.quarantine_partition(_flagged(s, d), "is_legacy", scratch(s, "legacy")).select("entity", "score")
 
 
+@query("k2_first_seen_store", "select entity, ts, event_id from (select *, row_number() over (partition by entity order by ts, event_id) as r from ev) where r = 1")
+def _(s, d):
+    e = events(s, d).select("entity", "ts", "event_id")
+    table = keyed.first_seen_table(s, scratch(s, "seen"), e.schema)
+    for batch in (0, 1, 1, 2, 0):  # later batches hold earlier sightings too; a batch that comes again changes nothing
+        keyed.append_first_seen(table, e.where(F.col("event_id") % 3 == 2 - batch), batch)
+    table.vacuum(1)
+    return keyed.unpacked(table)
+
+
+@query("k3_followup_store", "select entity, side, ts, event_id, value from (select *, row_number() over (partition by entity, side order by ts desc, event_id desc) as r from ev) where r = 1")
+def _(s, d):
+    e = events(s, d).select("entity", "side", "ts", "event_id", "value")
+    table = keyed.followup_table(s, scratch(s, "followup"), e.schema, ["entity", "side"], "ts")
+    for batch in (0, 1, 1, 2):
+        keyed.upsert_followup(table, e.where(F.col("event_id") % 3 == 2 - batch), batch)
+    return keyed.unpacked(table)
+
+
 @query("t2_score_and_enter")
 def _(s, d):
     path = scratch(s, "entered")

@@ -24,5 +24,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """df written to the shared folder and read back, so that jobs over it do not compute it again and lost executors cost nothing."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(table: DataFrame) -> None:
+    """Deletes a table of materialize() that nothing will read again."""
+    files = table.inputFiles()
+    if files:
+        folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

@@ -1,5 +1,6 @@
-"""Streams over events. Sinks are append-only tables keyed by batch, so a batch that runs again replaces itself, and
-views over them give the state; a restart goes on from the checkpoint."""
+"""Streams over events. Sinks are folders keyed by batch, so a batch that runs again replaces itself, and views over them
+give the state; a restart goes on from the checkpoint. Where the folders would grow without end, they are merged into
+a keyed table every few batches."""
 
 from __future__ import annotations
 
@@ -10,6 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vantage.sources.keyed import KeyedTable
+
+#: Batches whose folders are merged into the keyed table at once.
+EVERY = 16
+
 
 def replay(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     """A table of files as a stream, so many files a micro-batch."""
@@ -21,13 +27,6 @@ def _run(stream: DataFrame, sink: Callable[[DataFrame, int], None] | None, check
     return (writer.foreachBatch(sink) if sink else writer.format(start["format"]).option("path", start["path"])).start()
 
 
-def _append(path: str) -> Callable[[DataFrame, int], None]:
-    def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return sink
-
-
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table of a sink; empty where no batch has been written yet."""
     try:
@@ -38,28 +37,63 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def first_sighting(events: DataFrame, inside: Column, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps, for each entity, its least (ts, event_id) among events inside the band. Read with sightings()."""
-    first = events.where(inside).groupBy("entity").agg(F.min(F.struct("ts", "event_id", "value")).alias("first"))
-    return _run(first, _append(path), checkpoint, "update")
+def _sightings(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, f"{path}/table", "entity long, first struct<ts:bigint,event_id:bigint,value:double>", ["entity"], {"first": F.min("first")})
+
+
+def _peaks(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, f"{path}/table", "entity long, peak double, n long", ["entity"], {"peak": F.max("peak"), "n": F.sum("n")})
+
+
+def _deltas(table: KeyedTable, path: str, after: int) -> DataFrame:
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
+    return _stored(table.spark, f"{path}/deltas", f"{schema}, batch int").where(F.col("batch") > after).drop("batch")
+
+
+def _keep(table: KeyedTable, path: str, rows: Callable[[DataFrame], DataFrame], every: int) -> Callable[[DataFrame, int], None]:
+    """A sink without stream state: a batch is reduced to a row for each of its keys and written to a folder of its own;
+    every so many batches the folders are merged into the table, which then names the last batch it holds. Folders that the
+    table held at the merge before are deleted, so readers see at most twice as many. A batch that the table holds is not
+    written again."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        held = table.manifest().batch
+        if number <= held:
+            return
+        table.merged(rows(batch)).write.mode("overwrite").parquet(f"{path}/deltas/batch={number}")
+        if number - held >= every:
+            table.upsert(_deltas(table, path, held), number)
+            table.drop_folders(f"{path}/deltas", held)
+            table.vacuum()
+
+    return sink
+
+
+def first_sighting(events: DataFrame, inside: Column, path: str, checkpoint: str, every: int = EVERY) -> StreamingQuery:
+    """Keeps, for each entity, its least (ts, event_id) among events inside the band. Read with sightings().
+
+    The least is merged and not remembered, so the stream has no state and an event may come as late as it likes.
+    """
+    point = F.struct("ts", "event_id", "value").alias("first")
+    return _run(events.where(inside), _keep(_sightings(events.sparkSession, path), path, lambda b: b.select("entity", point), every), checkpoint, "append")
 
 
 def sightings(spark: SparkSession, path: str) -> DataFrame:
     """(entity, ts, event_id, value): the earliest sighting of each entity, late ones included."""
-    rows = _stored(spark, path, "entity long, first struct<ts:long,event_id:long,value:double>, batch int")
-    return rows.groupBy("entity").agg(F.min("first").alias("f")).select("entity", "f.*")
+    table = _sightings(spark, path)
+    return table.merged(table.read().unionByName(_deltas(table, path, table.manifest().batch))).select("entity", "first.*")
 
 
-def followup_peak(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps each entity's largest value and number of events so far. Read with peaks()."""
-    peak = events.groupBy("entity").agg(F.max("value").alias("peak"), F.count("*").alias("n"))
-    return _run(peak, _append(path), checkpoint, "update")
+def followup_peak(events: DataFrame, path: str, checkpoint: str, every: int = EVERY) -> StreamingQuery:
+    """Keeps each entity's largest value and number of events so far, without stream state. Read with peaks()."""
+    one = F.lit(1).cast("long").alias("n")
+    return _run(events, _keep(_peaks(events.sparkSession, path), path, lambda b: b.select("entity", F.col("value").alias("peak"), one), every), checkpoint, "append")
 
 
 def peaks(spark: SparkSession, path: str, target: float) -> DataFrame:
     """(entity, peak, n, hit): a peak never falls, as the largest of all batches counts."""
-    rows = _stored(spark, path, "entity long, peak double, n long, batch int")
-    return rows.groupBy("entity").agg(F.max("peak").alias("peak"), F.max("n").alias("n")).withColumn("hit", F.col("peak") >= target)
+    table = _peaks(spark, path)
+    return table.merged(table.read().unionByName(_deltas(table, path, table.manifest().batch))).withColumn("hit", F.col("peak") >= target)
 
 
 def flow_windows(events: DataFrame, captures: DataFrame, window: int, late: str, path: str, checkpoint: str) -> StreamingQuery:
@@ -107,6 +141,28 @@ def monitor(captures: DataFrame, start: int, end: int, slot: int = 900, low: flo
     complete one: slots are made from the range, so that silent ones show."""
     slots = captures.sparkSession.range(start - start % slot, end, slot).select(F.col("id").alias("slot"))
     seen = captures.groupBy((F.col("ts") - F.col("ts") % slot).alias("slot")).agg(F.count("*").alias("n"), F.count_if(F.col("quality") == "LOW").alias("n_low"), F.count_if("complete").alias("n_complete"))
-    out = slots.join(seen, "slot", "left").na.fill(0, ["n", "n_low", "n_complete"])
+    return _problems(slots.join(seen, "slot", "left").na.fill(0, ["n", "n_low", "n_complete"]), low)
+
+
+def monitor_stream(captures: DataFrame, heartbeats: DataFrame, late: str, path: str, checkpoint: str, slot: int = 900) -> StreamingQuery:
+    """Counts a stream of captures (at timestamp, quality, complete) by slots of time, once the watermark has closed a slot.
+
+    Heartbeats (at timestamp), one a slot from any clock, stand in the same windows and count nothing, so that a slot
+    without captures shows. State is a row for each open slot. Rows that come more than `late` after the latest one may
+    be dropped; rows without a time are. A closed slot is written once, also over restarts. Read with monitored().
+    """
+    seen = captures.select("at", (F.col("quality") == "LOW").alias("low"), "complete", F.lit(1).alias("k"))
+    beats = heartbeats.select("at", F.lit(False).alias("low"), F.lit(False).alias("complete"), F.lit(0).alias("k"))
+    rows = seen.unionByName(beats).where("at is not null").withWatermark("at", late)
+    closed = rows.groupBy(F.window("at", f"{slot} seconds")).agg(F.sum("k").alias("n"), F.count_if("low").alias("n_low"), F.count_if("complete").alias("n_complete"))
+    return _run(closed.select(F.unix_timestamp("window.start").alias("slot"), "n", "n_low", "n_complete"), None, checkpoint, "append", format="parquet", path=path)
+
+
+def _problems(slots: DataFrame, low: float) -> DataFrame:
     problem = F.when(F.col("n") == 0, "silent").when(F.col("n_complete") > 0, "complete").when(F.col("n_low") > low * F.col("n"), "low_share")
-    return out.select("slot", "n", "n_low", problem.alias("problem")).where("problem is not null")
+    return slots.select("slot", "n", "n_low", problem.alias("problem")).where("problem is not null")
+
+
+def monitored(spark: SparkSession, path: str, low: float = 0.4) -> DataFrame:
+    """(slot, n, n_low, problem) of the closed slots that monitor() would list."""
+    return _problems(_stored(spark, path, "slot long, n long, n_low long, n_complete long"), low)
