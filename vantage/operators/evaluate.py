@@ -33,6 +33,36 @@ def expanding_folds(df: DataFrame, n_folds: int = 5, start: float = 0.4) -> Data
     return rows.select("entity", "t0", "fold", F.when(F.col("idx") >= F.col("lo"), "test").otherwise("train").alias("part"))
 
 
+def single_cut(df: DataFrame, label: str, share: float = 0.7, back: int = 40) -> DataFrame:
+    """(entity, t0, fold, part) of one fold: the rows before a cut of the time order train, the others test.
+
+    The cut is the largest one at or before `share` of the rows that leaves both classes on both sides, looked for
+    `back` rows back and not below the middle; without one it is at `share`. Both sides hold both classes just when the
+    cut lies after the first row and not after the last row of each class, so four positions tell it, and no rows are tried.
+    Rows without a label belong to no class but count in the order.
+    """
+    idx = row_index(df.select("entity", "t0", label), "t0", "entity", bucket=F.floor(F.col("t0") / (30 * DAY)))
+    one = lambda agg, y: agg(F.when(F.col(label) == y, F.col("idx")))
+    ends = idx.agg(F.count("*").alias("n"), one(F.min, 1).alias("p"), one(F.min, 0).alias("m"), one(F.max, 1).alias("pl"), one(F.max, 0).alias("ml"))
+    at = F.floor(F.col("n") * share)
+    best = F.least(at, "pl", "ml")  # null classes: least and greatest skip nulls, so they are told apart below
+    fits = F.col("p").isNotNull() & F.col("m").isNotNull() & (best > F.greatest("p", "m")) & (best > F.greatest(at - back, F.floor(F.col("n") / 2)))
+    cut = ends.select(F.when(fits, best).otherwise(at).alias("_cut"))  # one row
+    return idx.crossJoin(F.broadcast(cut)).select("entity", "t0", F.lit(1).alias("fold"), F.when(F.col("idx") < F.col("_cut"), "train").otherwise("test").alias("part"))
+
+
+def folds_or_cut(df: DataFrame, label: str, n_folds: int = 5, start: float = 0.4, least_rows: int = 80) -> DataFrame:
+    """Expanding folds where the rows are enough for them: at least least_rows, and each fold with both parts and, in its
+    train part, both classes. Else the single cut. The decision reads counts of folds, a row for each."""
+    folds = expanding_folds(df, n_folds, start)
+    n = df.count()
+    if n >= least_rows:
+        told = folds.join(df.select("entity", F.col(label).alias("_y")), "entity").groupBy("fold").agg(F.countDistinct("part").alias("parts"), F.countDistinct(F.when(F.col("part") == "train", F.col("_y"))).alias("classes")).collect()
+        if len(told) == n_folds and all(r["parts"] == 2 and r["classes"] == 2 for r in told):
+            return folds
+    return single_cut(df, label)
+
+
 def embargo_split(df: DataFrame, train_end: int, val_end: int, test_end: int, embargo: int, horizon: int | None = None) -> DataFrame:
     """train: t0 up to train_end whose outcome, t0 + horizon, is known when validation starts; val: after train_end +
     embargo, up to val_end; test: after the last row of val + embargo, up to test_end. The horizon is the embargo

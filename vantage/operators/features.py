@@ -134,6 +134,46 @@ def catalogue_features(pit: DataFrame, window: int) -> DataFrame:
     return out.select(*KEY, F.round("gap_var", 2).alias("gap_var"), F.round(F.col("vwap") / F.col("p0"), 6).alias("vwap_vs_p0"), F.round("gini", 6).alias("gini"))
 
 
+def next_time(rows: DataFrame, by: list[str], at: str, out: str, bucket: int = 30 * 86400) -> DataFrame:
+    """Adds the least later-or-equal time of the group's next row (ties are next to each other), null at its last row.
+
+    Rows are ordered within buckets of time; the last row of a bucket takes the first time of the group's next bucket, from
+    a table of a row for each bucket. So a group that holds much of the table is spread over its buckets.
+    """
+    tagged = rows.withColumn("_b", F.floor(F.col(at) / bucket))
+    starts = tagged.groupBy(*by, "_b").agg(F.min(at).alias("_first"))
+    after = starts.select(*by, "_b", F.lead("_first").over(Window.partitionBy(*by).orderBy("_b")).alias("_next"))
+    inside = F.lead(at).over(Window.partitionBy(*by, "_b").orderBy(at))
+    return tagged.withColumn("_lead", inside).join(after, [*by, "_b"]).withColumn(out, F.coalesce("_lead", "_next")).drop("_b", "_lead", "_next")
+
+
+def curve_catalogue(pit: DataFrame, lo: float, window: int, quote: float, virtual_base: float, virtual_tok: float, real_tok: float, supply: float = 1e9) -> DataFrame:
+    """Per capture, from its trades up to t0: time_in_band, time_above, max_buy_base, liq_real, liq_over_mc, inv_k and curve_share.
+
+    The price after a trade holds until the next one, the last one's until t0. time_in_band adds up the time at `lo` or
+    above, time_above is the last unbroken stretch of it that reaches t0 (0 if the last price is below). max_buy_base is the
+    largest buy within the window. Of the curve, which starts with virtual reserves and real_tok tokens: liq_real is the
+    base paid in, on balance, liq_over_mc its worth at the quote over p0 * supply, inv_k the product of the virtual
+    reserves after it, and curve_share what is left of the tokens over the supply. Trades without tokens have no price and
+    change no stretch.
+    """
+    buy = F.col("side") == "buy"
+    usd = F.sum(F.when(buy, F.col("usd")).otherwise(-F.col("usd"))).cast("double")
+    tok = F.sum(F.when(buy, F.col("tok")).otherwise(-F.col("tok")))
+    sums = pit.groupBy(*KEY).agg(F.first("p0").alias("p0"), usd.alias("net_usd"), tok.alias("net_tok"), F.max(F.when(buy & (F.col("age") <= window), F.col("base"))).alias("max_buy_base"))
+    price = F.col("usd").cast("double") / F.nullif(F.col("tok"), F.lit(0.0))
+    steps = next_time(pit.select(*KEY, "ts", price.alias("_p")).where("_p is not null"), list(KEY), "ts", "_until")
+    # of trades at one time only the last one's price holds for longer than no time; which is last is told by the larger price
+    steps = steps.groupBy(*KEY, "ts").agg(F.max("_p").alias("_p"), F.max("_until").alias("_until"))
+    held = F.coalesce("_until", "t0") - F.col("ts")
+    above = F.col("_p") >= lo
+    times = steps.groupBy(*KEY).agg(F.coalesce(F.sum(F.when(above, held)), F.lit(0)).alias("time_in_band"), F.max(F.when(~above, F.coalesce("_until", "t0"))).alias("_fell"), F.min("ts").alias("_first"))
+    times = times.select(*KEY, "time_in_band", (F.col("t0") - F.coalesce("_fell", "_first")).alias("time_above"))
+    base = F.col("net_usd") / quote
+    out = sums.join(times, list(KEY), "left")
+    return out.select(*KEY, F.coalesce("time_in_band", F.lit(0)).alias("time_in_band"), F.coalesce("time_above", F.lit(0)).alias("time_above"), "max_buy_base", base.alias("liq_real"), (F.col("net_usd") / (F.col("p0") * supply)).alias("liq_over_mc"), ((virtual_base + base) * (virtual_tok - F.col("net_tok"))).alias("inv_k"), ((real_tok - F.col("net_tok")) / supply).alias("curve_share"))
+
+
 def microstructure_flow(captures: DataFrame, pit: DataFrame, windows: dict[str, int], curve: str = "pumpdotfun", migrated: str = "pumpswap") -> DataFrame:
     """Per capture: counts, volumes and distinct traders of each window, buyers, sellers, totals, net base in all and on
     the curve, the largest buy, the age of the first trade, and whether a trade stands at the venue after migration.

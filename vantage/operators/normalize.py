@@ -147,13 +147,7 @@ def snapshots(rows: DataFrame, lo: float, hi: float, initial: float) -> DataFram
     return out.groupBy("entity").agg(F.max(F.struct("seen", *rest)).alias("r")).select("entity", "r.*")
 
 
-def transfer_legs(rows: DataFrame, quote: str = NATIVE[1]) -> DataFrame:
-    """(tx, kind, err, mint, payer, transfers array<struct<mint,sender,receiver,amount>>) -> tx, side, trader, tok, base.
-
-    Where the payer gives up tokens on balance, it is one sell of the net amounts. Otherwise each receipt of tokens by
-    an account that sends none is a buy, paired in order with the trader's payments to token senders; receipts
-    beyond its payments have base 0. Failed and liquidity transactions go. All is done within the row: no shuffle.
-    """
+def _swap_legs(rows: DataFrame, quote: str) -> DataFrame:
     ok = rows.where(~F.coalesce("err", F.lit(False)) & ~F.lower(F.coalesce("kind", F.lit(""))).rlike("liquidity|create_pool"))
     ok = ok.withColumn("m", F.expr("filter(transfers, t -> t.mint = mint and t.amount > 0)")).withColumn("q", F.expr(f"filter(transfers, t -> t.mint = '{quote}' and t.amount > 0)"))
     net = lambda side: F.expr(f"aggregate({side}, 0D, (s, t) -> s + case when t.receiver = payer then t.amount else 0D end - case when t.sender = payer then t.amount else 0D end)")
@@ -162,4 +156,43 @@ def transfer_legs(rows: DataFrame, quote: str = NATIVE[1]) -> DataFrame:
     buys = F.expr("""transform(buys, (t, i) -> named_struct('side', 'buy', 'trader', t.receiver, 'tok', t.amount, 'base',
         coalesce(get(filter(paid, x -> x.sender = t.receiver), size(filter(slice(buys, 1, i), y -> y.receiver = t.receiver))).amount, 0D)))""")
     sell = F.array(F.struct(F.lit("sell").alias("side"), F.col("payer").alias("trader"), (-F.col("net")).alias("tok"), F.greatest("got", F.lit(0.0)).alias("base")))
-    return ok.select("tx", F.inline(F.when(F.col("net") < 0, sell).otherwise(buys)))
+    return ok.withColumn("legs", F.when(F.col("net") < 0, sell).otherwise(buys))
+
+
+def transfer_legs(rows: DataFrame, quote: str = NATIVE[1]) -> DataFrame:
+    """(tx, kind, err, mint, payer, transfers array<struct<mint,sender,receiver,amount>>) -> tx, side, trader, tok, base.
+
+    Where the payer gives up tokens on balance, it is one sell of the net amounts. Otherwise each receipt of tokens by
+    an account that sends none is a buy, paired in order with the trader's payments to token senders; receipts
+    beyond its payments have base 0. Failed and liquidity transactions go. All is done within the row: no shuffle.
+    """
+    return _swap_legs(rows, quote).select("tx", F.inline("legs"))
+
+
+#: Units of the native asset in one.
+UNIT = 1_000_000_000
+
+
+def native_legs(rows: DataFrame, quote: str = NATIVE[1]) -> DataFrame:
+    """transfer_legs, and where no leg has a base, buys from a curve that was paid in the native asset.
+
+    More columns: curve (an account), natives array<struct<sender,receiver,amount>> and balances
+    array<struct<account,change>>, amounts in units of the native asset (long). Each receipt of tokens from the curve by
+    another account is a buy. Its base is what the receiver paid to the curve, all its payments summed; receivers that
+    paid nothing are left out, as long as somebody paid. Without any payment the curve's first positive balance
+    change is shared over the receipts in proportion to their tokens, in whole units, the last one taking what rounding
+    leaves, so that the shares add up to the change. Without either, the legs without a base stay. A curve, list or
+    amount that is null is as absent. All is done within the row: no shuffle.
+    """
+    ok = _swap_legs(rows, quote)
+    ok = ok.withColumn("_got", F.expr("filter(coalesce(transfers, array()), t -> t.mint = mint and t.amount > 0 and t.sender = curve and t.receiver <> curve)"))
+    ok = ok.withColumn("_paid", F.expr("filter(coalesce(natives, array()), t -> t.receiver = curve and t.sender is not null and t.amount > 0)"))
+    ok = ok.withColumn("_gain", F.expr("coalesce(get(filter(coalesce(balances, array()), b -> b.account = curve and b.change > 0), 0).change, 0L)"))
+    by_payer = F.expr(f"""filter(transform(_got, t -> named_struct('side', 'buy', 'trader', t.receiver, 'tok', t.amount, 'base',
+        aggregate(filter(_paid, p -> p.sender = t.receiver), 0L, (s, p) -> s + p.amount) / {UNIT})), x -> x.base > 0)""")
+    total = "aggregate(_got, 0D, (s, t) -> s + t.amount)"
+    upto = lambda n: f"(case when {n} >= size(_got) then _gain else floor(_gain * (aggregate(slice(_got, 1, {n}), 0D, (s, t) -> s + t.amount) / {total})) end)"
+    shared = F.expr(f"transform(_got, (t, i) -> named_struct('side', 'buy', 'trader', t.receiver, 'tok', t.amount, 'base', ({upto('i + 1')} - {upto('i')}) / {UNIT}))")
+    native = F.when(F.size("_paid") > 0, by_payer).when(F.col("_gain") > 0, shared)
+    bare = ~F.coalesce(F.exists("legs", lambda x: x["base"] > 0), F.lit(False))
+    return ok.select("tx", F.inline(F.when(bare & (F.size(F.coalesce(native, F.array().cast("array<struct<side:string,trader:string,tok:double,base:double>>"))) > 0), native).otherwise(F.col("legs"))))

@@ -15,7 +15,8 @@ def bucketed(rows: DataFrame, value: str, n: int = 256) -> DataFrame:
 
     Buckets hold like numbers of rows but for ties, so the work is even however the values lie. Values must not be null.
     """
-    cuts = rows.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / n for i in range(1, n)], 1 / (2 * n))
+    shares = [i / n for i in range(1, n)] or [0.5]
+    cuts = rows.agg(F.percentile_approx(F.col(value).cast("double"), shares, 4 * n)).first()[0] or []
     splits = [-float("inf"), *sorted({c for c in cuts if abs(c) < float("inf")}), float("inf")]
     if len(splits) < 3:
         return rows.withColumn("_b", F.lit(0))

@@ -74,3 +74,36 @@ def augment_sample(rows: DataFrame, base: Column, label: str, n: int, least_nega
     neg = F.least(room - first, F.col("m"))
     quota = one.select(F.inline(F.array(F.struct(F.lit(1).alias(label), F.least(room - neg, F.col("p")).alias("_k")), F.struct(F.lit(0).alias(label), neg.alias("_k")))))
     return tagged.where("in_base").unionByName(take_recent(rest, label, quota, key, share, seed))
+
+
+def _slots(sizes: DataFrame, goal: Column, size: Column, out: str) -> DataFrame:
+    """Adds goal slots shared in proportion to a size by largest remainder, earlier weeks first; sizes is a row for each week."""
+    every = Window.partitionBy()  # weeks: a small table
+    total = F.sum(size).over(every)
+    shared = sizes.withColumn("_t", total).withColumn("_g", goal)
+    known = F.col("_t") > 0
+    shared = shared.withColumn("_q", F.when(known, F.floor(size * F.col("_g") / F.col("_t"))).otherwise(0)).withColumn("_f", F.when(known, (size * F.col("_g")) % F.col("_t")).otherwise(0))
+    left = F.col("_g") - F.sum("_q").over(every)
+    return shared.withColumn(out, (F.col("_q") + (F.row_number().over(Window.orderBy(F.desc("_f"), "_w")) <= left).cast("long")).cast("long")).drop("_t", "_g", "_q", "_f")
+
+
+def mirrored_sample(rows: DataFrame, label: str, n_pos: int, n_neg: int, key: str, seed: int = 7) -> DataFrame:
+    """Positives by their weeks, and negatives that mirror the weeks of the positives taken.
+
+    n_pos positives are taken, or all of them if there are fewer; then as many negatives as positives, else n_neg. Weeks share
+    both in proportion to the positives, by largest remainder, earlier weeks first. A week with too few negatives gives
+    all it has, and what is missing is shared over the negatives left in all weeks in proportion to them, which always
+    suffices, so none is missing while one is left. Rows of a (class, week) are chosen in hash order. Rows without a
+    label or time are not taken.
+    """
+    tagged = rows.where(F.col(label).isin(0, 1) & F.col("t0").isNotNull()).withColumn("_w", F.floor((F.col("t0") + 3 * 86400) / WEEK))
+    sizes = tagged.groupBy("_w").agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("m"))
+    every = Window.partitionBy()
+    have_p, have_m = F.sum("p").over(every), F.sum("m").over(every)
+    goals = sizes.withColumn("_gp", F.least(F.lit(n_pos), have_p)).withColumn("_gn", F.least(have_m, F.when(have_p < n_pos, have_p).otherwise(n_neg)))
+    pos = _slots(goals, F.col("_gp"), F.col("p"), "kp")
+    want = _slots(pos, F.when(F.col("_gp") > 0, F.col("_gn")).otherwise(0), F.col("kp"), "want")
+    capped = want.withColumn("c", F.least("m", "want")).withColumn("_gn", F.when(F.col("_gp") > 0, F.col("_gn")).otherwise(0))
+    filled = _slots(capped, F.col("_gn") - F.sum("c").over(every), F.col("m") - F.col("c"), "more")
+    quota = filled.select(F.explode(F.array(F.struct(F.lit(1).alias(label), "_w", F.col("kp").alias("_k")), F.struct(F.lit(0).alias(label), "_w", (F.col("c") + F.col("more")).alias("_k")))).alias("x")).select("x.*")
+    return take(tagged, [label, "_w"], quota, key, seed).drop("_w")

@@ -260,3 +260,22 @@ def _(s, d):
     gates = {"few_trades": F.col("n") >= 3, "max_buy": F.col("max_buy") <= 60000}
     sample = creates(s, d).select("entity", (F.col("entity") % 10).alias("n"))
     return rc.reconstruct_matrix(sample, c, _long(s, d), hits, gates, ["n", "max_buy"])
+
+
+@query("n4_native_transfers", """, li as (select l_orderkey as o, l_linenumber as ln, l_quantity::double as qty, 't' || l_linenumber % 3 as tr, l_orderkey % 4 as k, row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_quantity) as i from lineitem),
+  pay as (select o, tr, sum((qty * 1000000)::bigint)::double / 1e9 as base from li where k = 0 and ln <> 2 group by all), had as (select distinct o from pay),
+  gain as (select o, sum(qty) as t, sum((qty * 1000003)::bigint)::bigint as g, count(*) as n from li where k = 0 and o not in (select o from had) or k = 1 group by o),
+  cu as (select li.*, g, n, floor(g * (sum(qty) over (partition by li.o order by i) / t))::bigint as upto from li join gain using (o)),
+  sh as (select *, (case when i = n then g else upto end) - coalesce(lag(upto) over (partition by o order by i), 0) as d from cu)
+  select li.o as tx, 'buy' as side, li.tr as trader, qty as tok, round(base, 9) as base from li join pay on pay.o = li.o and pay.tr = li.tr where k = 0 and base > 0
+  union all select o, 'buy', tr, qty, round(d / 1e9, 9) from sh union all select o, 'buy', tr, qty, round(case when k = 2 then qty * 2 else 0 end, 9) from li where k >= 2""")
+def _(s, d):
+    lines = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("tx")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", F.col("l_quantity").cast("double").alias("qty")))).alias("ls"))
+    move = "named_struct('mint', {m}, 'sender', {s}, 'receiver', {r}, 'amount', {a})"
+    who = "concat('t', x.l_linenumber % 3)"
+    tokens = "transform(ls, x -> " + move.format(m="'m'", s="'curve'", r=who, a="x.qty") + ")"
+    quotes = "if(tx % 4 = 2, transform(ls, x -> " + move.format(m=f"'{nz.NATIVE[1]}'", s=who, r="'curve'", a="x.qty * 2") + "), array())"
+    natives = f"if(tx % 4 = 0, transform(filter(ls, x -> x.l_linenumber <> 2), x -> named_struct('sender', {who}, 'receiver', 'curve', 'amount', cast(x.qty * 1000000 as bigint))), array())"
+    balances = "if(tx % 4 < 2, array(named_struct('account', 'curve', 'change', aggregate(ls, 0L, (a, x) -> a + cast(x.qty * 1000003 as bigint)))), array())"
+    rows = lines.select("tx", F.lit("SWAP").alias("kind"), F.lit(False).alias("err"), F.lit("m").alias("mint"), F.lit("nobody").alias("payer"), F.lit("curve").alias("curve"), F.expr(f"concat({tokens}, {quotes})").alias("transfers"), F.expr(natives).alias("natives"), F.expr(balances).alias("balances"))
+    return nz.native_legs(rows).withColumn("base", F.round("base", 9))

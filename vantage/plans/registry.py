@@ -12,6 +12,7 @@ from vantage.operators import evaluate as ev
 from vantage.operators import features as ft
 from vantage.operators import labels as lb
 from vantage.operators import ordered as od
+from vantage.operators import samples as sm
 from vantage.sources.bindings import BAND, DAY, SQL, creates, events, quotes, table, trades
 
 W = {"30d": 30 * DAY, "180d": 180 * DAY}
@@ -361,6 +362,16 @@ def _(s, d):
     return ft.catalogue_features(pit(s, d), W["180d"])
 
 
+@query("a38_curve_catalogue", """, g as (select entity, t0, ts, max(usd::double / tok) as p from pit where tok <> 0 group by all), st as (select *, coalesce(lead(ts) over (partition by entity order by ts), t0) as until from g),
+  ti as (select entity, coalesce(sum(until - ts) filter (p >= 1100), 0)::bigint as time_in_band, any_value(t0) - coalesce(max(until) filter (p < 1100), min(ts)) as time_above from st group by entity),
+  su as (select entity, t0, any_value(p0) as p0, sum(case when side = 'buy' then usd else -usd end)::double as nu, sum(case when side = 'buy' then tok else -tok end) as nt, max(usd::double / 150.0::double) filter (side = 'buy' and age <= 15552000) as mb from pit group by all)
+  select su.entity, t0, coalesce(time_in_band, 0) as time_in_band, coalesce(time_above, 0) as time_above, round(mb, 6) as max_buy_base, round(nu / 150, 6) as liq_real, round(nu / p0 / 1e6, 9) as liq_over_mc, round((30000 + nu / 150) * (5000 - nt) / 1e6, 6) as inv_k, round((4000 - nt) / 1e6, 9) as curve_share from su left join ti using (entity)""")
+def _(s, d):
+    out = ft.curve_catalogue(pit(s, d), 1100.0, W["180d"], 150.0, 30000.0, 5000.0, 4000.0, 1e6)
+    rounded = {"max_buy_base": F.round("max_buy_base", 6), "liq_real": F.round("liq_real", 6), "liq_over_mc": F.round("liq_over_mc", 9), "inv_k": F.round(F.col("inv_k") / 1e6, 6), "curve_share": F.round("curve_share", 9)}
+    return out.withColumns(rounded)
+
+
 PRIOR = """select entity, created, (count(*) over (partition by creator order by created range between {r} preceding and current row) - {less}) as {n}"""
 
 
@@ -390,6 +401,18 @@ def _(s, d):
     return ev.expanding_folds(captured(s, d))
 
 
+ONE_CUT = """, fr as (select entity, t0, (entity % 3 = 0)::int as y from captures), ix as (select *, row_number() over (order by t0, entity) - 1 as idx, count(*) over () as n from fr),
+  e as (select any_value(n) as n, greatest(min(idx) filter (y = 1), min(idx) filter (y = 0)) + 1 as lo, least(max(idx) filter (y = 1), max(idx) filter (y = 0)) as hi, floor(any_value(n) * 0.7::double)::bigint as pl from ix),
+  c as (select case when least(pl, hi) >= lo and least(pl, hi) > greatest(pl - 40, n // 2) then least(pl, hi) else pl end as cut from e)
+  select entity, t0, 1 as fold, case when idx < cut then 'train' else 'test' end as part from ix, c"""
+
+
+@query("w6_single_cut", ONE_CUT)
+def _(s, d):
+    rows = captured(s, d).select("entity", "t0", (F.col("entity") % 3 == 0).cast("int").alias("y"))
+    return ev.folds_or_cut(rows, "y", least_rows=10**9)
+
+
 @query("w7_embargo_fold", """, v as (select min(t0) as lo, max(t0) as hi from captures where t0 > 852076800 + 2592000 and t0 <= 883612800)
   select entity, t0, case when t0 <= 852076800 and t0 + 15552000 <= lo then 'train' when t0 > 852076800 + 2592000 and t0 <= 883612800 then 'val' when t0 > hi + 2592000 and t0 <= 915148800 then 'test' end as part
   from captures, v where part is not null""")
@@ -453,6 +476,23 @@ def _(s, d):
     return ev.stratified_sample(captured(s, d), "venue0", 100)
 
 
+L1_SQL = """, r as (select entity, (t0 + 259200) // 604800 as w, (entity % 5 = 0)::int as y from captures), sz as (select y, w, count(*) as s from r group by all),
+  tot as (select coalesce(sum(s) filter (y = 1), 0) as p, coalesce(sum(s) filter (y = 0), 0) as m from sz), goal as (select least(150, p) as gp, least(m, case when p < 150 then p else 600 end) as gn from tot),
+  pf as (select w, s, s * gp // sum(s) over () as q, s * gp % sum(s) over () as f, gp from sz, goal where y = 1), pq as (select w, q + (row_number() over (order by f desc, w) <= gp - sum(q) over ())::int as k from pf),
+  nf as (select w, k * gn // sum(k) over () as q, k * gn % sum(k) over () as f, gn from pq, goal where k > 0), nm as (select w, q + (row_number() over (order by f desc, w) <= gn - sum(q) over ())::int as want from nf),
+  nc as (select sz.w, s, least(s, coalesce(want, 0)) as c from sz left join nm using (w) where y = 0), lf as (select w, c, s - c as rest, (select gn from goal) - sum(c) over () as need, sum(s - c) over () as all_rest from nc),
+  ls as (select *, case when all_rest > 0 then rest * need // all_rest else 0 end as q, case when all_rest > 0 then rest * need % all_rest else 0 end as f from lf),
+  nq as (select w, c + q + (row_number() over (order by f desc, w) <= need - sum(q) over ())::int as k from ls)
+  select 1 as y, w, k::bigint as n from pq where k > 0 union all select 0, w, k::bigint from nq where k > 0"""
+
+
+@query("l1_mirrored_sample", L1_SQL)
+def _(s, d):
+    rows = captured(s, d).select("entity", "t0", (F.col("entity") % 5 == 0).cast("int").alias("y"))
+    out = sm.mirrored_sample(rows, "y", 150, 600, "entity")
+    return out.groupBy("y", F.floor((F.col("t0") + 3 * DAY) / (7 * DAY)).alias("w")).agg(F.count("*").alias("n"))
+
+
 @query("l7_closest_to_mid", "select entity, p0 from captures order by abs(p0 - 1200), entity limit 50")
 def _(s, d):
     return captured(s, d).orderBy(F.abs(F.col("p0") - 1200), "entity").limit(50).select("entity", "p0")

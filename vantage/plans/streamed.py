@@ -244,3 +244,18 @@ def _(s, d):
     stream = _stream(s, d).select("event_id", "entity", "ts", "side", "value")
     jobs.score_and_enter(stream, priors, score, 0.3, 20, 3600, 10, path, scratch(s, "state")).awaitTermination()
     return s.read.parquet(path).select("entity", "ts", "event_id", F.round("score", 6).alias("score"))
+
+
+@query("a34_entry_cycles")
+def _(s, d):
+    """The loop over five-day batches of events, each run from the checkpoint of the one before."""
+    source, path, state, counters = (scratch(s, x) for x in ("cycles", "entered", "state", "counters"))
+    rows = events(s, d).select("event_id", "entity", "ts", "side", "value")
+    score = F.when(F.col("value") > 1, F.col("value") / 500 + F.coalesce("prior", F.lit(0.0)))
+    priors = rows.where("side = 'signup'").groupBy("entity").agg((F.least(F.count("*"), F.lit(10)) * 0.01).alias("prior"))
+    lo, hi = rows.agg(F.min("ts"), F.max("ts")).first()
+    for start in range(lo, hi + 1, 5 * 86400) if lo is not None else ():
+        rows.where(F.col("ts").between(start, start + 5 * 86400 - 1)).write.parquet(f"{source}/from{start}")
+        stream = jobs.replay(s, f"{source}/*", rows.schema, 1_000_000)
+        jobs.score_and_enter(stream, priors, score, 0.3, 60, 7 * 86400, 40, path, state, counters).awaitTermination()
+    return jobs.cycle_counters(s, counters)

@@ -4,10 +4,11 @@ a keyed table every few batches."""
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -112,12 +113,14 @@ def flows(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("entity", "t0").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def score_and_enter(events: DataFrame, priors: DataFrame, score: Column, threshold: float, cap: int, window: int, top_k: int, path: str, checkpoint: str) -> StreamingQuery:
+def score_and_enter(events: DataFrame, priors: DataFrame, score: Column, threshold: float, cap: int, window: int, top_k: int, path: str, checkpoint: str, counters: str | None = None) -> StreamingQuery:
     """Each micro-batch: scores with static priors, keeps new entities at or above the threshold, ranks them by score, and
     accepts the best top_k within what the trailing window leaves of the cap. The batch's time is its largest ts.
 
     Accepted rows are appended; the room is counted over those of earlier batches, so running a batch again
-    gives the same rows. The sum read from the table is one number.
+    gives the same rows. The sum read from the table is one number. With `counters`, a folder, each batch leaves a
+    row of what became of its rows, read with cycle_counters(); the numbers are observed while the batch is written, so
+    they cost no pass of their own. A stage that is run again for a lost executor may be observed twice.
     """
     schema = "entity long, ts long, event_id long, score double, now long, batch int"
 
@@ -126,16 +129,51 @@ def score_and_enter(events: DataFrame, priors: DataFrame, score: Column, thresho
         now = batch.agg(F.max("ts")).first()[0]
         if now is None:
             return
+        seen, best, fresh, entered = (Observation(f"{name}-{number}") for name in ("seen", "best", "fresh", "entered"))
         accepted = _stored(spark, path, schema).where(F.col("batch") < number)
         room = top_k if cap < 0 else min(top_k, max(0, cap - accepted.where(F.col("now") >= now - window).count()))
-        scored = batch.join(priors, "entity", "left").withColumn("score", score).where(F.col("score") >= threshold)
-        one = scored.groupBy("entity").agg(F.max_by(F.struct("ts", "event_id", "score"), F.struct("score", -F.col("ts"), -F.col("event_id"))).alias("r")).select("entity", "r.*")
-        new = one.join(accepted.select("entity"), "entity", "left_anti").orderBy(F.desc("score"), "ts", "entity").limit(room)
-        new.withColumn("now", F.lit(now)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        scored = batch.join(priors, "entity", "left").withColumn("score", score)
+        scored = scored.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("score").isNull()).alias("n_unscored"), F.count_if(F.col("score") < threshold).alias("n_below")).where(F.col("score") >= threshold)
+        one = scored.groupBy("entity").agg(F.max_by(F.struct("ts", "event_id", "score"), F.struct("score", -F.col("ts"), -F.col("event_id"))).alias("r")).select("entity", "r.*").observe(best, F.count(F.lit(1)).alias("n"))
+        new = one.join(accepted.select("entity"), "entity", "left_anti").observe(fresh, F.count(F.lit(1)).alias("n"))
+        if room:
+            ranked = new.orderBy(F.desc("score"), "ts", "entity").limit(room).withColumn("now", F.lit(now))
+            ranked.observe(entered, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        else:  # nothing enters; the rows are read for the counters only
+            spark.createDataFrame([], schema.removesuffix(", batch int")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            if counters is not None:
+                new.write.format("noop").mode("overwrite").save()
+        if counters is not None:
+            told = [_observed(o) for o in (seen, best, fresh, *([entered] if room else []))]
+            if told[0] is None:
+                told[0] = batch.join(priors, "entity", "left").withColumn("score", score).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("score").isNull()).alias("n_unscored"), F.count_if(F.col("score") < threshold).alias("n_below")).first().asDict()
+            n_best, n_new, n_in = ((t or {}).get("n", 0) for t in [*told[1:], None][:3])
+            a = told[0]
+            row = (number, now, a["n_rows"], a["n_unscored"], a["n_below"], a["n_rows"] - a["n_unscored"] - a["n_below"] - n_best, n_best - n_new, n_new - n_in, n_in)
+            spark.createDataFrame([row], CYCLE).coalesce(1).write.mode("overwrite").parquet(f"{counters}/cycle={number}")
 
     return _run(events, enter, checkpoint, "append")
 
 
+def _observed(one: Observation, seconds: float = 5.0) -> dict | None:
+    """The numbers of an observation whose query has ended; None where the plan was cut short, as it is behind an empty input."""
+    got: list[dict] = []
+    waiter = threading.Thread(target=lambda: got.append(one.get), daemon=True)
+    waiter.start()
+    waiter.join(seconds)
+    return got[0] if got and got[0] else None
+
+
+#: What became of the rows of a batch; the last six add up to n_rows.
+CYCLE = "batch long, now long, n_rows long, n_unscored long, n_below long, n_repeated long, n_known long, n_over_capacity long, n_entered long"
+
+
+def cycle_counters(spark: SparkSession, counters: str) -> DataFrame:
+    """A row for each batch: its rows without a score, below the threshold, of an entity that has a better row in the
+    batch, of one that was accepted before, beyond the room, and entered."""
+    return _stored(spark, counters, CYCLE + ", cycle int").drop("cycle")
+
+
 def monitor(captures: DataFrame, start: int, end: int, slot: int = 900, low: float = 0.4) -> DataFrame:
     """(slot, n, n_low, problem) of slots of time with no captures, with a share of LOW quality above `low`, or with a
     complete one: slots are made from the range, so that silent ones show."""
