@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import at_places, exact_quantiles
+
 
 def clip(value: Column, lo: float, hi: float) -> Column:
     """Null stays null."""
@@ -34,9 +36,11 @@ def complete(columns: list[str], allowed: list[str], excused: Column) -> Column:
 def robust_distance(rows: DataFrame, columns: list[str], missing: float = 3.0) -> DataFrame:
     """Adds distance: mean of |x - median| / (IQR / 1.35) over columns; null values and constant columns count as missing.
 
-    The statistics are one row, joined to all rows; nothing runs while the plan is built.
+    The statistics are exact and one row, joined to all rows.
     """
-    stats = rows.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q{i}") for i, c in enumerate(columns)])
+    long = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "v").where("v is not null")
+    told = exact_quantiles(long, ["feature"], "v", [0.25, 0.5, 0.75])
+    stats = told.agg(*[F.max(F.when(F.col("feature") == c, F.col("q"))).alias(f"_q{i}") for i, c in enumerate(columns)])
     out, terms = rows.crossJoin(F.broadcast(stats)), []
     for i, c in enumerate(columns):
         q = F.col(f"_q{i}")
@@ -65,25 +69,31 @@ def reconcile(stored: DataFrame, fresh: DataFrame, key: str, value: str) -> Data
 
 
 def delta_summary(deltas: DataFrame, small: float = 1e-6, large: float = 1e-4) -> DataFrame:
-    q = lambda p: F.percentile("delta", p)
-    return deltas.agg(F.count("*").alias("n"), F.count("delta").alias("n_both"), F.max("delta").alias("largest"), q(0.5).alias("median"), q(0.95).alias("p95"), F.count_if(F.col("delta") > small).alias("above_small"), F.count_if(F.col("delta") > large).alias("above_large"))
+    """One row: n, n_both (with a delta), the largest, exact median and 95th percentile, and how many are above small and large."""
+    one = deltas.agg(F.count("*").alias("n"), F.count("delta").alias("n_both"), F.max("delta").alias("largest"), F.count_if(F.col("delta") > small).alias("above_small"), F.count_if(F.col("delta") > large).alias("above_large"))
+    q = exact_quantiles(deltas.where("delta is not null"), [], "delta", [0.5, 0.95]).select("q")
+    q = q.agg(F.max("q").alias("q"))  # a row also without deltas
+    return one.crossJoin(F.broadcast(q)).select("n", "n_both", "largest", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), "above_small", "above_large")
 
 
 def compare_distributions(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, side, n, median, null_rate) of the columns of two tables."""
+    """(feature, side, n, mean, median, null_rate) of the columns of two tables; the median is exact."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
         long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "v")
-        return long.groupBy("feature").agg(F.lit(name).alias("side"), F.count("*").alias("n"), F.median("v").alias("median"), F.avg(F.col("v").isNull().cast("int")).alias("null_rate"))
+        q = exact_quantiles(long.where("v is not null"), ["feature"], "v", [0.5]).select("feature", F.col("q")[0].alias("median"))
+        one = long.groupBy("feature").agg(F.lit(name).alias("side"), F.count("*").alias("n"), F.avg("v").alias("mean"), F.avg(F.col("v").isNull().cast("int")).alias("null_rate"))
+        return one.join(F.broadcast(q), "feature", "left").select("feature", "side", "n", "mean", "median", "null_rate")  # a row per feature
 
     return side(a, "left").unionByName(side(b, "right"))
 
 
 def score_gate(preds: DataFrame, threshold: float) -> DataFrame:
     """n, n_pass, pass_rate, the largest score and the upper median."""
-    upper = F.expr("percentile_disc(0.5) within group (order by score desc)")
     passes = F.count_if(F.col("score") >= threshold)
-    return preds.agg(F.count("*").alias("n"), passes.alias("n_pass"), (passes / F.nullif(F.count("*"), F.lit(0))).alias("pass_rate"), F.max("score").alias("largest"), upper.alias("upper_median"))
+    one = preds.agg(F.count("*").alias("n"), passes.alias("n_pass"), (passes / F.nullif(F.count("*"), F.lit(0))).alias("pass_rate"), F.max("score").alias("largest"))
+    middle = at_places(preds, [], "score", {"upper_median": lambda n: F.floor(n / 2)}).agg(F.max("upper_median").alias("upper_median"))
+    return one.crossJoin(F.broadcast(middle))  # one row each
 
 
 def replay_scan(priced: DataFrame, band: Column, hit: Column) -> DataFrame:

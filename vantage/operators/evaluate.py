@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import exact_quantiles
+
 DAY = 86400
 
 
@@ -109,7 +111,9 @@ def rank_topk(preds: DataFrame, by: list[str], k: int) -> DataFrame:
 
 
 def quantile_thresholds(preds: DataFrame, fraction: float) -> DataFrame:
-    return preds.where("part = 'train'").groupBy("fold").agg(F.round(F.percentile("score", F.lit(1 - fraction)), 9).alias("threshold"))
+    """(fold, threshold): the score that the best fraction of a fold's train rows reach, exact."""
+    q = exact_quantiles(preds.where("part = 'train' and score is not null"), ["fold"], "score", [1 - fraction])
+    return q.select("fold", F.round(F.col("q")[0], 9).alias("threshold"))
 
 
 def strategy_returns(rows: DataFrame, cost: float = 0.015, cap: float = 10.0) -> DataFrame:
@@ -231,10 +235,12 @@ def null_rates(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column: n, p05, p25, median, p75, p95."""
+    """(feature, n, mean, p05, p25, p50, p75, p95, scale) of each column: exact quantiles, and the IQR over 1.35."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "v").where("v is not null")
-    q = F.percentile("v", F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    return long.groupBy("feature").agg(F.count("*").alias("n"), q.alias("q")).select("feature", "n", *[F.round(F.col("q")[i], 6).alias(f"p{p:02d}") for i, p in enumerate((5, 25, 50, 75, 95))])
+    shares = (5, 25, 50, 75, 95)
+    q = exact_quantiles(long, ["feature"], "v", [p / 100 for p in shares]).join(F.broadcast(long.groupBy("feature").agg(F.avg("v").alias("mean"))), "feature")
+    scale = ((F.col("q")[3] - F.col("q")[1]) / 1.35).alias("scale")
+    return q.select("feature", "n", "mean", *[F.round(F.col("q")[i], 6).alias(f"p{p:02d}") for i, p in enumerate(shares)], scale)
 
 
 def class_by_week(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import exact_quantiles
+
 KEY = ("entity", "t0")
 
 
@@ -109,7 +111,9 @@ def repriced_pack(pit: DataFrame, quotes: DataFrame, window: int, lookup) -> Dat
     rows = lookup(pit, quotes)
     inside = F.col("age").between(0, window) & F.col("quote").isNotNull()
     usd = F.sum(F.when(inside, (F.col("base") * F.col("quote")).cast("decimal(28,6)"))).cast("double")
-    return rows.groupBy(*KEY).agg(F.coalesce(usd, F.lit(0.0)).alias("usd"), F.count_if(inside).alias("n"), F.count_if(F.col("quote").isNull()).alias("missing"), F.round(F.median("quote"), 8).alias("median_quote"))
+    sums = rows.groupBy(*KEY).agg(F.coalesce(usd, F.lit(0.0)).alias("usd"), F.count_if(inside).alias("n"), F.count_if(F.col("quote").isNull()).alias("missing"))
+    middle = exact_quantiles(rows.where("quote is not null"), list(KEY), "quote", [0.5]).select(*KEY, F.col("q")[0].alias("median_quote"))
+    return sums.join(middle, list(KEY), "left")
 
 
 def replay_flow(captures: DataFrame, pit: DataFrame, window: int) -> DataFrame:

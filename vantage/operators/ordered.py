@@ -3,6 +3,8 @@ quantiles, sums run within a bucket, and each bucket starts from the sums of tho
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,10 +34,40 @@ def cumulated(points: DataFrame, by: list[str], value: str, counts: list[str], f
     order = F.desc("_b") if falling else F.asc("_b")
     ahead = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
     every = Window.partitionBy(*by)
-    start = sums.select(*by, "_b", *[F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_{c}") for c in counts], *[F.sum(f"_{c}").over(every).alias(f"all_{c}") for c in counts])
+    start = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_b").alias("_at"), *[F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_{c}") for c in counts], *[F.sum(f"_{c}").over(every).alias(f"all_{c}") for c in counts])
     inside = Window.partitionBy(*by, "_b").orderBy(F.desc(value) if falling else F.asc(value)).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumns({f"cum_{c}": F.sum(c).over(inside) for c in counts}).join(start, [*by, "_b"])
-    return out.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"_{c}") for c in counts}).drop("_b", *[f"_{c}" for c in counts])
+    same = F.col("_b") == F.col("_at")
+    for c in by:  # a null group is a group
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    out = rows.withColumns({f"cum_{c}": F.sum(c).over(inside) for c in counts}).join(start, same)
+    return out.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"_{c}") for c in counts}).drop("_b", "_at", *[f"_by_{c}" for c in by], *[f"_{c}" for c in counts])
+
+
+def at_places(rows: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(by, n, one column for each place): the values at 0-based places in rising order, each place told from the group's n.
+
+    Equal values are one row of the counts, and groups are summed in buckets: no group is held in one buffer. Null and
+    NaN values have no place; a group without others gives no row.
+    """
+    c = cumulated(rows.groupBy(*by, value).agg(F.count("*").alias("_k")), by, value, ["_k"])
+    at = lambda place: F.max(F.when((F.col("cum__k") > place) & (F.col("cum__k") - F.col("_k") <= place), F.col(value)))
+    return c.groupBy(*by).agg(F.max("all__k").alias("n"), *[at(f(F.col("all__k"))).alias(name) for name, f in places.items()])
+
+
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(by, n, q): the exact quantiles of a value in the order of shares, between two values in proportion. Bounded memory, as
+    in at_places."""
+    places: dict[str, Callable[[Column], Column]] = {}
+    for i, p in enumerate(shares):
+        places[f"_lo{i}"] = lambda n, p=p: F.floor((n - 1) * p)
+        places[f"_hi{i}"] = lambda n, p=p: F.ceil((n - 1) * p)
+    out = at_places(rows, by, value, places)
+
+    def between(i: int, p: float) -> Column:
+        lo, hi, place = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double"), (F.col("n") - 1) * p
+        return F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (place - F.floor(place)))
+
+    return out.select(*by, "n", F.array(*[between(i, p) for i, p in enumerate(shares)]).alias("q"))
 
 
 def average_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .capture import implied_mc, in_band
 from .gates import first_gate
+from .ordered import exact_quantiles
 from .samples import numbered
 
 
@@ -103,7 +104,9 @@ def usable_geometry(rows: DataFrame, usable: Column, hard: Column, label: str, c
     used = tagged.join(F.broadcast(n)).where(F.when(F.col("fallback"), F.col("_h")).otherwise(F.col("_u"))).withColumn("n_used", F.when(F.col("fallback"), F.col("_nh")).otherwise(F.col("_nu")))
     long = used.select(label, "fallback", "n_used", *[F.col(c).cast("double").alias(c) for c in columns]).unpivot([label, "fallback", "n_used"], columns, "feature", "value")
     pos = F.col(label) == 1
-    out = long.groupBy("feature", "n_used", "fallback").agg(F.count(F.when(pos, F.col("value"))).alias("pos_n"), F.median(F.when(pos, F.col("value"))).alias("pos_median"), F.median(F.when(F.col(label) == 0, F.col("value"))).alias("neg_median"))
+    out = long.groupBy("feature", "n_used", "fallback").agg(F.count(F.when(pos, F.col("value"))).alias("pos_n"))
+    q = exact_quantiles(long.where("value is not null"), ["feature", label], "value", [0.5]).groupBy("feature").agg(*[F.max(F.when(F.col(label) == y, F.col("q")[0])).alias(name) for y, name in ((1, "pos_median"), (0, "neg_median"))])
+    out = out.join(F.broadcast(q), "feature", "left")
     return out.join(F.broadcast(live), "feature", "left")  # a row per feature
 
 

@@ -8,6 +8,7 @@ from vantage.operators import capture as cap
 from vantage.operators import compare as cmp
 from vantage.operators import labels as lb
 from vantage.operators import ordered as od
+from vantage.operators import rules as rl
 from vantage.plans.registry import PREDS, PRICED, captured, pit, predictions, priced, query
 from vantage.sources.bindings import BAND, creates, quotes, table, trades
 
@@ -22,7 +23,7 @@ def _long(s, d):
 
 @query("p3_suffix_filter", "select entity, count(*) as n from trades where entity::varchar like '%7' group by entity")
 def _(s, d):
-    return trades(s, d).where(F.col("entity").cast("string").endswith("7")).groupBy("entity").agg(F.count("*").alias("n"))
+    return rl.suffix_filter(trades(s, d), "entity", "7").groupBy("entity").agg(F.count("*").alias("n"))
 
 
 @query("p4_reserve_price_mc", "select p_partkey as entity, case when p_size > 2 and p_retailprice > 0 then (p_size - 2) / p_retailprice end as price, round(1 - p_size / 50.0::double, 6) as progress from part")
@@ -39,7 +40,7 @@ def _(s, d):
 @query("p10_usd_legs", """select t.entity, count(q.price) as n_priced, count(*) filter (tok * q.price > 5000) as n_large
   from trades t left join quotes q on q.ts = t.ts - t.ts % 86400 group by t.entity""")
 def _(s, d):
-    legs = cap.minute_lookup(trades(s, d), quotes(s, d)).withColumn("leg_usd", F.col("tok") * F.col("quote"))
+    legs = rl.usd_legs(trades(s, d).withColumn("units", F.col("tok") * 1000), quotes(s, d), "units", 1000.0)
     return legs.groupBy("entity").agg(F.count("quote").alias("n_priced"), F.count_if(F.col("leg_usd") > 5000).alias("n_large"))
 
 
@@ -62,14 +63,14 @@ def _(s, d):
     return cmp.robust_distance(rows, ["oldest", "max_buy"]).select("entity", F.round("distance", 5).alias("distance"))
 
 
-@query("p26_sanity_filter", PRICED + "select entity, count(*) as n from priced where price > 0 and price <= 1500 group by entity")
+@query("p26_sanity_filter", PRICED + "select entity, count(*) as n from priced where price > 0 and price <= 1500 and price * 1e9 <= 1.4e12 group by entity")
 def _(s, d):
-    return priced(s, d).where((F.col("price") > 0) & (F.col("price") <= 1500)).groupBy("entity").agg(F.count("*").alias("n"))
+    return rl.sanity_filter(priced(s, d), 1500.0, 1.4e12).groupBy("entity").agg(F.count("*").alias("n"))
 
 
 @query("p27_fill_price_after_fee", "select entity, p0 * (1 + 125 / 10000.0::double) as fill_price from captures")
 def _(s, d):
-    return captured(s, d).select("entity", (F.col("p0") * (1 + 125 / 1e4)).alias("fill_price"))
+    return captured(s, d).select("entity", rl.fill_price(F.col("p0")).alias("fill_price"))
 
 
 @query("j11_merge_flow_fill0", ", f as (select entity, count(*) as sells from pit where side = 'sell' and age <= 15552000 group by entity) select c.entity, coalesce(sells, 0)::bigint as sells from captures c left join f using (entity)")
@@ -105,8 +106,8 @@ def _(s, d):
 
 @query("j21_prior_coverage", "select count(*) as n, round(avg((k.entity is not null)::int), 6) as covered from captures c left join (select distinct entity from creates where created <= 9131 * 86400 + 86400 * 200) k using (entity)")
 def _(s, d):
-    store = creates(s, d).where(F.col("created") <= 9131 * 86400 + 86400 * 200).select("entity", F.lit(1).alias("known")).distinct()
-    return captured(s, d).join(store, "entity", "left").agg(F.count("*").alias("n"), F.round(F.avg(F.col("known").isNotNull().cast("int")), 6).alias("covered"))
+    out = rl.prior_coverage(captured(s, d), creates(s, d).where(F.col("created") <= 9131 * 86400 + 86400 * 200))
+    return out.withColumn("covered", F.round("covered", 6))
 
 
 @query("a12_label_from_peak", PRICED + "select c.entity, coalesce(max(price) >= 1.2::double * any_value(p0), false) as hit from captures c left join priced p on p.entity = c.entity and p.ts > c.t0 group by c.entity")
@@ -117,23 +118,20 @@ def _(s, d):
 @query("a14_band_outcome_labels", PRICED + """select c.entity, c.t0, max(price) as max_after, count(price) > 0 and bool_or(coalesce(p.venue = 'pumpswap', false)) as reached
   from captures c left join priced p on p.entity = c.entity and p.ts > c.t0 group by all""")
 def _(s, d):
-    after = captured(s, d).select("entity", "t0").join(priced(s, d), "entity").where("ts > t0 and price is not null").groupBy("entity").agg(F.max("price").alias("m"), F.bool_or(F.col("venue") == "pumpswap").alias("reached"))
-    return captured(s, d).select("entity", "t0").join(after, "entity", "left").select("entity", "t0", F.col("m").alias("max_after"), F.coalesce("reached", F.lit(False)).alias("reached"))
+    return rl.band_outcome(captured(s, d), priced(s, d))
 
 
 @query("a18_coverage", "select (select count(*) from captures) as n_keys, count(*) as n_expected, round((select count(*) from captures) / count(*), 6) as coverage, (select count(*) from captures) >= 0.995::double * count(*) as complete from creates")
 def _(s, d):
-    expected = creates(s, d).select("entity").distinct()
-    both = expected.join(captured(s, d).select("entity", F.lit(1).alias("found")), "entity", "left").agg(F.count("found").alias("n_keys"), F.count("*").alias("n_expected"))
-    return both.select("n_keys", "n_expected", F.round(F.col("n_keys") / F.col("n_expected"), 6).alias("coverage"), (F.col("n_keys") >= 0.995 * F.col("n_expected")).alias("complete"))
+    return rl.key_coverage(creates(s, d), captured(s, d)).withColumn("coverage", F.round("coverage", 6))
 
 
 @query("a20_compare_distributions", LONG + """, v as (select case when entity % 2 = 0 then 'left' else 'right' end as side, unnest([{'f': 'n', 'v': n::double}, {'f': 'max_buy', 'v': max_buy}]) as x from long)
-  select x.f as feature, side, count(*) as n, round(median(x.v), 5) as median, round(avg((x.v is null)::int), 6) as null_rate from v group by all""")
+  select x.f as feature, side, count(*) as n, round(avg(x.v), 3) as mean, round(median(x.v), 5) as median, round(avg((x.v is null)::int), 6) as null_rate from v group by all""")
 def _(s, d):
     rows = _long(s, d)
     out = cmp.compare_distributions(rows.where("entity % 2 = 0"), rows.where("entity % 2 = 1"), ["n", "max_buy"])
-    return out.withColumns({"median": F.round("median", 5), "null_rate": F.round("null_rate", 6)})
+    return out.withColumns({"mean": F.round("mean", 3), "median": F.round("median", 5), "null_rate": F.round("null_rate", 6)})
 
 
 @query("a22_score_gate_backtest", PREDS + " select count(*) as n, count(*) filter (score >= 0.4) as n_pass, round(count(*) filter (score >= 0.4) / count(*), 6) as pass_rate, max(score) as largest, list_sort(list(score))[count(*) // 2 + 1] as upper_median from preds")
@@ -143,7 +141,7 @@ def _(s, d):
 
 @query("a27_score_by_outcome", PREDS + " select y, count(*) as n, min(score) as least, max(score) as most, round(median(score), 6) as median from preds group by y")
 def _(s, d):
-    return predictions(s, d).groupBy("y").agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("most"), F.round(F.median("score"), 6).alias("median"))
+    return rl.score_by_outcome(predictions(s, d)).withColumn("median", F.round("median", 6))
 
 
 @query("a28_replay_scan", PRICED + """select entity, min(price) as least, max(price) as most, min(ts) filter (price between 1000 and 1400) as first_band, min(ts) filter (price >= 1600) as first_hit,
@@ -160,7 +158,7 @@ def _(s, d):
 
 @query("l8_newest", "select entity, t0 from captures order by t0 desc, entity limit 100")
 def _(s, d):
-    return captured(s, d).select("entity", "t0").orderBy(F.desc("t0"), "entity").limit(100)
+    return rl.newest(captured(s, d).select("entity", "t0"), 100)
 
 
 @query("u2_union_by_name", ", k as (select entity, created from creates) select coalesce(c.entity, k.entity) as entity, c.t0, case when c.entity is null then k.created end as created from captures c full join k on c.entity = k.entity")

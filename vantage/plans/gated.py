@@ -11,6 +11,7 @@ from vantage.operators import features as ft
 from vantage.operators import gates as gt
 from vantage.operators import labels as lb
 from vantage.operators import normalize as nz
+from vantage.operators import rules as rl
 from vantage.operators import scores as sc
 from vantage.plans.registry import FLOW, NTH, PREDS, PRICED, W, captured, pit, predictions, priced, query
 from vantage.sources.bindings import BAND, DAY, creates, trades
@@ -56,17 +57,16 @@ def _(s, d):
     return gt.capture_schema(rows, 1050.0, BAND[1], "v1")
 
 
-@query("g7_pack_audit", """, k as (select entity, created from creates), pk as (select c.entity, c.t0, k.created, c.t0 - k.created as age, c.t0 + c.entity % 4 as pack_t0, (c.p0 - 1000) / 380 as share, c.venue0 from captures c left join k using (entity)),
-  o as (select count(*) as n, count(*) filter (abs(t0 - pack_t0) > 2) as a, count(*) filter (created > t0) as b, count(*) filter (age < 0) as c, count(*) filter (share not between 0 and 1.0001) as e, count(*) filter (venue0 = 'pumpswap') as f from pk)
+@query("g7_pack_audit", """, k as (select entity, created from creates), b as (select entity, count(*) as nb, count(distinct trader) as nt, sum(case when side = 'buy' then tok else -tok end) as net from pit where true group by entity),
+  pk as (select c.entity, c.t0, k.created, c.t0 - k.created as age, c.t0 + c.entity % 4 as pack_t0, (c.p0 - 1000) / 380 as share, c.venue0, net / 85 as progress, nb - c.entity % 2 as nb, nt from captures c left join k using (entity) left join b using (entity)),
+  o as (select count(*) as n, count(*) filter (abs(t0 - pack_t0) > 2) as a, count(*) filter (created > t0) as b, count(*) filter (age < 0) as c, count(*) filter (share not between 0 and 1.0001) as e, count(*) filter (progress not between 0 and 1) as h, count(*) filter (nt > nb) as i, count(*) filter (venue0 = 'pumpswap') as f from pk)
   select 't0_match' as "check", n, a as n_bad, a = 0 as ok, false as soft from o union all select 'create_leq_t0', n, b, b = 0, false from o union all select 'age_nonneg', n, c, c = 0, false from o
-  union all select 'shares_01', n, e, e <= 0.5 * n, false from o union all select 'migrated_rate', n, f, f <= 0.25 * n, true from o""")
+  union all select 'shares_01', n, e, e <= 0.5 * n, false from o union all select 'progress_01', n, h, h = 0, false from o union all select 'cardinality', n, i, i = 0, false from o union all select 'migrated_rate', n, f, f <= 0.25 * n, true from o""")
 def _(s, d):
-    rows = captured(s, d).join(creates(s, d).select("entity", "created"), "entity", "left").withColumn("pack_t0", F.col("t0") + F.col("entity") % 4)
-    bad = {
-        "t0_match": F.abs(F.col("t0") - F.col("pack_t0")) > 2, "create_leq_t0": F.col("created") > F.col("t0"), "age_nonneg": F.col("t0") - F.col("created") < 0,
-        "shares_01": ~((F.col("p0") - 1000) / 380).between(0, 1.0001), "migrated_rate": F.col("venue0") == "pumpswap",
-    }
-    return gt.checks(rows, bad, {"shares_01": 0.5, "migrated_rate": 0.25}, soft=("migrated_rate",))
+    buys = pit(s, d).groupBy("entity", "trader").agg(F.count("*").alias("k"), F.sum(F.when(F.col("side") == "buy", F.col("tok")).otherwise(-F.col("tok"))).alias("net")).groupBy("entity").agg(F.sum("k").alias("n_buys"), F.count("*").alias("n_buyers"), (F.sum("net") / 85).alias("progress"))
+    rows = captured(s, d).join(creates(s, d).select("entity", "created"), "entity", "left").join(buys, "entity", "left")
+    rows = rows.withColumn("pack_t0", F.col("t0") + F.col("entity") % 4).withColumn("share", (F.col("p0") - 1000) / 380).withColumn("n_buys", F.col("n_buys") - F.col("entity") % 2)
+    return gt.checks(rows, rl.pack_checks(), {"shares_01": 0.5, "migrated_rate": 0.25}, soft=("migrated_rate",))
 
 
 @query("g14_trade_table", """, b as (select ts < lag(ts) over (partition by entity order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as back, venue from trades)
@@ -80,16 +80,23 @@ def _(s, d):
   select entity, n from f where n >= 3 and oldest > 0 and coalesce(created <= 800000000, false)""")
 def _(s, d):
     rows = pit(s, d).groupBy("entity").agg(F.count("*").alias("n"), F.max("age").alias("oldest")).join(creates(s, d).select("entity", "created"), "entity", "left")
-    return rows.where(gt.all_of([F.col("n") >= 3, F.col("oldest") > 0, F.col("created") <= 800000000])).select("entity", "n")
+    tight = rl.TRAINING | {"known_create": "created <= 800000000"}
+    return rl.training_matrix(rows, tight, {"enough_trades": "n >= 2"}, least=1).select("entity", "n")
+
+
+@query("p25_training_fallback", """, f as (select c.entity, count(*) as n, any_value(k.created) as created from captures c join pit p using (entity) left join creates k on k.entity = c.entity group by c.entity)
+  select entity, n from f where n >= 2""")
+def _(s, d):
+    rows = pit(s, d).groupBy("entity").agg(F.count("*").alias("n"), F.max("age").alias("oldest")).join(creates(s, d).select("entity", "created"), "entity", "left")
+    return rl.training_matrix(rows, rl.TRAINING | {"known_create": "created <= 0"}, {"enough_trades": "n >= 2"}).select("entity", "n")
 
 
 @query("p28_score_gates", """select c.entity, case when k.entity is null then 'capture' when c.t0 < k.created then 'age' when c.p0 < 1050 then 't0' when c.venue0 = 'pumpswap' then 'oracle' when c.entity % 4 = 0 then 'prior_source' end as gate
   from captures c left join creates k on k.entity = c.entity and k.entity % 3 > 0""")
 def _(s, d):
     known = creates(s, d).where("entity % 3 > 0").select("entity", "created", F.lit(True).alias("known"))
-    rows = captured(s, d).join(known, "entity", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    gates = {"capture": F.col("known"), "age": F.col("t0") >= F.col("created"), "t0": F.col("p0") >= 1050, "oracle": F.col("venue0") != "pumpswap", "prior_source": F.col("entity") % 4 != 0}
-    return rows.select("entity", gt.first_gate(gates).alias("gate"))
+    rows = captured(s, d).join(known, "entity", "left").withColumn("prior_ok", F.col("entity") % 4 != 0)
+    return rows.select("entity", gt.first_gate(rl.score_gates(1050.0)).alias("gate"))
 
 
 def _flow(s, d):
@@ -180,8 +187,7 @@ def _(s, d):
 
 @query("p13_resolve_label", PREDS + " select entity, coalesce(case when fold > 0 then y end, (score >= 0.4)::int) as label, case when fold > 0 then 'primary' else 'proxy' end as label_source from preds")
 def _(s, d):
-    first = F.when(F.col("fold") > 0, F.col("y"))
-    return predictions(s, d).select("entity", F.coalesce(first, (F.col("score") >= 0.4).cast("int")).alias("label"), F.when(first.isNotNull(), "primary").otherwise("proxy").alias("label_source"))
+    return rl.resolve_label(predictions(s, d), F.when(F.col("fold") > 0, F.col("y")), F.col("score") >= 0.4).select("entity", "label", "label_source")
 
 
 @query("j13_outlier_join", PREDS + " select entity, coalesce(case when entity % 4 = 0 then multiple > 1.1 end, false) as outlier from preds")
@@ -207,9 +213,8 @@ def _(s, d):
 def _(s, d):
     from vantage.sources.bindings import quotes
 
-    rows = cap.minute_lookup(trades(s, d), quotes(s, d)).where("quote is not null")
-    ratio = F.col("usd").cast("double") / F.nullif(F.col("tok") * F.col("quote"), F.lit(0.0))
-    return rows.groupBy("entity").agg(F.count("*").alias("n"), F.round(F.min(ratio), 8).alias("least"), F.round(F.max(ratio), 8).alias("most"))
+    out = rl.compare_implied(trades(s, d), quotes(s, d))
+    return out.withColumns({c: F.round(c, 8) for c in ("least", "most")})
 
 
 @query("j20_merge_by_capture", "select 'c' || entity as capture_id, t0, venue0, p0, t0 as feature_ts from captures where entity % 2 = 0")
@@ -244,10 +249,34 @@ def _(s, d):
     return ev.latest(creates(s, d), ["creator"], F.col("created"), F.col("entity")).select("creator", "created", "entity")
 
 
-@query("w10_capture_first_band", PRICED + f", b as (select *, row_number() over (partition by entity {NTH}) as r from priced where price * 1e9 between 1e12 and 1.4e12) select entity, ts as t0, price * 1e9 as mc0 from b where r = 1")
+@query("w10_capture_first_band", PRICED + f""", e as (select entity, max(ts) as last from trades group by 1), b as (select *, row_number() over (partition by entity {NTH}) as r from priced where price * 1e9 between 1.05e12 and 1.4e12), f as (select * from b where r = 1),
+  k as (select entity, min(created) as seen from creates where entity % 3 = 0 group by 1), u as (select coalesce(e.entity, k.entity) as entity, last, seen from e full join k on k.entity = e.entity)
+  select u.entity, coalesce(f.ts, seen, last) as t0, coalesce(f.price * 1e9, 0) as mc, case when f.ts is not null then 'HIGH' else 'LOW' end as quality, f.ts is not null as refined, (f.ts is not null)::int as n_window, 0::bigint as tradeable,
+    case when f.ts is not null then 'first_band' else 'no_band_trade' end as detail from u left join f on f.entity = u.entity""")
+def _(s, d):
+    sightings = creates(s, d).where("entity % 3 = 0").select("entity", F.col("created").alias("seen"))
+    return rl.capture_first_band(trades(s, d), 1050e9, 1400e9, sightings=sightings)
+
+
+@query("w10_capture_aligned", PRICED + f""", m as (select entity, min(created) as created from creates group by 1), p as (select priced.*, price * 1e9 as mc, min(ts) over (partition by entity) as first from priced),
+  r as (select p.*, created, ts - created as age, ts - first as since from p left join m using (entity)), b as (select *, coalesce(age >= 86400, false) or since >= 86400 or coalesce(age between 0 and 86399, false) as ok from r where mc between 1.05e12 and 1.4e12),
+  fx as (select *, row_number() over (partition by entity {NTH}) as r from b where ok), ax as (select *, row_number() over (partition by entity {NTH}) as r from b), a1 as (select * from ax where r = 1), f1 as (select * from fx where r = 1),
+  nw as (select f1.entity, count(*)::int as n from f1 join p on p.entity = f1.entity and p.ts between f1.ts - 86400 and f1.ts group by 1), e as (select entity, min(ts) as first from p group by 1)
+  select e.entity, coalesce(f1.ts, a1.ts, e.first) as t0, coalesce(f1.mc, a1.mc, 0) as mc, case when f1.ts is not null then 'MED' when a1.ts is not null then 'LOW' else 'REJECT' end as quality, f1.ts is not null as refined, coalesce(nw.n, 0) as n_window,
+    coalesce(case when f1.age >= 86400 then f1.age when f1.since >= 86400 then f1.since else f1.age end, 0)::bigint as tradeable, case when f1.ts is not null then 'aligned' when a1.ts is not null then 'too_young' else 'never_in_band' end as detail
+  from e left join f1 using (entity) left join a1 on a1.entity = e.entity left join nw on nw.entity = e.entity""")
+def _(s, d):
+    path = priced(s, d).where("price is not null").select("entity", "ts", "id", "mc")
+    return rl.capture_aligned(path, creates(s, d), 1050e9, 1400e9, 86400, "jupiter")
+
+
+@query("w10_capture_sighting", """, m as (select entity, min(created) as created from creates where entity % 5 > 0 group by 1), r as (select c.entity, t0 as seen, p0 as mc, venue0 = 'pumpswap' as complete, created, t0 - created as age from captures c left join m using (entity)),
+  t as (select *, case when complete then 'graduated' when not mc between 1100 and 1400 then 'mc_out_of_band' when age < 0 then 'create_after_t0' end as rej, case when created is null then 'missing_create' when age > 8640000 then 'age_above_most' end as low from r)
+  select entity, seen as t0, mc, case when rej is not null then 'REJECT' when low is not null then 'LOW' else 'MED' end as quality, rej is null and low is null as refined, 0 as n_window,
+    case when rej in ('graduated', 'mc_out_of_band') then 0 else coalesce(age, 0) end::bigint as tradeable, coalesce(rej, low, 'sighting') as detail from t""")
 def _(s, d):
-    first = priced(s, d).where(cap.in_band(F.col("mc"), BAND[0] * 1e9, BAND[1] * 1e9)).groupBy("entity").agg(F.min(F.struct("ts", "id", "mc")).alias("f"))
-    return first.select("entity", F.col("f.ts").alias("t0"), F.col("f.mc").alias("mc0"))
+    seen = captured(s, d).select("entity", F.col("t0").alias("seen"), F.col("p0").alias("mc"), (F.col("venue0") == "pumpswap").alias("complete"))
+    return rl.capture_sighting(seen, creates(s, d).where("entity % 5 > 0"), 1100.0, 1400.0, 100 * DAY)
 
 
 @query("w11_curve_path", f"""select entity, count(*) as n, round(max(c), 7) as top from (select entity, greatest(30 + sum(case when side = 'buy' then (usd::double / 150)::decimal(18,6) else -(usd::double / 150)::decimal(18,6) end) over (partition by entity {NTH} rows unbounded preceding), 0.000000001)::double as c from trades) group by entity""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vantage.operators import features as ft
 from vantage.operators import gates as gt
 from vantage.operators import normalize as nz
+from vantage.operators import ordered as od
 from vantage.operators import records as rc
 from vantage.operators import samples as sm
 from vantage.plans.derived import LONG, _long
@@ -130,7 +131,8 @@ def _(s, d):
   select x.f as feature, n_used, fallback, count(x.v) filter (y = 1) as pos_n, median(x.v) filter (y = 1) as pos_median, median(x.v) filter (y = 0) as neg_median, any_value(lv.m) as live_median from v left join lv on lv.f = x.f group by all""")
 def _(s, d):
     rows = _long(s, d).withColumn("y", F.col("entity") % 2)
-    live = rows.where("entity % 5 = 0").select(F.col("n").cast("double").alias("n"), F.col("oldest").cast("double").alias("oldest")).unpivot([], ["n", "oldest"], "feature", "v").groupBy("feature").agg(F.median("v").alias("live_median"))
+    live = rows.where("entity % 5 = 0").select(F.col("n").cast("double").alias("n"), F.col("oldest").cast("double").alias("oldest")).unpivot([], ["n", "oldest"], "feature", "v")
+    live = od.exact_quantiles(live, ["feature"], "v", [0.5]).select("feature", F.col("q")[0].alias("live_median"))
     return rc.usable_geometry(rows, F.col("n") >= 100000, F.col("n") >= 3, "y", ["n", "oldest"], live, 50)
 
 

@@ -12,6 +12,7 @@ from vantage.operators import evaluate as ev
 from vantage.operators import features as ft
 from vantage.operators import labels as lb
 from vantage.operators import ordered as od
+from vantage.operators import rules as rl
 from vantage.operators import samples as sm
 from vantage.sources.bindings import BAND, DAY, SQL, creates, events, quotes, table, trades
 
@@ -108,12 +109,12 @@ def _(s, d):
 
 @query("p6_t0_features", "select entity, t0, round((p0 - 1000) / 400, 6) as band_pos, round(ln(1 + p0), 6) as log1p_p0, (venue0 = 'pumpdotfun')::int as is_pumpdotfun from captures")
 def _(s, d):
-    return captured(s, d).select("entity", "t0", F.round((F.col("p0") - BAND[0]) / (BAND[1] - BAND[0]), 6).alias("band_pos"), F.round(F.log1p("p0"), 6).alias("log1p_p0"), (F.col("venue0") == "pumpdotfun").cast("int").alias("is_pumpdotfun"))
+    return rl.t0_features(captured(s, d), *BAND).withColumns({"band_pos": F.round("band_pos", 6), "log1p_p0": F.round("log1p_p0", 6)})
 
 
 @query("p14_capture_id", "select entity, t0, substring(sha256(entity || '|' || t0 || '|v1'), 1, 32) as capture_id from captures")
 def _(s, d):
-    return captured(s, d).select("entity", "t0", F.substring(F.sha2(F.concat_ws("|", "entity", "t0", F.lit("v1")), 256), 1, 32).alias("capture_id"))
+    return captured(s, d).select("entity", "t0", rl.capture_id(F.col("entity"), F.col("t0")).alias("capture_id"))
 
 
 @query("j1_pit_join", "select entity, t0, count(*) as n, max(age) as oldest, min(age) as newest from pit group by all")
@@ -248,9 +249,9 @@ def _(s, d):
 
 @query("a6_repriced_usd_pack", """, rp as (select p.*, q.price as quote from pit p left join quotes q on q.ts = p.ts - p.ts % 86400)
   select entity, t0, coalesce(sum((usd::double / 150 * quote)::decimal(28,6)) filter (age between 0 and 15552000 and quote is not null), 0)::double as usd,
-    count(*) filter (age between 0 and 15552000 and quote is not null) as n, count(*) filter (quote is null) as missing, round(median(quote), 8) as median_quote from rp group by all""")
+    count(*) filter (age between 0 and 15552000 and quote is not null) as n, count(*) filter (quote is null) as missing, round(median(quote), 10) as median_quote from rp group by all""")
 def _(s, d):
-    return ft.repriced_pack(pit(s, d), quotes(s, d), W["180d"], cap.minute_lookup)
+    return ft.repriced_pack(pit(s, d), quotes(s, d), W["180d"], cap.minute_lookup).withColumn("median_quote", F.round("median_quote", 10))
 
 
 @query("a7_peak_vwap", """, sl as (select entity, ts - ts % 86400 as slot, sum(usd)::double / sum(tok) as vwap from trades where tok > 0 group by all)
@@ -303,9 +304,9 @@ def _(s, d):
     return ev.null_rates(labelled(s, d), ["multiple_90d", "time_365d"])
 
 
-@query("a19_distribution_profile", LABELS + ", x as (select 'p0' as feature, p0 as v from labelled union all select 'multiple_365d', multiple_365d from labelled) select feature, count(*) as n, " + ", ".join(f"round(quantile_cont(v, {p / 100}), 6) as p{p:02d}" for p in (5, 25, 50, 75, 95)) + " from x where v is not null group by feature")
+@query("a19_distribution_profile", LABELS + ", x as (select 'p0' as feature, p0 as v from labelled union all select 'multiple_365d', multiple_365d from labelled) select feature, count(*) as n, round(avg(v), 5) as mean, round((quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.35::double, 6) as scale, " + ", ".join(f"round(quantile_cont(v, {p / 100}), 6) as p{p:02d}" for p in (5, 25, 50, 75, 95)) + " from x where v is not null group by feature")
 def _(s, d):
-    return ev.distribution(labelled(s, d), ["p0", "multiple_365d"])
+    return ev.distribution(labelled(s, d), ["p0", "multiple_365d"]).withColumns({"mean": F.round("mean", 5), "scale": F.round("scale", 6)})
 
 
 @query("a21_feature_delta", """, a as (select entity, count(*) filter (age <= 2592000) as n, max(age) filter (age <= 2592000) as oldest from pit group by entity),
@@ -349,8 +350,7 @@ def _(s, d):
 
 @query("a36_event_coverage", "select c.entity, count(t.ts) as n_after, min(t.ts) as first_after, max(t.ts) as last_after from captures c left join trades t on t.entity = c.entity and t.ts > c.t0 group by c.entity")
 def _(s, d):
-    after = trades(s, d).join(captured(s, d), "entity").where("ts > t0").groupBy("entity").agg(F.count("*").alias("n"), F.min("ts").alias("first_after"), F.max("ts").alias("last_after"))
-    return captured(s, d).select("entity").join(after, "entity", "left").select("entity", F.coalesce("n", F.lit(0)).alias("n_after"), "first_after", "last_after")
+    return rl.event_coverage(captured(s, d), trades(s, d))
 
 
 @query("a38_catalogue_features", """, g as (select *, ts - lag(ts) over (partition by entity order by ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as gap from pit),
@@ -495,7 +495,7 @@ def _(s, d):
 
 @query("l7_closest_to_mid", "select entity, p0 from captures order by abs(p0 - 1200), entity limit 50")
 def _(s, d):
-    return captured(s, d).orderBy(F.abs(F.col("p0") - 1200), "entity").limit(50).select("entity", "p0")
+    return rl.closest_to(captured(s, d), "p0", 1200.0, 50).select("entity", "p0")
 
 
 @query("m3_rank_metrics", PREDS + """, g as (select fold, score, sum(y) as p, count(*) - sum(y) as q from preds group by all),
@@ -546,7 +546,7 @@ def _(s, d):
 
 @query("j14_anti_done", "select entity, count(*) as n from trades where entity not in (select entity from captures) group by entity")
 def _(s, d):
-    return trades(s, d).join(captured(s, d).select("entity"), "entity", "left_anti").groupBy("entity").agg(F.count("*").alias("n"))
+    return rl.anti_done(trades(s, d), captured(s, d)).groupBy("entity").agg(F.count("*").alias("n"))
 
 
 @query("j15_overlay_update", ", o as (select entity, entity % 3 = 0 as flag, round(p0 * 2, 6) as v from captures) select c.entity, round(case when flag then v else p0 end, 6) as p0, round(p0, 6) as p0_base, flag as overlaid from captures c join o using (entity)")
@@ -563,7 +563,7 @@ def _(s, d):
 
 @query("u5_distinct_buyers", "select distinct entity, t0, trader from pit where side = 'buy'")
 def _(s, d):
-    return pit(s, d).where("side = 'buy'").select("entity", "t0", "trader").distinct()
+    return rl.distinct_buyers(pit(s, d))
 
 
 @query("g1_feature_time_gate", "select entity, ts, t0, 'after_t0' as rule from (select t.entity, t.ts, c.t0 from trades t join captures c using (entity)) where ts > t0")
