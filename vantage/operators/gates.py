@@ -69,6 +69,24 @@ def leak_columns(features: list[str], labels: list[str], prefixes: tuple[str, ..
     return sorted(c for c in features if c in labels or c.startswith(prefixes))
 
 
+def leak_rules(features: list[str], labels: list[str], allowed: list[str] | None = None, prefixes: tuple[str, ...] = ("hit_", "label_", "multiple_", "time_to_")) -> list[tuple[str, str]]:
+    """(column, rule) of feature columns that must not be: label columns, those that begin like one, and, with a list of
+    allowed ones, those that are not on it; the first rule that a column breaks."""
+    out = []
+    for c in features:
+        rule = "label" if c in labels else "prefix" if c.startswith(prefixes) else "not_listed" if allowed is not None and c not in allowed else None
+        out += [(c, rule)] if rule else []
+    return sorted(out)
+
+
+def unstamped(rows: DataFrame, required: tuple[str, ...] = ("feature_set_version", "label_version", "seed")) -> DataFrame:
+    """(column, n) of the version columns that rows lack: in how many rows; in all of them where there is no such column.
+    Columns that every row has are not listed."""
+    empty = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "") if c in rows.columns else F.lit(True)
+    one = rows.agg(*[F.count_if(empty(c)).alias(c) for c in required])
+    return one.unpivot([], list(required), "column", "n").where("n > 0")
+
+
 def recipe_difference(recipe: list[str], columns: list[str]) -> dict[str, list[str]]:
     """What a table lacks and has beyond a recipe, and the places where the order differs."""
     both = [c for c in columns if c in recipe]

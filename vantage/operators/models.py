@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from vantage.sources.shared import materialize
 
+from .ordered import curve_metrics, exact_quantiles
 from .records import mask_features
 from .samples import numbered
+from .scores import compare_to_baseline
 
 
 def classifier(kind: str, seed: int = 7):
-    """logistic, boosted or forest; logistic takes the weights of column w."""
+    """logistic, boosted or forest, each with the weights of column w."""
     if kind == "logistic":
         return LogisticRegression(featuresCol="scaled", labelCol="y", weightCol="w", maxIter=50, regParam=0.01)
     if kind == "boosted":
@@ -63,14 +65,43 @@ def walk_forward_scores(folded: DataFrame, features: list[str], kind: str = "log
 
 
 def model_zoo(folded: DataFrame, features: list[str], kinds: tuple[str, ...] = ("logistic", "boosted", "forest")) -> DataFrame:
-    """walk_forward_scores of each kind, with model."""
+    """walk_forward_scores of each kind, with model. A kind that ends in _natural weighs all rows alike; others balance
+    the classes."""
     folded, out = materialize(folded, "folds"), None
     for kind in kinds:
-        one = walk_forward_scores(folded, features, kind).withColumn("model", F.lit(kind))
+        one = walk_forward_scores(folded, features, kind.removesuffix("_natural"), not kind.endswith("_natural")).withColumn("model", F.lit(kind))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def best_model(scored: DataFrame) -> DataFrame:
+    """(model, folds, auc, ap, best): means over the folds of scores with model, fold and y; best is the largest mean AP,
+    ties by AUC, then name. Folds of one class have no AUC and are left out of its mean."""
+    per_fold = curve_metrics(scored, ["model", "fold"])
+    mean = per_fold.groupBy("model").agg(F.count("*").alias("folds"), F.avg("auc").alias("auc"), F.avg("ap").alias("ap"))
+    top = mean.agg(F.max_by("model", F.struct(F.coalesce("ap", F.lit(-1.0)), F.coalesce("auc", F.lit(-1.0)), F.col("model"))).alias("_top"))  # a row for each model
+    return mean.crossJoin(F.broadcast(top)).withColumn("best", F.col("model") == F.col("_top")).drop("_top")
+
+
+def ablation(folded: DataFrame, sets: dict[str, list[str]], baseline: str, kind: str = "logistic", small: float = 0.005) -> DataFrame:
+    """(features, auc, ap, delta_auc, delta_ap, prefer_simpler): out-of-sample scores of models on each set of features, all
+    folds pooled, less those of the baseline set. The simpler set will do where both deltas are below `small`."""
+    folded, scored = materialize(folded, "folds"), None
+    for name, features in sets.items():
+        one = walk_forward_scores(folded, features, kind).select(F.lit(name).alias("features"), "score", "y")
+        scored = one if scored is None else scored.unionByName(one)
+    pooled = curve_metrics(scored, ["features"]).select("features", "auc", "ap")
+    return compare_to_baseline(pooled, "features", baseline, ["auc", "ap"], small)
+
+
+def lite_fit(folded: DataFrame, features: list[str], kind: str = "logistic") -> DataFrame:
+    """Scores of the last fold's test rows by a model of its train rows, so no row is scored by a model that saw it."""
+    last = folded.where(F.col("part").isNotNull()).agg(F.max("fold")).first()[0]
+    if last is None:
+        raise ValueError("there are no folds")
+    return walk_forward_scores(folded.where(F.col("fold") == last), features, kind)
+
+
 def average_precision(scored: DataFrame, by: list[str]) -> DataFrame:
     """(by, ap): average precision, null without hits; equal scores count as one step. Scores are grouped in 4096 buckets of the unit interval
     first, so that no group is sorted in one task."""
@@ -100,12 +131,20 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, features: list
     return ap.where("feature <> ''").join(F.broadcast(whole)).groupBy("feature").agg(F.avg(F.col("whole") - F.col("ap")).alias("drop"))  # one row
 
 
-def perturbation(model: PipelineModel, rows: DataFrame, features: list[str], groups: dict[str, list[str]], key: str = "entity") -> DataFrame:
-    """(entity, group, before, after): scores with all features, and with a group of them set to null, hence to train medians."""
+def perturbation(model: PipelineModel, rows: DataFrame, features: list[str], groups: dict[str, list[str]], key: str = "entity", live: DataFrame | None = None) -> DataFrame:
+    """(entity, group, before, after): scores with all features, and with a group of them set to null, hence to train medians.
+
+    With live rows, the group is set to its exact medians over those instead; a feature that they lack is null.
+    """
     before = score(model, rows, features, [key]).withColumnRenamed("score", "before")
+    medians = {}
+    if live is not None:
+        long = live.select(*[F.col(c).cast("double").alias(c) for c in features]).unpivot([], features, "feature", "v").where("v is not null")
+        medians = {r["feature"]: r["q"][0] for r in exact_quantiles(long, ["feature"], "v", [0.5]).collect()}  # a row for each feature
     out = None
     for name, columns in groups.items():
-        one = before.join(score(model, mask_features(rows, columns), features, [key]), key).select(key, F.lit(name).alias("group"), "before", F.col("score").alias("after"))
+        moved = mask_features(rows, columns) if live is None else rows.withColumns({c: F.lit(medians.get(c)).cast("double") for c in columns})
+        one = before.join(score(model, moved, features, [key]), key).select(key, F.lit(name).alias("group"), "before", F.col("score").alias("after"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -51,7 +51,8 @@ def at_places(rows: DataFrame, by: list[str], value: str, places: dict[str, Call
     """
     c = cumulated(rows.groupBy(*by, value).agg(F.count("*").alias("_k")), by, value, ["_k"])
     at = lambda place: F.max(F.when((F.col("cum__k") > place) & (F.col("cum__k") - F.col("_k") <= place), F.col(value)))
-    return c.groupBy(*by).agg(F.max("all__k").alias("n"), *[at(f(F.col("all__k"))).alias(name) for name, f in places.items()])
+    out = c.groupBy(*by).agg(F.max("all__k").alias("n"), *[at(f(F.col("all__k"))).alias(name) for name, f in places.items()])
+    return out.where("n is not null")
 
 
 def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:

@@ -88,13 +88,30 @@ def recommend_band(bands: DataFrame, precision: float = 0.85, hits: int = 20, le
 
 
 def compare_to_baseline(rows: DataFrame, by: str, baseline: str, values: list[str], small: float = 0.005) -> DataFrame:
-    """Each row's values less those of the baseline row, and whether all of them are below `small`, so that the simpler one will do."""
-    base = rows.where(F.col(by) == baseline).select(*[F.col(v).alias(f"_{v}") for v in values])  # one row
+    """Each row's values less those of the baseline row, and whether all of them are below `small`, so that the simpler one will do.
+
+    Of several baseline rows the least counts; without one there are no deltas."""
+    base = rows.where(F.col(by) == baseline).agg(F.min(F.struct(*values)).alias("b")).select(*[F.col(f"b.{v}").alias(f"_{v}") for v in values])  # one row
     out = rows.crossJoin(F.broadcast(base)).withColumns({f"delta_{v}": F.round(F.col(v) - F.col(f"_{v}"), 6) for v in values}).drop(*[f"_{v}" for v in values])
     within = [F.abs(F.col(f"delta_{v}")) < small for v in values]
     return out.withColumn("prefer_simpler", sum((w.cast("int") for w in within), F.lit(0)) == len(values))
 
 
+def strategy_compare(rows: DataFrame, rules: dict[str, Column], baseline: str) -> DataFrame:
+    """(strategy, n, hit_rate, cum_r, mean_r and their deltas) of rows (y, r) that each rule accepts, less the baseline's.
+
+    All rules are summed in one pass, so rows are not multiplied; a rule that is null accepts nothing. Rates and means of no
+    rows are null, and so are deltas to them.
+    """
+    one = []
+    for name, rule in rules.items():
+        take = F.coalesce(rule, F.lit(False))
+        r = F.when(take, F.col("r").cast("decimal(18,6)"))
+        one.append(F.struct(F.lit(name).alias("strategy"), F.count_if(take).alias("n"), F.avg(F.when(take, F.col("y"))).alias("hit_rate"), F.coalesce(F.sum(r), F.lit(0)).cast("double").alias("cum_r"), (F.sum(r) / F.nullif(F.count(r), F.lit(0))).cast("double").alias("mean_r")).alias(name))
+    told = rows.agg(*one).select(F.explode(F.array(*rules)).alias("x")).select("x.*")
+    return compare_to_baseline(told, "strategy", baseline, ["n", "hit_rate", "cum_r", "mean_r"]).drop("prefer_simpler")
+
+
 def score_lift(a: DataFrame, b: DataFrame, high: float = 0.9) -> DataFrame:
     """One row: n, largest score, mean and share at or above `high` of two score sets, and a verdict on the second."""
     side = lambda df, p: df.agg(F.count("*").alias(f"{p}_n"), F.max("score").alias(f"{p}_max"), F.round(F.avg("score"), 6).alias(f"{p}_mean"), F.round(F.avg((F.col("score") >= high).cast("int")), 6).alias(f"{p}_high"))

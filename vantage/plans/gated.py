@@ -165,6 +165,16 @@ def _(s, d):
     return sc.compare_to_baseline(folds, "fold", "0", ["score", "rate"])
 
 
+@query("a31_strategy_rules", PREDS + """, r as (select *, case when multiple is not null then (least(multiple, 10) - 1 - 0.015::double)::decimal(18,6) end as r from preds), s as (select 'all' as strategy, * from r union all select 'score', * from r where score >= 0.4 union all select 'early', * from r where fold < 2 and score >= 0.2 union all select 'none', * from r where score > 9),
+  n as (select unnest(['all', 'score', 'early', 'none']) as strategy), a as (select n.strategy, count(s.entity) as n, avg(y) as hit_rate, coalesce(sum(r), 0)::double as cum_r, (sum(r) / nullif(count(r), 0))::double as mean_r from n left join s using (strategy) group by 1)
+  select a.strategy, a.n, round(a.hit_rate, 6) as hit_rate, round(a.cum_r, 4) as cum_r, round(a.mean_r, 4) as mean_r, a.n - b.n as delta_n, round(a.hit_rate - b.hit_rate, 4) as delta_hit_rate, round(a.cum_r - b.cum_r, 4) as delta_cum_r, round(a.mean_r - b.mean_r, 4) as delta_mean_r from a, (select * from a where strategy = 'all') b""")
+def _(s, d):
+    rows = ev.strategy_returns(predictions(s, d)).withColumn("r", F.col("r_cap"))
+    out = sc.strategy_compare(rows, {"all": F.lit(True), "score": F.col("score") >= 0.4, "early": (F.col("fold") < 2) & (F.col("score") >= 0.2), "none": F.col("score") > 9}, "all")
+    digits = {"hit_rate": 6} | dict.fromkeys(("cum_r", "mean_r", "delta_hit_rate", "delta_cum_r", "delta_mean_r"), 4)
+    return out.withColumns({c: F.round(c, k) for c, k in digits.items()})
+
+
 @query("a33_candidate_vs_last", PREDS + """, l as (select count(*) as n, max(score) as m, round(avg(score), 6) as a, round(avg((score >= 0.4)::int), 6) as h from preds where fold < 2), n as (select count(*) as n, max(score) as m, round(avg(score), 6) as a, round(avg((score >= 0.4)::int), 6) as h from preds where fold >= 2)
   select l.n as last_n, l.m as last_max, l.a as last_mean, l.h as last_high, n.n as new_n, n.m as new_max, n.a as new_mean, n.h as new_high,
     case when n.h >= l.h and n.a >= l.a then 'better' when n.h < l.h and n.a < l.a then 'worse' else 'mixed' end as verdict from l, n""")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vantage.operators import evaluate as ev
+from vantage.operators import gates as gt
 from vantage.operators import models as md
 from vantage.operators import ordered as od
 from vantage.operators import scores as sc
 from vantage.plans.derived import _long
-from vantage.plans.gated import WEIGHTS, _lite
+from vantage.plans.gated import WEIGHTS, _flow, _lite
 from vantage.plans.recorded import FLAGGED, _flagged
-from vantage.plans.registry import PREDS, captured, predictions, query
+from vantage.plans.registry import PREDS, captured, labelled, predictions, query
 from vantage.sources import files, keyed, zstd_log
 from vantage.sources.bindings import creates, event_rows, events, table
 from vantage.sources.shared import materialize, scratch
@@ -180,12 +182,22 @@ def _(s, d):
     return sc.compare_to_baseline(ap, "fold", "0", ["ap"]).withColumn("delta_ap", F.round("delta_ap", 6))
 
 
+@query("a32_feature_ablation")
+def _(s, d):
+    return md.ablation(_folded(s, d, 2), {"all": FEATURES, "flow": ["n", "net"], "age": ["oldest"]}, "all")
+
+
+@query("m2_best_model")
+def _(s, d):
+    return md.best_model(md.model_zoo(_folded(s, d, 2), FEATURES, ("logistic", "logistic_natural", "forest")))
+
+
 @query("m8_lite_fit")
 def _(s, d):
     phi = sc.lite_inputs()
     names = list(WEIGHTS)
     rows = _lite(s, d).select("entity", *[phi[c].alias(c) for c in names]).join(predictions(s, d).select("entity", (F.col("score") >= 0.25).cast("int").alias("y")), "entity")
-    return md.score(md.fit(rows, names), rows, names, ["entity", "y"])
+    return md.lite_fit(ev.expanding_folds(captured(s, d)).join(rows, "entity"), names).select("entity", "fold", "y", "score")
 
 
 def _fitted(s, d):
@@ -206,10 +218,23 @@ def _(s, d):
     return md.perturbation(model, rows, FEATURES, {"age": ["oldest"], "size": ["n", "max_buy"]})
 
 
-@query("m12_recalibrate")
+@query("m11_perturbation_live")
 def _(s, d):
     model, rows = _fitted(s, d)
-    return md.recalibrate(model, rows.withColumn("net", F.when(F.col("entity") % 3 > 0, F.col("net"))), rows, FEATURES, 0.5)
+    return md.perturbation(model, rows, FEATURES, {"age": ["oldest"], "size": ["n", "max_buy"]}, live=rows.where("entity % 5 = 0"))
+
+
+SOL = ["net_sol_curve", "max_buy_sol", "progress_curve_proxy"]
+
+
+@query("m12_recalibrate")
+def _(s, d):
+    """A model of repaired rows scores rows whose sol columns are missing, before and after the repair."""
+    flow = _flow(s, d).select("entity", F.col("buy_vol_usd_5m").alias("buy_vol_usd_total"), F.col("sell_vol_usd_5m").alias("sell_vol_usd_total"), F.col("buy_vol_usd_60s").alias("max_buy_usd"))
+    bare = flow.withColumns({c: F.lit(0.0) for c in ("max_buy_sol", "net_sol_total", "net_sol_curve")}).withColumn("progress_curve_proxy", F.lit(0.0))
+    bare = materialize(bare.withColumn("y", F.when(F.col("entity") % 4 == 0, 1).otherwise(0)), "rows")
+    fixed = sc.repair_sol(bare, 150.0)
+    return md.recalibrate(md.fit(fixed, SOL), bare, fixed, SOL, 0.5)
 
 
 @query("k4_quarantine_partition", FLAGGED + " select entity, score from fg where is_stub or early")
@@ -259,3 +284,50 @@ def _(s, d):
         stream = jobs.replay(s, f"{source}/*", rows.schema, 1_000_000)
         jobs.score_and_enter(stream, priors, score, 0.3, 60, 7 * 86400, 40, path, state, counters).awaitTermination()
     return jobs.cycle_counters(s, counters)
+
+
+@query("s2_rows_json", "select entity, creator, name from creates")
+def _(s, d):
+    path = scratch(s, "rows-json")
+    c = creates(s, d).select("entity", "creator", "name")
+    docs = c.groupBy((F.col("entity") % 7).alias("d")).agg(F.to_json(F.struct(F.collect_list(F.struct("entity", "creator", "name")).alias("rows"))).alias("value"))
+    docs.select("value").write.text(path)  # a document a line, seven of them
+    return files.read_rows_json(s, path, "entity long, creator string, name string", lines=True)
+
+
+@query("s4_merge_batches", "select entity, case when entity % 3 = 0 then symbol else name end as v from creates where entity % 2 = 0 or entity % 3 = 0")
+def _(s, d):
+    path, c = scratch(s, "numbered"), creates(s, d)
+    for number, (rows, column) in enumerate(((c.where("entity % 2 = 0"), "name"), (c.where("entity % 3 = 0"), "symbol"))):
+        rows.select("entity", F.col(column).alias("v")).write.parquet(f"{path}/batch_{number}")
+    return files.merge_batches(s, path, "entity", schema="entity long, v string", by="folder")
+
+
+@query("k5_manifest_check", "select problem, count(*) as n from (select case when entity % 10 = 3 then 'missing' when entity % 10 = 4 then 'differs' end as problem from (select distinct entity % 40 as entity from creates)) where problem is not null group by 1")
+def _(s, d):
+    path = scratch(s, "manifest")
+    creates(s, d).select((F.col("entity") % 40).alias("k"), "entity", "name").repartition("k").write.partitionBy("k").json(path)
+    found = files.file_manifest_check(s, path, s.createDataFrame([], "file string, sha256 string"), nested=True).select("file", F.col("found").alias("sha256"))
+    listed = materialize(found.withColumn("k", F.dense_rank().over(Window.orderBy("file")) - 1).where("file like '%.json'"), "listed")  # a row for each file
+    stated = listed.select(F.when(F.col("k") % 10 == 3, F.concat("file", F.lit(".gone"))).otherwise(F.col("file")).alias("file"), F.when(F.col("k") % 10 == 4, "0").otherwise(F.col("sha256")).alias("sha256"))
+    out = files.file_manifest_check(s, path, stated, nested=True)
+    return out.where("problem <> 'unlisted'").groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query("g4_leak_columns", "select unnest(['hit_180d', 'hit_365d', 'hit_90d', 'multiple_180d', 'multiple_365d', 'multiple_90d', 'p0', 'time_180d', 'time_365d', 'time_90d']) as \"column\", unnest(['label', 'label', 'label', 'prefix', 'prefix', 'prefix', 'not_listed', 'not_listed', 'not_listed', 'not_listed']) as rule from (select count(*) from captures)")
+def _(s, d):
+    rows = labelled(s, d)
+    told = gt.leak_rules(rows.columns, ["hit_90d", "hit_180d", "hit_365d"], allowed=["entity", "t0"])
+    return s.createDataFrame(told, "column string, rule string")
+
+
+@query("g9_recipe_columns", "select unnest(['multiple_30d', 'hit_90d', 'p0', 't0']) as \"column\", unnest(['missing', 'extra', 'moved', 'moved']) as problem from (select count(*) from captures)")
+def _(s, d):
+    told = gt.recipe_difference(["entity", "p0", "t0", "multiple_30d"], labelled(s, d).select("entity", "t0", "p0", "hit_90d").columns)
+    return s.createDataFrame([(c, k) for k, cs in told.items() for c in cs], "column string, problem string")
+
+
+@query("g12_version_stamps", "select 'seed' as \"column\", count(*) as n from captures union all select 'label_version', count(*) filter (entity % 4 = 0) from captures having count(*) filter (entity % 4 = 0) > 0")
+def _(s, d):
+    rows = captured(s, d).select("entity", F.lit("f1").alias("feature_set_version"), F.when(F.col("entity") % 4 > 0, "l1").alias("label_version"))
+    return gt.unstamped(rows)

@@ -19,9 +19,10 @@ def read_table_checked(spark: SparkSession, path: str, required: list[str], sche
     return df
 
 
-def read_rows_json(spark: SparkSession, path: str, row: str) -> DataFrame:
-    """The rows of JSON documents that hold them in an array `rows`; row is the DDL of one. A document is one task's."""
-    return spark.read.schema(f"rows array<struct<{row}>>").json(path, multiLine=True).select(F.inline("rows"))
+def read_rows_json(spark: SparkSession, path: str, row: str, lines: bool = False) -> DataFrame:
+    """The rows of JSON documents that hold them in an array `rows`; row is the DDL of one. A document is one task's, and a
+    file, or with `lines` a line, is a document. Documents without rows give none."""
+    return spark.read.schema(f"rows array<struct<{row}>>").json(path, multiLine=not lines).select(F.inline("rows"))
 
 
 def read_event_log(spark: SparkSession, path: str | list[str], schema: str, keys: DataFrame, key: str = "entity") -> DataFrame:
@@ -30,10 +31,12 @@ def read_event_log(spark: SparkSession, path: str | list[str], schema: str, keys
     return spark.read.schema(schema).json(path).join(keys.select(key).distinct(), key, "left_semi")
 
 
-def merge_batches(spark: SparkSession, path: str, key: str, keep: str = "last", format: str = "parquet", schema: str | None = None) -> DataFrame:
-    """One row for each key out of a folder of batch files: that of the last file by name, or of the first one."""
-    reader = spark.read.format(format).option("header", True)
-    rows = (reader.schema(schema) if schema else reader).load(path).select("*", F.col("_metadata.file_name").alias("_file"))
+def merge_batches(spark: SparkSession, path: str, key: str, keep: str = "last", format: str = "parquet", schema: str | None = None, by: str = "file") -> DataFrame:
+    """One row for each key out of a folder of batches: that of the last batch by name, or of the first one. A batch is a file,
+    or, by folder, all files of a folder below path."""
+    reader = spark.read.format(format).option("header", True).option("recursiveFileLookup", by == "folder")
+    name = F.col("_metadata.file_name") if by == "file" else F.element_at(F.split("_metadata.file_path", "/"), -2)
+    rows = (reader.schema(schema) if schema else reader).load(path).select("*", name.alias("_file"))
     rest = [c for c in rows.columns if c not in (key, "_file")]
     pick = F.max if keep == "last" else F.min
     best = rows.groupBy(key).agg(pick(F.struct("_file", *rest)).alias("r"))
@@ -73,10 +76,12 @@ def quarantine_partition(rows: DataFrame, legacy: str, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(side.schema).parquet(path)
 
 
-def file_manifest_check(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+def file_manifest_check(spark: SparkSession, path: str, manifest: DataFrame, nested: bool = False) -> DataFrame:
     """(file, expected, found, problem) of files whose SHA-256 differs from the manifest's (file, sha256), or that only one
-    side has. Each file is read as one value, so files must be below 2 GB."""
-    found = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("found"))
+    side has. Each file is read as one value, so files must be below 2 GB. Files go by their name, or, nested, by their
+    place below path, folders included."""
+    name = F.substring_index("path", f"/{path.rstrip('/').rpartition('/')[2]}/", -1) if nested else F.element_at(F.split("path", "/"), -1)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", nested).load(path).select(name.alias("file"), F.sha2("content", 256).alias("found"))
     both = manifest.select("file", F.col("sha256").alias("expected")).join(found, "file", "full")
     problem = F.when(F.col("found").isNull(), "missing").when(F.col("expected").isNull(), "unlisted").when(F.col("found") != F.col("expected"), "differs")
     return both.withColumn("problem", problem).where("problem is not null")
