@@ -90,8 +90,9 @@ def mix_to_targets(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
     A source's documents are each taken target / source_size times on average: the whole part always, the
     fraction by pivotal_round, so a source's taken words differ from its target by less than one document.
     No document is taken more than ceil(most) times. Null text has size 0 and takes nothing; a null source is
-    a source of its own; rows that repeat key, source and size are one unit that is decided once for all of
-    them; reruns agree. An empty table gives no rows.
+    a source of its own. Of rows that repeat key, source and size, as many take one more as their fractions add
+    up to, and one row is rounded, so they too cost less than one document. Reruns agree. An empty table gives no rows;
+    other columns are not read, whatever their names, and a text of any length is only counted.
     """
     rows = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), n_words_of(F.col(text)).alias("size"))
     units = materialize(rows.groupBy("id", "source", "size").agg(F.count("*").alias("rows")), "units")
@@ -100,10 +101,13 @@ def mix_to_targets(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
     units = units.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = units.withColumn("whole", F.when(F.col("size") > 0, F.floor(rate + 1e-12)).otherwise(0).cast("long")).withColumn("part", F.greatest(rate - F.col("whole"), F.lit(0.0)))
+    # of equal rows, so many take one more for sure as their parts add up to; one row takes what is left at random
+    extra = F.when(F.col("size") > 0, F.col("part") * F.col("rows")).otherwise(0.0)
+    units = units.withColumn("sure", F.least(F.floor(extra + 1e-9), F.col("rows"))).withColumn("rest", F.greatest(extra - F.col("sure"), F.lit(0.0)))
     units = units.withColumn("uid", F.xxhash64("id", "source", "size"))
-    loose = units.where((F.col("part") > 1e-12) & (F.col("size") > 0))
-    rounded = pivotal_round(loose.select(F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source")).alias("grp"), F.col("uid").alias("id"), (F.col("size") * F.col("rows")).alias("size"), "part"), fan_in, seed)
+    loose = units.where(F.col("rest") > 1e-12)
+    rounded = pivotal_round(loose.select(F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source")).alias("grp"), F.col("uid").alias("id"), "size", F.col("rest").alias("part")), fan_in, seed)
     rounded = rounded.groupBy(F.col("id").alias("_uid")).agg(F.max("up").alias("up"))
-    out = units.join(rounded, F.col("uid") == F.col("_uid"), "left").withColumn("copies", F.col("whole") + F.coalesce("up", F.lit(0)))
-    out = out.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    out = units.join(rounded, F.col("uid") == F.col("_uid"), "left").withColumn("more", F.col("sure") + F.coalesce("up", F.lit(0)))
+    out = out.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows")))).withColumn("copies", F.col("whole") + (F.col("_row") <= F.col("more")).cast("long"))
     return out.select(F.col("id").alias(key), "source", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -11,10 +12,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 _CHUNK = pa.schema([("archive", pa.string()), ("seq", pa.int32()), ("chunk", pa.binary())])
-_MEMBER = pa.schema([("archive", pa.string()), ("record", pa.int64()), ("record_id", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("member", pa.binary())])
+_ENTRY = pa.struct([("record", pa.int64()), ("record_id", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+_FILE = pa.schema([("archive", pa.string()), ("seq", pa.int32()), ("start", pa.int64()), ("piece", pa.binary()), ("index", pa.list_(_ENTRY))])
+#: Bytes of a new file that a row holds, but for the end of its last member.
+PIECE = 4 << 20
 _READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("intact", pa.bool_())])
 
 
@@ -83,12 +87,15 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
 
 
 def records_of(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """The WARC records of a gzip file that is inflated once, as a stream; several members are read on."""
-    held, stream, need = bytearray(), zlib.decompressobj(31), 0
+    """The WARC records of a gzip file that is inflated once, as a stream; several members are read on.
+
+    A file that ends within a gzip member or within a record is an error, and so are bytes that belong to neither.
+    """
+    held, stream, need, inside = bytearray(), zlib.decompressobj(31), 0, False
     for chunk in chunks:
         while chunk:
             held += stream.decompress(chunk)
-            chunk = stream.unused_data
+            chunk, inside = stream.unused_data, not stream.eof
             if stream.eof:
                 stream = zlib.decompressobj(31)
         while True:
@@ -103,55 +110,77 @@ def records_of(chunks: Iterator[bytes]) -> Iterator[bytes]:
             yield bytes(held[:need])
             del held[:need]
             need = 0
+    if inside:
+        raise ValueError("the archive ends within a gzip member")
+    if held:
+        raise ValueError(f"the archive ends with {len(held)} bytes that are no whole record")
 
 
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (archive, seq) -> one gzip member per record, with the place it has in the new file."""
+    """Rows sorted by (archive, seq) -> the new file of each archive in pieces of whole members, with the index of each piece."""
 
     def rows() -> Iterator[tuple[str, bytes]]:
         for batch in batches:
             for archive, chunk in zip(batch.column("archive").to_pylist(), batch.column("chunk"), strict=True):
                 yield archive, chunk.as_py()
 
-    def grouped() -> Iterator[tuple[str, Iterator[bytes]]]:
-        import itertools
+    def piece(archive: str, seq: int, start: int, held: list[bytes], index: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((archive, seq, start, b"".join(held), index), _FILE, strict=True)], schema=_FILE)
 
-        for archive, group in itertools.groupby(rows(), key=lambda r: r[0]):
-            yield archive, (chunk for _, chunk in group)
-
-    for archive, chunks in grouped():
-        out: list[tuple] = []
-        offset = size = 0
-        for number, record in enumerate(records_of(chunks)):
+    for archive, group in itertools.groupby(rows(), key=lambda r: r[0]):
+        held, index = [], []
+        offset = start = seq = 0
+        for number, record in enumerate(records_of(chunk for _, chunk in group)):
             pack = zlib.compressobj(6, zlib.DEFLATED, 31)
             member = pack.compress(record) + pack.flush()
             name = record[: record.find(b"\r\n\r\n")].partition(b"WARC-Record-ID: <")[2].partition(b">")[0].decode()
-            out.append((archive, number, name, offset, len(member), member))
-            offset, size = offset + len(member), size + len(member)
-            if size >= 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _MEMBER, strict=True)], schema=_MEMBER)
-                out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _MEMBER, strict=True)], schema=_MEMBER)
+            held.append(member)
+            index.append({"record": number, "record_id": name, "offset": offset, "length": len(member)})
+            offset += len(member)
+            if offset - start >= PIECE:
+                yield piece(archive, seq, start, held, index)
+                held, index, start, seq = [], [], offset, seq + 1
+        if held:
+            yield piece(archive, seq, start, held, index)
+
+
+def normalised_files(archives: DataFrame) -> DataFrame:
+    """(archive, seq, start, piece, index): the pieces of an archive, in order of seq, are its new file, one gzip member a
+    record; start is a piece's place in the file, and index the sidecar entries of its records, with offsets in the file.
+    Each archive is inflated once, as a stream, in one task; a damaged one is an error."""
+    ddl = "archive string, seq int, start long, piece binary, index array<struct<record:bigint,record_id:string,offset:bigint,length:bigint>>"
+    return archives.repartition("archive").sortWithinPartitions("archive", "seq").mapInArrow(_normalise, ddl)
 
 
 def normalise(archives: DataFrame) -> DataFrame:
     """(archive, record, record_id, offset, length, member): members in order of record make the new file;
-    the other columns are its sidecar index. Each archive is inflated once, as a stream, in one task."""
-    ddl = "archive string, record long, record_id string, offset long, length long, member binary"
-    return archives.repartition("archive").sortWithinPartitions("archive", "seq").mapInArrow(_normalise, ddl)
+    the other columns are its sidecar index."""
+    rows = normalised_files(archives).select("archive", "start", "piece", F.inline("index"))
+    member = F.substring("piece", (F.col("offset") - F.col("start") + 1).cast("int"), F.col("length").cast("int"))
+    return rows.select("archive", "record", "record_id", "offset", "length", member.alias("member"))
 
 
-def offset_index(members: DataFrame) -> DataFrame:
-    return members.select("archive", "record", "record_id", "offset", "length")
+def offset_index(files: DataFrame) -> DataFrame:
+    """The sidecar index of normalised files, or of members."""
+    if "index" in files.columns:
+        return files.select("archive", F.inline("index"))
+    return files.select("archive", "record", "record_id", "offset", "length")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members out of the pieces of files: each is read at the place that the index tells, and nowhere else."""
     number = lambda s: int(s.rpartition(":")[2].rstrip(">")) if s and s.rpartition(":")[2].rstrip(">") else None
+
+    def placed(batch: pa.RecordBatch) -> Iterator[bytes]:
+        for start, piece, index in zip(batch.column("start").to_pylist(), batch.column("piece"), batch.column("index").to_pylist(), strict=True):
+            data = piece.as_buffer()
+            for entry in index:
+                yield data.slice(entry["offset"] - start, entry["length"]).to_pybytes()
+
     for batch in batches:
         out = []
-        for member in batch.column("member"):
-            head, _, rest = zlib.decompress(member.as_py(), 31).partition(b"\r\n\r\n")
+        for member in placed(batch):
+            head, _, rest = zlib.decompress(member, 31).partition(b"\r\n\r\n")
             fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
             http, _, payload = rest[:-4].partition(b"\r\n\r\n")
             size = int(http.rpartition(b"Content-Length: ")[2])
@@ -162,17 +191,20 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _READ, strict=True)], schema=_READ)
 
 
-def read_members(members: DataFrame) -> DataFrame:
-    """One row per member: page_id, payload_bytes, payload_digest, record_type, refers_to, intact (digest verified)."""
-    return members.select("member").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean")
+def read_members(files: DataFrame) -> DataFrame:
+    """One row per record of normalised files, read by their index: page_id, payload_bytes, payload_digest, record_type,
+    refers_to, intact (digest verified). An index that points beside a member is an error."""
+    return files.select("start", "piece", "index").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean")
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = 1000) -> DataFrame:
     """Writes a record per row, normalises the archives and reads them back: one row per input row.
 
     Null html is an empty payload; empty and short payloads are always responses; rows that repeat the largest
-    key of a payload are all responses; a null key never responds to others. An empty table gives no rows.
+    key of a payload are all responses; a null key never responds to others. An empty table gives no rows. A payload is
+    one record, however long, and held whole by one task. Other columns are not read, whatever their names.
     """
     archives = materialize(write_archives(pages, key, url, html, least), "archives")
-    members = materialize(normalise(archives), "members")
-    return read_members(members).withColumnRenamed("page_id", key)
+    files = materialize(normalised_files(archives), "files")
+    release(archives)
+    return read_members(files).withColumnRenamed("page_id", key)
