@@ -188,3 +188,30 @@ def test_nested_manifests_and_batches_by_folder(spark, tmp_path):
         spark.createDataFrame(rows, "k long, v string").repartition(2).write.parquet(str(tmp_path / "batches" / f"batch_{n}"))
     got = lambda keep: {r.k: r.v for r in files.merge_batches(spark, str(tmp_path / "batches"), "k", keep, by="folder").collect()}
     assert got("last") == {1: "new", 2: "b"} and got("first") == {1: "old", 2: "b"}
+
+
+def test_running_falls_over_buckets(spark):
+    draw = random.Random(4)
+    rows = [(draw.choice(["a", None]), i, draw.randrange(0, 3000), draw.choice([None, round(draw.uniform(-2, 2), 3)])) for i in range(300)] + [("c", 900, None, 1.0), ("c", 901, 5, -3.0)]
+    df = spark.createDataFrame(rows, "g string, entity long, t0 long, v double")
+    for bucket in (10, 500, 10**9):
+        got = {r.entity: (float(r.cum), float(r.fall)) for r in ev.cum_drawdown(df, ["g"], "v", bucket).collect()}
+        assert len(got) == len(rows)
+        for g in {r[0] for r in rows}:
+            cum, peak = 0.0, None
+            for _, entity, _, v in sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[1])):
+                cum += v or 0.0
+                peak = cum if peak is None else max(peak, cum)
+                assert got[entity] == pytest.approx((cum, cum - peak), abs=1e-9)
+
+
+def test_ranks_in_parts(spark):
+    draw = random.Random(5)
+    rows = [(i, draw.choice(["a", "b"]), draw.randrange(5), draw.choice([0.5, 0.25, 0.75]), draw.choice([0, 1])) for i in range(400)]
+    df = spark.createDataFrame(rows, "entity long, g string, t0 long, score double, y int")
+    for salt in (1, 7):
+        got = sorted((r.g, r["rank"], r.entity) for r in ev.rank_topk(df, ["g"], 9, salt).collect())
+        assert got == [(g, k, r[0]) for g in "ab" for k, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (-r[3], r[2], r[0]))[:9], 1)]
+    one = {r.g: r for r in ev.precision_recall_at_k(df, ["g"], (3, 9)).collect()}
+    best = [r[4] for r in sorted((r for r in rows if r[1] == "a"), key=lambda r: (-r[3], r[2], r[0]))]
+    assert (one["a"].pos, one["a"].hits_3, one["a"].hits_9) == (sum(best), sum(best[:3]), sum(best[:9]))

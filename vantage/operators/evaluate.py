@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import exact_quantiles
+from .ordered import cumulated, curve_metrics, exact_quantiles
+from .samples import take
 
 DAY = 86400
 
@@ -80,19 +81,21 @@ def embargo_split(df: DataFrame, train_end: int, val_end: int, test_end: int, em
 
 
 def rank_metrics(preds: DataFrame, by: list[str]) -> DataFrame:
-    """Exact AUC (ties by average rank) and average precision per group: scores are grouped first, then summed
-    cumulatively over the distinct scores. preds: by..., score, y (0 or 1)."""
-    s = preds.groupBy(*by, "score").agg(F.sum("y").alias("p"), (F.count("*") - F.sum("y")).alias("q"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
-    s = s.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("q").over(down))
-    out = s.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("q").alias("neg"), F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2)).alias("area"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"))
-    return out.select(*by, "pos", "neg", F.round(F.col("area") / (F.col("pos") * F.col("neg")), 6).alias("auc"), F.round(F.col("ap") / F.col("pos"), 6).alias("ap"), F.round(F.col("pos") / (F.col("pos") + F.col("neg")), 6).alias("base_rate"))
+    """Exact AUC (ties by average rank), average precision and base rate per group, from the curve of its distinct scores.
+    preds: by..., score, y (0 or 1)."""
+    m = curve_metrics(preds, by)
+    rate = F.col("pos") / (F.col("pos") + F.col("neg"))
+    return m.select(*by, "pos", "neg", F.round("auc", 6).alias("auc"), F.round("ap", 6).alias("ap"), F.round(rate, 6).alias("base_rate"))
 
 
 def precision_recall_at_k(preds: DataFrame, by: list[str], ks: tuple[int, ...]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.desc("score"), "t0", "entity")
-    r = preds.withColumn("r", F.row_number().over(w))
-    out = r.groupBy(*by).agg(F.sum("y").alias("pos"), *[F.sum(F.when(F.col("r") <= k, F.col("y"))).alias(f"hits_{k}") for k in ks], *[F.count_if(F.col("r") <= k).alias(f"n_{k}") for k in ks])
+    """Per group: pos, and hits, precision and recall among its best k by score, then time, then key. Only the best max(ks) of a
+    group are ranked; the rest is counted."""
+    top = rank_topk(preds, by, max(ks)).groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(*[F.sum(F.when(F.col("rank") <= k, F.col("y"))).alias(f"hits_{k}") for k in ks], *[F.count_if(F.col("rank") <= k).alias(f"n_{k}") for k in ks])
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = preds.groupBy(*by).agg(F.sum("y").alias("pos")).join(top, same).drop(*[f"_{c}" for c in by])
     for k in ks:
         out = out.withColumn(f"precision_{k}", F.round(F.col(f"hits_{k}") / F.col(f"n_{k}"), 6)).withColumn(f"recall_{k}", F.round(F.col(f"hits_{k}") / F.col("pos"), 6))
     return out.drop(*[f"n_{k}" for k in ks])
@@ -105,9 +108,17 @@ def threshold_sweep(preds: DataFrame, thresholds: list[float]) -> DataFrame:
     return rows.select("threshold", F.col("n").alias("entries"), F.col("h").alias("hits"), F.when(F.col("n") > 0, F.round(F.col("h") / F.col("n"), 6)).alias("precision"), F.round(F.col("h") / F.col("pos"), 6).alias("recall"))
 
 
-def rank_topk(preds: DataFrame, by: list[str], k: int) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.desc("score"), "t0", "entity")
-    return preds.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def rank_topk(preds: DataFrame, by: list[str], k: int, salt: int = 64) -> DataFrame:
+    """The best k of each group with their rank, by score, then time, then key.
+
+    A group is first ranked in `salt` parts, of which the best k stay, so that the task that ranks the group gets at most
+    salt * k rows of it. Where that is no bound (k above a million) the group is ranked at once.
+    """
+    order = (F.desc("score"), "t0", "entity")
+    if k <= 1_000_000:
+        part = Window.partitionBy(*by, "_part").orderBy(*order)
+        preds = preds.withColumn("_part", F.pmod(F.xxhash64("entity", "t0"), F.lit(salt))).withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k).drop("_part", "rank")
+    return preds.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
 def quantile_thresholds(preds: DataFrame, fraction: float) -> DataFrame:
@@ -125,11 +136,26 @@ def strategy_returns(rows: DataFrame, cost: float = 0.015, cap: float = 10.0) ->
     return rows.withColumn("r_cap", capped(cap)).withColumn("r_binary", binary).withColumn("r_wide", capped(2 * cap))
 
 
-def cum_drawdown(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Adds cum, the running sum of a value in time order, and fall, its distance below its running peak; null adds nothing."""
-    w = Window.partitionBy(*by).orderBy("t0", "entity").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("cum", F.coalesce(F.sum(F.col(value).cast("decimal(18,6)")).over(w), F.lit(0).cast("decimal(28,6)")))
-    return rows.withColumn("fall", F.col("cum") - F.max("cum").over(w))
+def cum_drawdown(rows: DataFrame, by: list[str], value: str, bucket: int = 30 * DAY) -> DataFrame:
+    """Adds cum, the running sum of a value in time order, and fall, its distance below its running peak; null adds nothing.
+
+    Sums and peaks run within buckets of time; each bucket starts from the sum and the peak of those before it, which come
+    from a table of a row for each bucket, so no group is sorted in one task. Rows without a time come first.
+    """
+    order = ("t0", "entity")
+    tagged = rows.withColumn("_b", F.coalesce(F.floor(F.col("t0") / bucket), F.lit(-(1 << 40))))
+    inside = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    tagged = tagged.withColumn("_in", F.coalesce(F.sum(F.col(value).cast("decimal(18,6)")).over(inside), F.lit(0).cast("decimal(28,6)"))).withColumn("_top", F.max("_in").over(inside))
+    ends = tagged.groupBy(*by, "_b").agg(F.coalesce(F.sum(F.col(value).cast("decimal(18,6)")), F.lit(0)).alias("_sum"), F.max("_in").alias("_high"))
+    ahead = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_off", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
+    ends = ends.withColumn("_peak", F.max(F.col("_off") + F.col("_high")).over(ahead)).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_b").alias("_at"), "_off", "_peak")
+    same = F.col("_b") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    out = tagged.join(ends, same).withColumn("cum", F.col("_in") + F.col("_off"))
+    out = out.withColumn("fall", F.col("cum") - F.greatest(F.col("_top") + F.col("_off"), "_peak"))
+    return out.drop("_b", "_in", "_top", "_off", "_peak", "_at", *[f"_by_{c}" for c in by])
 
 
 def strategy_summary(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -193,11 +219,10 @@ def interleave(rows: DataFrame, stratum: list[str], order: str) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, stratum: str, n: int, seed: int = 7) -> DataFrame:
-    """n rows shared over strata by largest remainders, chosen by hash order, so that runs agree."""
+    """n rows shared over strata by largest remainders, chosen by hash order, so that runs agree. Rows are numbered in buckets
+    of their hash, so no stratum is sorted in one task."""
     slots = largest_remainder(rows.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("size")), n)
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), "entity"), "entity")
-    picked = rows.withColumn("_r", F.row_number().over(w)).join(slots.select(F.col("stratum").alias(stratum), "slots"), stratum)
-    return picked.where(F.col("_r") <= F.col("slots")).drop("_r", "slots")
+    return take(rows, [stratum], slots.select(F.col("stratum").alias(stratum), F.col("slots").alias("_k")), "entity", seed)
 
 
 def latest(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
@@ -273,9 +298,6 @@ def future_reads(rows: DataFrame, at: str, t0: str = "t0") -> DataFrame:
 
 
 def ks_drift(rows: DataFrame, split: Column, value: str) -> DataFrame:
-    """Largest distance of the two cumulative distributions of a value, over its distinct values."""
-    g = rows.groupBy(F.col(value).alias("v")).agg(F.count_if(split).alias("a"), F.count_if(~split).alias("b"))
-    w = Window.orderBy("v")
-    every = Window.partitionBy()
-    g = g.withColumn("d", F.abs(F.sum("a").over(w) / F.sum("a").over(every) - F.sum("b").over(w) / F.sum("b").over(every)))
-    return g.agg(F.round(F.max("d"), 6).alias("ks"))
+    """Largest distance of the two cumulative distributions of a value, over its distinct values, which are summed in buckets."""
+    g = cumulated(rows.groupBy(F.col(value).alias("v")).agg(F.count_if(split).alias("a"), F.count_if(~split).alias("b")), [], "v", ["a", "b"])
+    return g.agg(F.round(F.max(F.abs(F.col("cum_a") / F.col("all_a") - F.col("cum_b") / F.col("all_b"))), 6).alias("ks"))

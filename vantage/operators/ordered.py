@@ -30,17 +30,19 @@ def cumulated(points: DataFrame, by: list[str], value: str, counts: list[str], f
     """points has one row for each (by, value). Adds cum_<c>, the sum of c over the values up to a row's (from it on, if
     falling), and all_<c>, the group's sum. Rows with a null or NaN value go."""
     rows = bucketed(points.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))), value, n)
-    sums = rows.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_{c}") for c in counts])
+    sums = rows.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_own_{c}") for c in counts])
     order = F.desc("_b") if falling else F.asc("_b")
     ahead = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
     every = Window.partitionBy(*by)
-    start = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_b").alias("_at"), *[F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_{c}") for c in counts], *[F.sum(f"_{c}").over(every).alias(f"all_{c}") for c in counts])
+    before = [F.coalesce(F.sum(f"_own_{c}").over(ahead), F.lit(0)).alias(f"_before_{c}") for c in counts]
+    start = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_b").alias("_at"), *before, *[F.sum(f"_own_{c}").over(every).alias(f"all_{c}") for c in counts])
     inside = Window.partitionBy(*by, "_b").orderBy(F.desc(value) if falling else F.asc(value)).rowsBetween(Window.unboundedPreceding, 0)
     same = F.col("_b") == F.col("_at")
     for c in by:  # a null group is a group
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
     out = rows.withColumns({f"cum_{c}": F.sum(c).over(inside) for c in counts}).join(start, same)
-    return out.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"_{c}") for c in counts}).drop("_b", "_at", *[f"_by_{c}" for c in by], *[f"_{c}" for c in counts])
+    out = out.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"_before_{c}") for c in counts})
+    return out.drop("_b", "_at", *[f"_by_{c}" for c in by], *[f"_before_{c}" for c in counts])
 
 
 def at_places(rows: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .samples import numbered
+
 EPS = 1e-9
 
 
@@ -163,11 +165,11 @@ def merge_by_capture(base: DataFrame, rows: DataFrame, columns: list[str]) -> Da
 
 
 def matched_baseline(rows: DataFrame, chosen: DataFrame, by: str, key: str, seeds: list[int]) -> DataFrame:
-    """For each seed, as many rows of each group as `chosen` has, in hash order; never more than there are."""
+    """For each seed, as many rows of each group as `chosen` has, in hash order; never more than there are. Rows are numbered in
+    buckets of their hash, so no group is sorted in one task."""
     n = chosen.groupBy(by).agg(F.count("*").alias("_n"))
-    seeded = rows.join(n, by).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    r = F.row_number().over(Window.partitionBy("seed", by).orderBy(F.xxhash64("seed", key), key))
-    return seeded.withColumn("_r", r).where("_r <= _n").drop("_r", "_n")
+    seeded = rows.join(n, by).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumn("_h", F.xxhash64("seed", key))
+    return numbered(seeded, ["seed", by], F.shiftright("_h", 52), "_h", key).where("_i < _n").drop("_i", "_h", "_n")
 
 
 def forced_sample(rows: DataFrame, forced: Column, preferred: Column, n: int, key: str, seed: int = 7) -> DataFrame:
