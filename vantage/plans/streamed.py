@@ -13,7 +13,7 @@ from vantage.operators import scores as sc
 from vantage.plans.derived import _long
 from vantage.plans.gated import WEIGHTS, _flow, _lite
 from vantage.plans.recorded import FLAGGED, _flagged
-from vantage.plans.registry import PREDS, captured, labelled, predictions, query
+from vantage.plans.registry import LABELS, PREDS, captured, labelled, predictions, query
 from vantage.sources import files, keyed, zstd_log
 from vantage.sources.bindings import creates, event_rows, events, table
 from vantage.sources.shared import materialize, scratch
@@ -314,17 +314,27 @@ def _(s, d):
     return out.where("problem <> 'unlisted'").groupBy("problem").agg(F.count("*").alias("n"))
 
 
-@query("g4_leak_columns", "select unnest(['hit_180d', 'hit_365d', 'hit_90d', 'multiple_180d', 'multiple_365d', 'multiple_90d', 'p0', 'time_180d', 'time_365d', 'time_90d']) as \"column\", unnest(['label', 'label', 'label', 'prefix', 'prefix', 'prefix', 'not_listed', 'not_listed', 'not_listed', 'not_listed']) as rule from (select count(*) from captures)")
+LEAKS = {"hit_90d": "label", "hit_180d": "label", "hit_365d": "label"} | {f"multiple_{h}": "prefix" for h in ("90d", "180d", "365d")} | dict.fromkeys(("p0", "time_90d", "time_180d", "time_365d"), "not_listed")
+
+
+def _filled(rows, told, schema):
+    """The told columns with how many rows have a value in them; 0 for those that the table lacks."""
+    names = [c for c, _ in told if c in rows.columns]
+    counts = rows.agg(*[F.count(c).alias(c) for c in names]).unpivot([], names, "column", "n")
+    return rows.sparkSession.createDataFrame(told, schema).join(counts, "column", "left").na.fill(0, ["n"])
+
+
+@query("g4_leak_columns", LABELS + " " + " union all ".join(f"select '{c}' as \"column\", '{r}' as rule, count({c}) as n from labelled" for c, r in LEAKS.items()))
 def _(s, d):
     rows = labelled(s, d)
-    told = gt.leak_rules(rows.columns, ["hit_90d", "hit_180d", "hit_365d"], allowed=["entity", "t0"])
-    return s.createDataFrame(told, "column string, rule string")
+    return _filled(rows, gt.leak_rules(rows.columns, ["hit_90d", "hit_180d", "hit_365d"], allowed=["entity", "t0"]), "column string, rule string")
 
 
-@query("g9_recipe_columns", "select unnest(['multiple_30d', 'hit_90d', 'p0', 't0']) as \"column\", unnest(['missing', 'extra', 'moved', 'moved']) as problem from (select count(*) from captures)")
+@query("g9_recipe_columns", LABELS + " select 'multiple_30d' as \"column\", 'missing' as problem, 0::bigint as n union all " + " union all ".join(f"select '{c}', '{k}', count({c}) from labelled" for c, k in (("hit_90d", "extra"), ("p0", "moved"), ("t0", "moved"))))
 def _(s, d):
-    told = gt.recipe_difference(["entity", "p0", "t0", "multiple_30d"], labelled(s, d).select("entity", "t0", "p0", "hit_90d").columns)
-    return s.createDataFrame([(c, k) for k, cs in told.items() for c in cs], "column string, problem string")
+    rows = labelled(s, d).select("entity", "t0", "p0", "hit_90d")
+    told = gt.recipe_difference(["entity", "p0", "t0", "multiple_30d"], rows.columns)
+    return _filled(rows, [(c, k) for k, cs in told.items() for c in cs], "column string, problem string")
 
 
 @query("g12_version_stamps", "select 'seed' as \"column\", count(*) as n from captures union all select 'label_version', count(*) filter (entity % 4 = 0) from captures having count(*) filter (entity % 4 = 0) > 0")
