@@ -1,7 +1,8 @@
-"""Damaged archives, reading by the offset index, and repeated rows of the mix."""
+"""Damaged archives, reading by the offset index, repeated rows of the mix, and short lines."""
 
 import gzip
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vantage.llm import mixing, warc
+from vantage.llm import line_dedup, mixing, warc
 
 
 def archives(spark, n=40, **more):
@@ -82,3 +83,24 @@ def test_repeated_rows_are_shared_out(spark):
     again = mixing.mix_to_targets(docs.repartition(3)).collect()
     key = lambda r: (str(r.doc_id), str(r.source), r.size, r.copies)
     assert sorted(map(key, got)) == sorted(map(key, again))
+
+
+@pytest.mark.parametrize("words", [1, 2, 3, 4, 6, 8])
+def test_short_lines_with_one_changed_letter_go(spark, words):
+    rnd = random.Random(words)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    first = [[word(7) for _ in range(words)] for _ in range(40)]
+    again = [list(w) for w in first]
+    for w in again:
+        k, i = rnd.randrange(words), rnd.randrange(7)
+        w[k] = w[k][:i] + "0" + w[k][i + 1 :]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(first + again)], "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.dedup_lines(d).where("n_removed = 1").collect()}
+    assert got <= set(range(40, 80)) and len(got) >= 36
+
+
+def test_one_very_long_word_is_a_line_like_others(spark):
+    long = "ab0" * 200_000
+    d = spark.createDataFrame([(0, long), (1, long.upper()), (2, "b" + long), (3, "x")], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(d).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 0}
