@@ -17,8 +17,11 @@ def in_band(value: Column, lo: float, hi: float) -> Column:
     return F.coalesce(value.between(lo, hi) & ~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
 
 
-def normalize_swaps(pairs: DataFrame, quote: str = "SOL", least_usd: float = 1.0) -> DataFrame:
-    """bought, sold, bought_amount, sold_amount, usd -> entity, side, tok, base of pairs with the quote asset."""
+def normalize_swaps(pairs: DataFrame, quote: str = "SOL", least_usd: float = 1.0, projects: tuple[str, ...] | None = None) -> DataFrame:
+    """bought, sold, bought_amount, sold_amount, usd -> entity, side, tok, base of pairs with the quote asset, of the listed
+    projects where there is a list; a null project is not listed."""
+    if projects is not None:
+        pairs = pairs.where(F.col("project").isin(*projects))
     buy, sell = F.col("sold") == quote, F.col("bought") == quote
     rows = pairs.where((buy != sell) & (F.col("usd") >= least_usd))
     rows = rows.withColumn("side", F.when(buy, "buy").otherwise("sell")).withColumn("entity", F.when(buy, F.col("bought")).otherwise(F.col("sold")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import at_places, exact_quantiles
@@ -49,6 +49,52 @@ def robust_distance(rows: DataFrame, columns: list[str], missing: float = 3.0) -
     return out.withColumn("distance", reduce(lambda a, b: a + b, terms) / len(columns)).drop(*[f"_q{i}" for i in range(len(columns))])
 
 
+def unique_by(rows: DataFrame, key: str) -> DataFrame:
+    """The rows as they are; reading them is an error where a key repeats. Null is no key and may repeat. The check stands in the plan, on
+    the partitioning that a join on the key needs anyway."""
+    n = F.count("*").over(Window.partitionBy(key))
+    told = F.when((F.col("_same") > 1) & F.col(key).isNotNull(), F.raise_error(F.concat(F.lit(f"{key} repeats: "), F.col(key).cast("string")))).otherwise(F.lit(True))
+    return rows.withColumn("_same", n).where(told.cast("boolean")).drop("_same")
+
+
+def overlay_changes(live: DataFrame, store: DataFrame, key: str, columns: list[str], live_count: str, store_count: str, atol: float = 1e-9) -> DataFrame:
+    """Adds to live: in_store; exact, whether its count equals the store's, so that both saw the same trades; and changes,
+    an array of (col, base, store, delta) of the columns whose values differ by more than atol.
+
+    A value against null differs, two nulls do not; NaN counts as null. A key that the store repeats is an error. One join
+    serves the wide table, the long one and the notes.
+    """
+    side = unique_by(store.select(key, F.col(store_count).cast("double").alias("_count"), *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"_s_{c}") for c in columns], F.lit(True).alias("_in")), key)
+    out = live.join(side, key, "left")
+    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
+    differs = lambda c: F.coalesce(F.abs(value(c) - F.col(f"_s_{c}")) > atol, value(c).isNull() != F.col(f"_s_{c}").isNull())
+    one = [F.when(F.col("_in") & differs(c), F.struct(F.lit(c).alias("col"), value(c).alias("base"), F.col(f"_s_{c}").alias("store"), (value(c) - F.col(f"_s_{c}")).alias("delta"))) for c in columns]
+    exact = F.coalesce(F.floor(F.col(live_count)) == F.floor(F.col("_count")), F.lit(False))
+    return out.withColumns({"in_store": F.coalesce("_in", F.lit(False)), "exact": exact, "changes": F.array_compact(F.array(*one))}).drop("_count", "_in", *[f"_s_{c}" for c in columns])
+
+
+def overlay_wide(changed: DataFrame, columns: list[str]) -> DataFrame:
+    """Of overlay_changes: the store's values where the trades are exact and the values differ, with the former value in
+    <column>_base, which is null elsewhere."""
+    of = lambda c: F.get(F.filter("changes", lambda x: x["col"] == c), F.lit(0))
+    hit = {c: F.when(F.col("exact"), of(c)) for c in columns}
+    new = {c: F.when(h.isNotNull(), h["store"]).otherwise(F.col(c).cast("double")) for c, h in hit.items()}
+    return changed.withColumns(new | {f"{c}_base": h["base"] for c, h in hit.items()}).drop("changes", "in_store", "exact")
+
+
+def overlay_long(changed: DataFrame, key: str) -> DataFrame:
+    """(key, col, base, store, delta): a row for each value that overlay_wide replaces."""
+    return changed.where("exact").select(key, F.inline("changes"))
+
+
+def overlay_notes(changed: DataFrame, key: str) -> DataFrame:
+    """(key, note, n_diff, n_overlaid, largest, top): what came of each row, its largest difference and that column's name."""
+    big = F.array_max(F.transform(F.filter("changes", lambda x: x["delta"].isNotNull()), lambda x: F.struct(F.abs(x["delta"]).alias("d"), x["col"].alias("col"))))
+    note = F.when(~F.col("in_store"), "missing_in_store").when(F.col("exact"), "overlaid").otherwise("trades_not_exact")
+    n = F.size("changes").cast("long")
+    return changed.select(key, note.alias("note"), n.alias("n_diff"), F.when(F.col("exact"), n).otherwise(0).alias("n_overlaid"), big["d"].alias("largest"), big["col"].alias("top"))
+
+
 def merge_fill(base: DataFrame, side: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Left join; rows without a match, and nulls, have 0."""
     out = base.join(side.select(key, *columns), key, "left")

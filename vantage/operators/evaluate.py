@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .compare import unique_by
 from .ordered import cumulated, curve_metrics, exact_quantiles
 from .samples import take
 
@@ -231,9 +232,10 @@ def latest(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
 
 
 def merge_pack(base: DataFrame, pack: DataFrame, columns: list[str], tolerance: int) -> DataFrame:
-    """Left join on entity; the pack's columns become null where its t0 is off by more than the tolerance."""
-    p = pack.select("entity", F.col("t0").alias("_t0"), *columns)
-    out = base.join(p, "entity", "left")
+    """Left join on entity, one to one: an entity that either side repeats is an error. The pack's columns become null where
+    its t0 is off by more than the tolerance."""
+    p = unique_by(pack.select("entity", F.col("t0").alias("_t0"), *columns), "entity")
+    out = unique_by(base, "entity").join(p, "entity", "left")
     ok = F.abs(F.col("t0") - F.col("_t0")) <= tolerance
     return out.withColumns({c: F.when(ok, F.col(c)) for c in columns}).withColumn("matched", F.coalesce(ok, F.lit(False))).drop("_t0")
 

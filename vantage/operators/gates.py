@@ -55,6 +55,37 @@ def capture_schema(events: DataFrame, lo: float, hi: float, version: str, source
     return broken(events, rules, "capture_id").unionByName(twice)
 
 
+def capture_audit(events: DataFrame, reads: DataFrame, required: tuple[str, ...], lo: float, hi: float, version: str, source: str = "pyth") -> DataFrame:
+    """(capture_id, rule): capture_schema, and missing_<c> for each required field that is null or no column, and
+    future_read for captures whose detector read (capture_id, at) later than t0, or at no told time."""
+    fields = {f"missing_{c}": F.col(c).isNotNull() if c in events.columns else F.lit(False) for c in required}
+    late = reads.join(events.groupBy("capture_id").agg(F.min("t0").alias("_t0")), "capture_id")
+    late = late.where(F.col("at").isNull() | (F.col("at") > F.col("_t0"))).select("capture_id", F.lit("future_read").alias("rule")).distinct()
+    return capture_schema(events, lo, hi, version, source).unionByName(broken(events, fields, "capture_id")).unionByName(late)
+
+
+def feature_time_gate(rows: DataFrame, at: str = "ts", slot: str = "slot", t0: str = "t0", slot0: str = "slot0") -> DataFrame:
+    """Rows of features with the rule that they break: read after t0, or, where they have no time, in a slot after slot0;
+    with neither time nor both slots they cannot be audited, which breaks the rule too. A told time decides alone."""
+    by_time = F.col(at).isNotNull()
+    by_slot = F.col(slot).isNotNull() & F.col(slot0).isNotNull()
+    rule = F.when(by_time, F.when(F.coalesce(F.col(at) > F.col(t0), F.lit(True)), "after_t0")).when(by_slot, F.when(F.col(slot) > F.col(slot0), "after_slot0")).otherwise("not_auditable")
+    return rows.withColumn("rule", rule).where("rule is not null")
+
+
+#: Sources of priors that come from the training family, by beginning and by name.
+PRIOR_BEGINS = ("dune_cohort_",)
+PRIOR_NAMES = ("train_store_v1",)
+
+
+def score_row_gates(rows: DataFrame, key: str, threshold: float, atol: float = 1e-9, begins: tuple[str, ...] = PRIOR_BEGINS, names: tuple[str, ...] = PRIOR_NAMES) -> DataFrame:
+    """(key, rule) of scored rows: creator_prior_source is of the training family, t0_refined is true, and score_threshold
+    is the configured one up to atol. Null breaks each."""
+    prior = F.trim("creator_prior_source")
+    family = reduce(lambda a, b: a | b, [F.startswith(prior, F.lit(p)) for p in begins], prior.isin(*names))
+    return broken(rows, {"prior_not_train": family, "t0_not_refined": F.col("t0_refined"), "threshold_differs": F.abs(F.col("score_threshold") - threshold) <= atol}, key)
+
+
 def trade_table(trades: DataFrame, key: list[str], by: str, order: list[str], allowed: Column) -> DataFrame:
     """(rule, n_bad): keys that repeat, rows outside the allowed programs, and rows whose time is before that of
     the row ahead of them in the given order of their entity."""

@@ -582,4 +582,4 @@ def _(s, d):
     return events(s, d).groupBy((F.col("ts") - F.col("ts") % DAY).alias("cycle"), "side", "entity").agg(F.count("*").alias("k")).groupBy("cycle", "side").agg(F.sum("k").alias("n"), F.count("*").alias("entities"))
 
 
-from vantage.plans import derived, gated, recorded, streamed  # noqa: E402, F401 - register their queries
+from vantage.plans import completed, derived, gated, recorded, streamed  # noqa: E402, F401 - register their queries
