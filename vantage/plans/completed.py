@@ -8,10 +8,16 @@ from vantage.operators import capture as cap
 from vantage.operators import cohort as co
 from vantage.operators import compare as cmp
 from vantage.operators import evaluate as ev
+from vantage.operators import features as ft
 from vantage.operators import gates as gt
+from vantage.operators import labels as lb
+from vantage.operators import records as rc
+from vantage.operators import rules as rl
 from vantage.operators import scores as sc
-from vantage.plans.registry import LABELS, PREDS, captured, labelled, pit, predictions, query
-from vantage.sources.bindings import BAND, trades
+from vantage.plans import gated  # noqa: F401 - its SQL is composed below
+from vantage.plans.registry import LABELS, PREDS, W, captured, labelled, oracle_sql, pit, predictions, query
+from vantage.sources.bindings import BAND, DAY, creates, trades
+from vantage.sources.shared import materialize
 
 END = 915148800  # 1999-01-01
 
@@ -138,3 +144,34 @@ def _(s, d):
     project = F.when(F.col("id.l_suppkey") % 3 != 0, F.col("venue"))
     pairs = trades(s, d).select(F.when(buy, name).otherwise("SOL").alias("bought"), F.when(buy, F.lit("SOL")).otherwise(name).alias("sold"), F.when(buy, F.col("tok")).otherwise(F.col("base")).alias("bought_amount"), F.when(buy, F.col("base")).otherwise(F.col("tok")).alias("sold_amount"), "usd", project.alias("project"))
     return cap.normalize_swaps(pairs, projects=("pumpswap",)).groupBy(F.col("entity").cast("long").alias("entity"), "side").agg(F.count("*").alias("n"), F.sum("usd").cast("double").alias("usd"))
+
+
+#: What a pack of the matrix holds: activity, its largest buy, the buys of a month, the age since the create, and the gates' own columns.
+MATRIX = ["buy_usd", "sell_usd", "max_buy_usd", "max_buy_share", "buy_usd_30d", "age", "scoreable", "distance"]
+
+
+@query("a35_composed_matrix", f""", a5 as ({oracle_sql()["a5_microstructure_pack"]}), a8 as ({oracle_sql()["a8_buy_volume"]}), a13 as ({oracle_sql()["a13_relabel_two_sources"]}), j7 as ({oracle_sql()["j7_create_join"]}),
+  seen as (select entity, max(ts) as last from trades group by 1), st as (select quantile_cont(buy_usd, [0.25, 0.5, 0.75]) as a, quantile_cont(max_buy_usd, [0.25, 0.5, 0.75]) as b from a5),
+  f as (select seen.entity, coalesce(c.t0, last) as t0, c.p0, a5.buy_usd, a5.sell_usd, a5.max_buy_usd, a5.max_buy_share, a8.buy_usd as buy_usd_30d, j7.age, c.entity is not null as scoreable, a13.hit,
+      (case when a[3] > a[1] then coalesce(abs(a5.buy_usd - a[2]) / ((a[3] - a[1]) / 1.35::double), 3) else 3 end + case when b[3] > b[1] then coalesce(abs(a5.max_buy_usd - b[2]) / ((b[3] - b[1]) / 1.35::double), 3) else 3 end) / 2 as distance
+    from seen cross join st left join captures c using (entity) left join a5 on a5.entity = seen.entity left join a8 on a8.entity = seen.entity left join a13 on a13.entity = seen.entity left join j7 on j7.entity = seen.entity),
+  r as (select k.entity, k.entity % 10 * 1000.0::double as store_buy_usd, f.* exclude (entity), case when t0 is null then 'no_capture' when not scoreable then 'capture_quality' when not coalesce(max_buy_usd between 500 and 60000, false) then 'hard_range' when age > 31536000 then 'age' when distance > 2 then 'distance' end as reason
+    from creates k left join f using (entity))
+  select entity, store_buy_usd, t0, round(p0, 6) as p0, hit, reason, {", ".join(f"case when reason is null then {'round(distance, 5)' if c == 'distance' else c} end as {c}" for c in MATRIX)}, case when reason is null then round(buy_usd - store_buy_usd, 4) end as buy_usd_delta from r""")
+def _(s, d):
+    t = trades(s, d)
+    found = rl.capture_first_band(t, BAND[0] * 1e9, BAND[1] * 1e9)
+    found = materialize(found.select("entity", "t0", F.when(F.col("refined"), F.col("mc") / 1e9).alias("p0"), "quality", "refined", "detail"))
+    c = found.where("refined").select("entity", "t0", "p0")
+    seen = cap.pit_join(c, t)
+    prices = cap.implied_mc(t).where("price is not null")
+    peaks = prices.groupBy("entity").agg(F.max(F.struct("price", (-F.col("ts")).alias("back"))).alias("m")).select("entity", F.col("m.price").alias("peak"), (-F.col("m.back")).alias("peak_ts"))
+    pack = ft.microstructure_pack(seen, W).select("entity", "buy_usd", "sell_usd", "max_buy_usd", "max_buy_share")
+    month = ft.buy_volume(c, seen, W["30d"]).select("entity", F.col("buy_usd").alias("buy_usd_30d"))
+    graded = gt.score_reject_reason(found.withColumn("sol_usd_source", F.lit("pyth"))).select("entity", "scoreable")
+    features = graded.join(pack, "entity", "left").join(month, "entity", "left").join(lb.create_join(c, creates(s, d)).select("entity", "age"), "entity", "left")
+    features = cmp.robust_distance(features, ["buy_usd", "max_buy_usd"])
+    gates = {"capture_quality": F.col("scoreable"), "hard_range": cmp.in_ranges({"max_buy_usd": (500, 60000)}, False), "age": F.col("age") <= 365 * DAY, "distance": F.col("distance") <= 2}
+    sample = creates(s, d).select("entity", (F.col("entity") % 10 * 1000.0).alias("buy_usd"))
+    out = rc.reconstruct_matrix(sample, found, features, sc.relabel(c, prices, peaks, 180 * DAY, 1.3), gates, MATRIX)
+    return out.withColumns({"p0": F.round("p0", 6), "distance": F.round("distance", 5), "buy_usd_delta": F.round("buy_usd_delta", 4)})
