@@ -43,7 +43,7 @@ def _(s, d):
 
 
 COHORT = LABELS + """, co as (select entity, t0, multiple_180d >= 1.15::double as hit, multiple_365d as top, entity % 10 <> 7 as a, not coalesce(multiple_365d > 1.9, false) as b, not coalesce(entity % 4 = 0 and multiple_90d > 1.1, false) as c from labelled),
-  fl as (select entity, t0, hit, top, (915148800 - t0) / 86400 as days, (915148800 - t0) / 86400 >= 1500 as ready, coalesce(hit <> (top >= 1.15::double), false) as bad from co where a and b and c)"""
+  fl as (select entity, t0, hit, top, (915148800 - t0) / 86400 as days, (915148800 - t0) / 86400 >= 400 as ready, coalesce(hit <> (top >= 1.15::double), false) as bad from co where a and b and c)"""
 
 
 def _cohort(s, d):
@@ -65,7 +65,7 @@ def _(s, d):
 
 def _flagged(s, d):
     rows = _cohort(s, d).where(gt.all_of([keep for _, keep in _steps()]))
-    return co.cohort_flags(rows, END, 1500, "hit", "top", 1.15)
+    return co.cohort_flags(rows, END, 400, "hit", "top", 1.15)
 
 
 @query("a15_cohort_flags", COHORT + " select entity, t0, round(days, 6) as followup_days, ready as primary_ready, bad as inconsistent from fl")
@@ -157,7 +157,7 @@ MATRIX = ["buy_usd", "sell_usd", "max_buy_usd", "max_buy_share", "buy_usd_30d",
     from seen cross join st left join captures c using (entity) left join a5 on a5.entity = seen.entity left join a8 on a8.entity = seen.entity left join a13 on a13.entity = seen.entity left join j7 on j7.entity = seen.entity),
   r as (select k.entity, k.entity % 10 * 1000.0::double as store_buy_usd, f.* exclude (entity), case when t0 is null then 'no_capture' when not scoreable then 'capture_quality' when not coalesce(max_buy_usd between 500 and 60000, false) then 'hard_range' when age > 31536000 then 'age' when distance > 2 then 'distance' end as reason
     from creates k left join f using (entity))
-  select entity, store_buy_usd, t0, round(p0, 6) as p0, hit, reason, {", ".join(f"case when reason is null then {'round(distance, 5)' if c == 'distance' else c} end as {c}" for c in MATRIX)}, case when reason is null then round(buy_usd - store_buy_usd, 4) end as buy_usd_delta from r""")
+  select entity, store_buy_usd, t0, p0 * 1e9::double / 1e9::double as p0, hit, reason, {", ".join(f"case when reason is null then {'round(distance, 5)' if c == 'distance' else c} end as {c}" for c in MATRIX)}, case when reason is null then round(buy_usd - store_buy_usd, 4) end as buy_usd_delta from r""")
 def _(s, d):
     t = trades(s, d)
     found = rl.capture_first_band(t, BAND[0] * 1e9, BAND[1] * 1e9)
@@ -174,4 +174,4 @@ def _(s, d):
     gates = {"capture_quality": F.col("scoreable"), "hard_range": cmp.in_ranges({"max_buy_usd": (500, 60000)}, False), "age": F.col("age") <= 365 * DAY, "distance": F.col("distance") <= 2}
     sample = creates(s, d).select("entity", (F.col("entity") % 10 * 1000.0).alias("buy_usd"))
     out = rc.reconstruct_matrix(sample, found, features, sc.relabel(c, prices, peaks, 180 * DAY, 1.3), gates, MATRIX)
-    return out.withColumns({"p0": F.round("p0", 6), "distance": F.round("distance", 5), "buy_usd_delta": F.round("buy_usd_delta", 4)})
+    return out.withColumns({"distance": F.round("distance", 5), "buy_usd_delta": F.round("buy_usd_delta", 4)})
