@@ -11,6 +11,7 @@ from vantage.operators import cohort as co
 from vantage.operators import compare as cmp
 from vantage.operators import evaluate as ev
 from vantage.operators import gates as gt
+from vantage.operators import samples as sm
 
 DAY = 86400
 
@@ -105,3 +106,17 @@ def test_projects_are_listed(spark):
     rows = [("x", "SOL", 1.0, 2.0, 5.0, p) for p in ("a", "b", None)]
     pairs = spark.createDataFrame(rows, "bought string, sold string, bought_amount double, sold_amount double, usd double, project string")
     assert [r.project for r in cap.normalize_swaps(pairs, projects=("a", "c")).collect()] == ["a"] and cap.normalize_swaps(pairs).count() == 3
+
+
+@pytest.mark.parametrize("sizes, cap", [([50, 30, 1, 1, 1, 1, 1, 1, 1, 1], 20), ([7, 7, 7, 7, 7, 7], 20), ([40, 40, 3, 1], 10), ([90, 5, 5], 33), ([3, 3, 3, 3], 2), ([5, 5], 100)])
+def test_negatives_by_repeated_taking(spark, sizes, cap):
+    rows = [(w * 1000 + i, w * 7 * DAY, 0) for w, n in enumerate(sizes) for i in range(n)] + [(10**6 + i, 0, 1) for i in range(5)] + [(10**7, None, None)]
+    got = defaultdict(int)
+    kept = sm.negatives_cap(spark.createDataFrame(rows, "entity long, t0 long, y int"), "y", cap, "entity").collect()
+    for r in kept:
+        got[r.entity // 1000] += r.y == 0
+    want, goal = [max(round(n / sum(sizes) * min(cap, sum(sizes))), 1) for n in sizes], min(cap, sum(sizes))
+    while sum(want) != goal:
+        want[want.index(max(want))] += 1 if sum(want) < goal else -1
+    want = sizes if sum(sizes) <= cap else [min(a, n) for a, n in zip(want, sizes, strict=True)]
+    assert [got[w] for w in range(len(sizes))] == want and sum(r.y != 0 for r in kept if r.y is not None) == 5 and len(kept) == sum(want) + 6

@@ -107,3 +107,30 @@ def mirrored_sample(rows: DataFrame, label: str, n_pos: int, n_neg: int, key: st
     filled = _slots(capped, F.col("_gn") - F.sum("c").over(every), F.col("m") - F.col("c"), "more")
     quota = filled.select(F.explode(F.array(F.struct(F.lit(1).alias(label), "_w", F.col("kp").alias("_k")), F.struct(F.lit(0).alias(label), "_w", (F.col("c") + F.col("more")).alias("_k")))).alias("x")).select("x.*")
     return take(tagged, [label, "_w"], quota, key, seed).drop("_w")
+
+
+def negatives_cap(rows: DataFrame, label: str, cap: int, key: str, whole: int | None = None, seed: int = 7) -> DataFrame:
+    """All rows but those with label 0; of these, all where they are at most `whole` (the cap unless told), else about `cap`,
+    spread over weeks of t0 as they lie.
+
+    A week's quota is its share of the cap, rounded half to even, and at least one. Where the quotas are too many, one after
+    another is taken from the largest, the earliest week of equal ones first; where they are too few, the largest gets the
+    rest. What repeated taking leaves is told at once: the largest weeks, lowered to one level, so a table of a row for
+    each week is all that is ordered. A quota above its week's rows takes them all. Rows without a t0 are a week of their own.
+    Rows of a week are chosen in hash order, so runs agree.
+    """
+    week = F.coalesce(F.floor((F.col("t0") + 3 * 86400) / WEEK), F.lit(-(1 << 40)))
+    tagged = rows.withColumn("_w", week)
+    negative = F.coalesce(F.col(label) == 0, F.lit(False))
+    every, order = Window.partitionBy(), Window.orderBy(F.desc("_a"), "_w")
+    weeks = tagged.where(negative).groupBy("_w").agg(F.count("*").alias("_s")).withColumn("_t", F.sum("_s").over(every))
+    goal = F.least(F.col("_t"), F.lit(cap))
+    weeks = weeks.withColumn("_a", F.greatest(F.bround(F.col("_s") / F.col("_t") * goal).cast("long"), F.lit(1)))
+    weeks = weeks.withColumn("_over", F.sum("_a").over(every) - goal).withColumn("_i", F.row_number().over(order)).withColumn("_p", F.sum("_a").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lowered = F.col("_p") - F.col("_i") * F.col("_a") < F.col("_over")  # taking has reached this week
+    weeks = weeks.withColumn("_m", F.count_if(lowered).over(every)).withColumn("_left", F.max(F.when(lowered, F.col("_p"))).over(every) - F.col("_over"))
+    level = F.floor(F.col("_left") / F.col("_m")) + (F.col("_i") > F.col("_m") - F.col("_left") % F.col("_m")).cast("long")
+    quota = F.when(F.col("_over") > 0, F.when(F.col("_i") <= F.col("_m"), level).otherwise(F.col("_a"))).otherwise(F.col("_a") - F.when(F.col("_i") == 1, F.col("_over")).otherwise(0))
+    quota = F.when(F.col("_t") <= (cap if whole is None else whole), F.col("_s")).otherwise(F.least(quota, "_s"))
+    kept = take(tagged.where(negative), ["_w"], weeks.select("_w", quota.alias("_k")), key, seed)
+    return tagged.where(~negative).drop("_w").unionByName(kept.select(*rows.columns))

@@ -13,6 +13,7 @@ from vantage.operators import gates as gt
 from vantage.operators import labels as lb
 from vantage.operators import records as rc
 from vantage.operators import rules as rl
+from vantage.operators import samples as sm
 from vantage.operators import scores as sc
 from vantage.plans import gated  # noqa: F401 - its SQL is composed below
 from vantage.plans.registry import LABELS, PREDS, W, captured, labelled, oracle_sql, pit, predictions, query
@@ -175,3 +176,13 @@ def _(s, d):
     sample = creates(s, d).select("entity", (F.col("entity") % 10 * 1000.0).alias("buy_usd"))
     out = rc.reconstruct_matrix(sample, found, features, sc.relabel(c, prices, peaks, 180 * DAY, 1.3), gates, MATRIX)
     return out.withColumns({"distance": F.round("distance", 5), "buy_usd_delta": F.round("buy_usd_delta", 4)})
+
+
+@query("l3_negatives_cap", PREDS + """, sz as (select (t0 + 259200) // 604800 as week, count(*) as s, sum(count(*)) over () as t from preds where entity % 9 <> 0 group by 1),
+  a as (select *, greatest(round_even(s::double / t * least(t, 700), 0)::bigint, 1) as a from sz), o as (select *, sum(a) over () - least(t, 700) as over, row_number() over (order by a desc, week) as i, sum(a) over (order by a desc, week rows unbounded preceding) as p from a),
+  m as (select *, count(*) filter (p - i * a < over) over () as m, max(p) filter (p - i * a < over) over () - over as rest from o),
+  q as (select week, s, case when over <= 0 then a - case when i = 1 then over else 0 end when i <= m then rest // m + (i > m - rest % m)::int else a end as q from m)
+  select 0 as y, week, least(q, s)::bigint as n from q where least(q, s) > 0 union all select 1, (t0 + 259200) // 604800, count(*) from preds where entity % 9 = 0 group by all""")
+def _(s, d):
+    rows = predictions(s, d).withColumn("y", (F.col("entity") % 9 == 0).cast("int"))
+    return sm.negatives_cap(rows, "y", 700, "entity", 150).groupBy("y", F.floor((F.col("t0") + 3 * DAY) / (7 * DAY)).alias("week")).agg(F.count("*").alias("n"))
