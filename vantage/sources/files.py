@@ -87,6 +87,15 @@ def file_manifest_check(spark: SparkSession, path: str, manifest: DataFrame, nes
     return both.withColumn("problem", problem).where("problem is not null")
 
 
+#: Batches of a table that is replayed whole, about: a file and a part of a micro-batch each, which cost time of their own.
+BATCHES = 100
+
+
+def batch_size(rows: int, least: int) -> int:
+    """Rows of a batch, so that a table of any size is some BATCHES of them; no fewer than `least`."""
+    return max(least, -(-rows // BATCHES))
+
+
 def write_batches(rows: DataFrame, path: str, size: int, order: str) -> StructType:
     """Writes rows as files of `size` rows in order, named by batch, for a later replay file by file; returns the schema.
 
