@@ -17,3 +17,15 @@ def test_batches_of_a_replay_stay_near_a_hundred(spark, tmp_path):
     files.write_batches(rows, str(tmp_path / "b"), files.batch_size(3000, 10), "k")
     back = spark.read.parquet(str(tmp_path / "b"))
     assert back.select("batch").distinct().count() <= 2 * files.BATCHES and back.agg(F.sum("k")).first()[0] == 2999 * 1500
+
+
+TRANSFERS = "array<struct<mint:string,sender:string,receiver:string,amount:double>>"
+
+
+def test_transfer_lists_are_filtered_once_a_row(spark):
+    t = "array(named_struct('mint', 'm', 'sender', 'pool', 'receiver', 'a', 'amount', 2D), named_struct('mint', 'q', 'sender', 'a', 'receiver', 'pool', 'amount', 5D))"
+    rows = spark.range(1).selectExpr("id as tx", "'SWAP' as kind", "false as err", "'m' as mint", "'p' as payer", f"{t} as transfers")
+    out = nz.transfer_legs(rows, "q")
+    assert [tuple(r) for r in out.collect()] == [(0, "buy", "a", 2.0, 5.0)]
+    lists = spark.createDataFrame([], f"tx long, kind string, err boolean, mint string, payer string, transfers {TRANSFERS}")
+    assert nz.transfer_legs(lists, "q")._jdf.queryExecution().analyzed().toString().count("Generate inline") == 4

@@ -13,6 +13,12 @@ trader struct<address:string>, user string, quote struct<id:string>"""
 NATIVE = ("11111111111111111111111111111111", "So11111111111111111111111111111111111111112")
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row: the optimizer neither repeats what a generator gives out nor moves it
+    into the lambdas and filters that use it."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def event_time(value: Column) -> Column:
     """Epoch seconds (long) of a string: epoch seconds, epoch milliseconds, ISO with or without a zone, or '... UTC'."""
     number = value.try_cast("double")
@@ -149,10 +155,10 @@ def snapshots(rows: DataFrame, lo: float, hi: float, initial: float) -> DataFram
 
 def _swap_legs(rows: DataFrame, quote: str) -> DataFrame:
     ok = rows.where(~F.coalesce("err", F.lit(False)) & ~F.lower(F.coalesce("kind", F.lit(""))).rlike("liquidity|create_pool"))
-    ok = ok.withColumn("m", F.expr("filter(transfers, t -> t.mint = mint and t.amount > 0)")).withColumn("q", F.expr(f"filter(transfers, t -> t.mint = '{quote}' and t.amount > 0)"))
+    ok = _once(ok, m=F.expr("filter(transfers, t -> t.mint = mint and t.amount > 0)"), q=F.expr(f"filter(transfers, t -> t.mint = '{quote}' and t.amount > 0)"))
     net = lambda side: F.expr(f"aggregate({side}, 0D, (s, t) -> s + case when t.receiver = payer then t.amount else 0D end - case when t.sender = payer then t.amount else 0D end)")
-    ok = ok.withColumn("net", net("m")).withColumn("got", net("q")).withColumn("pools", F.expr("array_distinct(transform(m, t -> t.sender))"))
-    ok = ok.withColumn("buys", F.expr("filter(m, t -> not array_contains(pools, t.receiver))")).withColumn("paid", F.expr("filter(q, t -> array_contains(pools, t.receiver) and not array_contains(pools, t.sender))"))
+    ok = _once(ok, net=net("m"), got=net("q"), pools=F.expr("array_distinct(transform(m, t -> t.sender))"))
+    ok = _once(ok, buys=F.expr("filter(m, t -> not array_contains(pools, t.receiver))"), paid=F.expr("filter(q, t -> array_contains(pools, t.receiver) and not array_contains(pools, t.sender))"))
     buys = F.expr("""transform(buys, (t, i) -> named_struct('side', 'buy', 'trader', t.receiver, 'tok', t.amount, 'base',
         coalesce(get(filter(paid, x -> x.sender = t.receiver), size(filter(slice(buys, 1, i), y -> y.receiver = t.receiver))).amount, 0D)))""")
     sell = F.array(F.struct(F.lit("sell").alias("side"), F.col("payer").alias("trader"), (-F.col("net")).alias("tok"), F.greatest("got", F.lit(0.0)).alias("base")))
