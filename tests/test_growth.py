@@ -29,3 +29,11 @@ def test_transfer_lists_are_filtered_once_a_row(spark):
     assert [tuple(r) for r in out.collect()] == [(0, "buy", "a", 2.0, 5.0)]
     lists = spark.createDataFrame([], f"tx long, kind string, err boolean, mint string, payer string, transfers {TRANSFERS}")
     assert nz.transfer_legs(lists, "q")._jdf.queryExecution().analyzed().toString().count("Generate inline") == 4
+
+
+def test_payloads_are_parsed_once_a_row(spark):
+    rows = spark.createDataFrame([(1, 9, '{"timestamp": "5", "side": "Buy", "valueUsd": "2"}'), (1, 9, None)], "entity long, t0 long, payload string")
+    out = nz.frontend_trades(rows.repartition(1))
+    assert [(r.ts, r.side, r.usd) for r in out.collect()] == [(5, "buy", 2.0)]
+    assert _plan(out).count("from_json") == 1
+    assert _plan(nz.gql_trades(rows.repartition(1), "a", "b", 150.0)).count("from_json") == 1

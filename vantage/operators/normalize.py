@@ -34,7 +34,7 @@ def _raw(amount: Column) -> Column:
 def frontend_trades(rows: DataFrame, sol_usd: float = 0.0) -> DataFrame:
     """(entity, t0, payload) -> entity, ts, side, usd, tok, base, trader of the JSON payloads with a time at or before t0
     and a side. The usd leg is derived from the native one where it is missing; other missing amounts are 0."""
-    p = rows.select("entity", "t0", F.from_json("payload", FRONTEND).alias("p")).select("entity", "t0", "p.*")
+    p = _once(rows.select("entity", "t0", "payload"), p=F.from_json("payload", FRONTEND)).select("entity", "t0", "p.*")
     ts = F.coalesce(F.floor(F.col("blockTimeMs") / F.when(F.col("blockTimeMs") >= 1e12, 1000.0).otherwise(1.0)), event_time(F.col("timestamp")))
     word = F.lower(F.coalesce("side", "type", F.col("is_buy").cast("string")))
     side = F.when(word.isin("buy", "true", "1"), "buy").when(word.isin("sell", "false", "0"), "sell").when(F.col("is_buy"), "buy").when(~F.col("is_buy"), "sell")
@@ -97,7 +97,7 @@ def gql_trades(rows: DataFrame, program: str, swap_program: str, sol_usd: float,
     units are raw ones. Trades without entity, time, side or usd, or below least_usd, go. Without a program the
     protocol's name tells the project, and without both it is the curve.
     """
-    p = rows.select(F.from_json("payload", GQL).alias("p")).select("p.*").select("Block.Time", "Transaction.Signer", "Trade.*")
+    p = _once(rows.select("payload"), p=F.from_json("payload", GQL)).select("p.*").select("Block.Time", "Transaction.Signer", "Trade.*")
     quote = F.nullif(F.col("Side.Currency.MintAddress"), F.lit(""))
     native = quote.isNull() | (quote == NATIVE[1])
     amount = F.when(native, F.coalesce(F.col("Side.Amount").try_cast("double"), F.lit(0.0))).otherwise(0.0)
@@ -119,7 +119,7 @@ def creates_of(rows: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     The entity is the argument mint or token, else an account that ends in pump, else the first account. With hints
     (entity), it is the first of the argument and the accounts that is among them, and other rows go.
     """
-    p = rows.select(F.from_json("payload", CREATE).alias("p"), F.monotonically_increasing_id().alias("_row"))
+    p = _once(rows.select("payload"), p=F.from_json("payload", CREATE)).select("p", F.monotonically_increasing_id().alias("_row"))
     given = F.coalesce(F.col("p.Instruction.Program.Arguments"), F.array().cast("array<struct<Name:string,Value:struct<string:string,address:string>>>"))
     value = lambda a: F.coalesce(a["Value"]["string"], a["Value"]["address"])
 
@@ -143,7 +143,7 @@ def snapshots(rows: DataFrame, lo: float, hi: float, initial: float) -> DataFram
     from .capture import in_band
     from .records import snapshot_proxies
 
-    c = rows.select("seen", F.from_json("payload", COIN).alias("c")).select("seen", "c.*")
+    c = _once(rows.select("seen", "payload"), c=F.from_json("payload", COIN)).select("seen", "c.*")
     cap = F.coalesce(F.col("usd_market_cap").try_cast("double"), F.col("market_cap_usd").try_cast("double"))
     made = F.col("created_timestamp").try_cast("double")
     proxies = snapshot_proxies(F.col("real_token_reserves").try_cast("double"), F.col("real_sol_reserves").try_cast("double"), initial)
