@@ -37,3 +37,11 @@ def test_payloads_are_parsed_once_a_row(spark):
     assert [(r.ts, r.side, r.usd) for r in out.collect()] == [(5, "buy", 2.0)]
     assert _plan(out).count("from_json") == 1
     assert _plan(nz.gql_trades(rows.repartition(1), "a", "b", 150.0)).count("from_json") == 1
+
+
+def test_labels_are_computed_once_for_all_that_reads_them(spark):
+    from vantage.plans import registry
+
+    data = "/root/testdata/sf0.001"
+    for df in (registry.predictions(spark, data), *registry.derived._scores(spark, data)):
+        assert "Join" not in _plan(df) and "Aggregate" not in _plan(df)

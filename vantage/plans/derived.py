@@ -85,7 +85,8 @@ def _(s, d):
 
 
 def _scores(s, d):
-    return predictions(s, d), predictions(s, d).where("entity % 10 <> 3").withColumn("score", F.round(F.col("score") + (F.col("entity") % 3) * 0.001, 4))
+    p = predictions(s, d)
+    return p, p.where("entity % 10 <> 3").withColumn("score", F.round(F.col("score") + (F.col("entity") % 3) * 0.001, 4))
 
 
 RECON = PREDS + """, fresh as (select entity, round(score + (entity % 3) * 0.001::double, 4) as score from preds where entity % 10 <> 3),
