@@ -160,7 +160,7 @@ MATRIX = ["buy_usd", "sell_usd", "max_buy_usd", "max_buy_share", "buy_usd_30d",
     from creates k left join f using (entity))
   select entity, store_buy_usd, t0, p0 * 1e9::double / 1e9::double as p0, hit, reason, {", ".join(f"case when reason is null then {'round(distance, 5)' if c == 'distance' else c} end as {c}" for c in MATRIX)}, case when reason is null then round(buy_usd - store_buy_usd, 4) end as buy_usd_delta from r""")
 def _(s, d):
-    t = trades(s, d)
+    t = materialize(trades(s, d), "trades")
     found = rl.capture_first_band(t, BAND[0] * 1e9, BAND[1] * 1e9)
     found = materialize(found.select("entity", "t0", F.when(F.col("refined"), F.col("mc") / 1e9).alias("p0"), "quality", "refined", "detail"))
     c = found.where("refined").select("entity", "t0", "p0")
@@ -171,6 +171,7 @@ def _(s, d):
     month = ft.buy_volume(c, seen, W["30d"]).select("entity", F.col("buy_usd").alias("buy_usd_30d"))
     graded = gt.score_reject_reason(found.withColumn("sol_usd_source", F.lit("pyth"))).select("entity", "scoreable")
     features = graded.join(pack, "entity", "left").join(month, "entity", "left").join(lb.create_join(c, creates(s, d)).select("entity", "age"), "entity", "left")
+    features = materialize(features, "features")  # its quantiles read it again and again
     features = cmp.robust_distance(features, ["buy_usd", "max_buy_usd"])
     gates = {"capture_quality": F.col("scoreable"), "hard_range": cmp.in_ranges({"max_buy_usd": (500, 60000)}, False), "age": F.col("age") <= 365 * DAY, "distance": F.col("distance") <= 2}
     sample = creates(s, d).select("entity", (F.col("entity") % 10 * 1000.0).alias("buy_usd"))
