@@ -145,7 +145,8 @@ def resolve_priors(captures: DataFrame, store: DataFrame, cohort: DataFrame) ->
 def relabel(captures: DataFrame, prices: DataFrame, peaks: DataFrame, horizon: int, multiple: float, slack: int = 3600) -> DataFrame:
     """(entity, top, source, hit): the highest of own prices in (t0, t0 + horizon] and of an outside peak whose time is
     at most `slack` before t0. Without evidence the label is false and the source none."""
-    own = prices.join(captures.select("entity", "t0"), "entity").where((F.col("ts") > F.col("t0")) & (F.col("ts") <= F.col("t0") + horizon)).groupBy("entity").agg(F.max("price").alias("own"))
+    after = (F.col("ts") > F.col("t0")) & (F.col("ts") <= F.col("t0") + horizon)
+    own = prices.join(captures.select("entity", "t0"), "entity").groupBy("entity").agg(F.max(F.when(after, F.col("price"))).alias("own"))
     out = captures.select("entity", "t0", "p0").join(own, "entity", "left").join(peaks.select("entity", "peak_ts", "peak"), "entity", "left")
     outside = F.when(F.col("peak_ts") >= F.col("t0") - slack, F.col("peak"))
     top = F.greatest("own", outside)

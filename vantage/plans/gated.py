@@ -238,7 +238,7 @@ def _(s, d):
   j as (select c.entity, c.p0, own, case when pts >= c.t0 - 3600 then peak end as outside from captures c left join own using (entity) left join pk using (entity))
   select entity, greatest(own, outside) as top, case when greatest(own, outside) is null then 'none' when own is null or outside > own then 'peak' else 'trades' end as source, coalesce(greatest(own, outside) >= 1.3::double * p0, false) as hit from j""")
 def _(s, d):
-    p = priced(s, d).where("price is not null")
+    p = priced(s, d).where("entity is not null and price is not null").select("entity", "ts", "price").repartition("entity")  # one shuffle for both sources
     peaks = p.groupBy("entity").agg(F.max(F.struct(F.col("price"), -F.col("ts"))).alias("m")).select("entity", F.col("m.price").alias("peak"), (-F.col("m.col2")).alias("peak_ts"))
     return sc.relabel(captured(s, d), p, peaks, 180 * DAY, 1.3)
 
