@@ -165,15 +165,16 @@ def capture_aligned(path: DataFrame, creates: DataFrame, lo: float, hi: float, l
     first time in it and the detail too_young; those never in the band are REJECT. tradeable is the age that counted.
     """
     made = creates.groupBy("entity").agg(F.min("created").alias("created"))
-    first = path.groupBy("entity").agg(F.min("ts").alias("first"))
-    rows = path.join(first, "entity").join(made, "entity", "left")
+    times = path.where("entity is not null").select("entity", "ts").repartition("entity")  # one shuffle for the first times and for the counts
+    first = times.groupBy("entity").agg(F.min("ts").alias("first"))
+    inside = in_band(F.col("mc"), lo, hi)
+    rows = path.where(inside).join(first, "entity").join(made, "entity", "left")
     age, since = F.col("ts") - F.col("created"), F.col("ts") - F.col("first")
     ok = F.coalesce(age >= least_age, F.lit(False)) | (since >= least_age) | F.coalesce(age.between(0, least_age - 1), F.lit(False))
     span = F.when(age >= least_age, age).when(since >= least_age, since).otherwise(age)
-    inside = in_band(F.col("mc"), lo, hi)
     point = F.struct("ts", "id", "mc", span.alias("span"))
-    got = rows.groupBy("entity").agg(F.min(F.when(inside & ok, point)).alias("f"), F.min(F.when(inside, point)).alias("any"), F.min("ts").alias("first"))
-    near = path.select("entity", "ts").join(got.where("f is not null").select("entity", F.col("f.ts").alias("_t")), "entity").where(F.col("ts").between(F.col("_t") - least_age, F.col("_t"))).groupBy("entity").agg(F.count("*").cast("int").alias("n"))
+    got = first.join(rows.groupBy("entity").agg(F.min(F.when(ok, point)).alias("f"), F.min(point).alias("any")), "entity", "left")
+    near = times.join(got.where("f is not null").select("entity", F.col("f.ts").alias("_t")), "entity").groupBy("entity").agg(F.count_if(F.col("ts").between(F.col("_t") - least_age, F.col("_t"))).cast("int").alias("n"))
     out = got.join(near, "entity", "left")
     hit, some = F.col("f").isNotNull(), F.col("any").isNotNull()
     quality = F.when(hit, quality_of(F.lit(source))).when(some, "LOW").otherwise("REJECT")
