@@ -45,3 +45,36 @@ def test_labels_are_computed_once_for_all_that_reads_them(spark):
     data = "/root/testdata/sf0.001"
     for df in (registry.predictions(spark, data), *registry.derived._scores(spark, data)):
         assert "Join" not in _plan(df) and "Aggregate" not in _plan(df)
+
+
+def test_trades_shuffle_times_and_sums_instead_of_their_columns(spark):
+    from vantage.sources.bindings import trades
+
+    plan = _plan(trades(spark, "/root/testdata/sf0.001").select("entity", "ts", "usd", "trader"))
+    below = plan[plan.index("Join") :].splitlines()[1]
+    assert "Project" in below and "l_discount" not in below.split(" AS ")[-1] and " AS usd" in below and " AS ts" in below
+
+
+def test_trades_before_a_capture_are_computed_once_for_all_that_reads_them(spark):
+    from vantage.plans import registry
+
+    for name in ("a6_repriced_usd_pack", "a38_curve_catalogue"):
+        assert "l_orderkey" not in _plan(registry.queries()[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_prices_and_times_are_shuffled_once(spark):
+    from vantage.plans import registry
+
+    for name in ("a13_relabel_two_sources", "w10_capture_aligned"):
+        df = registry.queries()[name](spark, "/root/testdata/sf0.001")
+        assert df.count() > 0
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ReusedExchange" in plan[: plan.find("Initial Plan")] and "REPARTITION_BY_COL" in plan, name
+
+
+def test_the_order_of_a_trade_table_is_sorted_by_plain_columns(spark):
+    from vantage.plans import registry
+
+    window = _plan(registry.queries()["g14_trade_table"](spark, "/root/testdata/sf0.001"))
+    assert "Window" in window and "struct" not in window and "pumpdotfun, venue" not in window

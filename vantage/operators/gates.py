@@ -90,8 +90,10 @@ def trade_table(trades: DataFrame, key: list[str], by: str, order: list[str], al
     """(rule, n_bad): keys that repeat, rows outside the allowed programs, and rows whose time is before that of
     the row ahead of them in the given order of their entity."""
     twice = trades.groupBy(*key).agg((F.count("*") - 1).alias("more")).agg(F.lit("duplicate").alias("rule"), F.coalesce(F.sum("more"), F.lit(0)).alias("n_bad"))
-    back = F.col("ts") < F.lag("ts").over(Window.partitionBy(by).orderBy(*order))
-    rest = trades.select(allowed.alias("_ok"), back.alias("_back")).agg(F.count_if(~F.coalesce("_ok", F.lit(False))).alias("program"), F.count_if(F.coalesce("_back", F.lit(False))).alias("time"))
+    # a verdict instead of its columns, and order by plain columns: rows of the window's sort are short
+    rows = trades.select(F.col(by).alias("_by"), "ts", allowed.alias("_ok"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    back = F.col("ts") < F.lag("ts").over(Window.partitionBy("_by").orderBy(*[f"_o{i}" for i in range(len(order))]))
+    rest = rows.select("_ok", back.alias("_back")).agg(F.count_if(~F.coalesce("_ok", F.lit(False))).alias("program"), F.count_if(F.coalesce("_back", F.lit(False))).alias("time"))
     return twice.unionByName(rest.unpivot([], ["program", "time"], "rule", "n_bad"))
 
 

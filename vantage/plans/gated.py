@@ -73,7 +73,8 @@ def _(s, d):
   select 'duplicate' as rule, coalesce(sum(n - 1), 0)::bigint as n_bad from (select count(*) as n from trades group by l_orderkey, l_linenumber)
   union all select 'program', count(*) filter (venue <> 'pumpdotfun') from b union all select 'time', count(*) filter (back) from b""")
 def _(s, d):
-    return gt.trade_table(trades(s, d), ["id.l_orderkey", "id.l_linenumber"], "entity", ["id"], F.col("venue") == "pumpdotfun")
+    order = [f"id.{c}" for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")]
+    return gt.trade_table(trades(s, d), ["id.l_orderkey", "id.l_linenumber"], "entity", order, F.col("venue") == "pumpdotfun")
 
 
 @query("p25_training_filter", """, f as (select c.entity, count(*) as n, max(p.age) as oldest, any_value(k.created) as created from captures c join pit p using (entity) left join creates k on k.entity = c.entity group by c.entity)
