@@ -323,7 +323,7 @@ def link_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     dealt = members.join(of_class.select("ck", "bits"), "ck").withColumn("x", spread).select("tok", "x.part", "x.side", "ck", "size", "bits")
     dealt = materialize(dealt, "cells")
 
-    links = sets_of = None
+    components = sets_of = None
     labels = members.select("ck").distinct().withColumn("label", F.col("ck"))
     for partners in (best, best, 0):  # the last round offers every pair that still crosses components
         offered = dealt.join(labels, "ck").repartition("tok", "part").sortWithinPartitions("tok", "part").mapInArrow(_cells(percent, partners), "a long, b long").distinct()
@@ -336,9 +336,9 @@ def link_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
         overlap = F.size(F.array_intersect("ta", "tb"))
         found = both.where(100 * overlap >= percent * (F.size("ta") + F.size("tb") - overlap)).select("a", "b")
         found = materialize(found, "links")
-        links = found if links is None else links.unionByName(found)
         if found.isEmpty():
             continue
+        links = found if components is None else found.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b")))
         components = materialize(connected_components(links), "components")
         labels = members.select("ck").distinct().join(components, F.col("ck") == F.col("node"), "left").select("ck", F.coalesce("component", "ck").alias("label"))
 
