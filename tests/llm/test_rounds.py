@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from vantage.llm import common
+from vantage.llm import common, jaccard_join
 
 
 @pytest.fixture
@@ -30,3 +30,23 @@ def test_components_stand_for_their_links(spark, written):
     assert len(written) - rounds <= rounds
     assert step == {tuple(r) for r in common.connected_components(frame(old + new)).collect()} and len(step) > 200
     assert common.connected_components(frame([])).count() == 0
+
+
+def test_later_rounds_of_the_join_hold_only_classes_with_partners(spark, monkeypatch):
+    """Each two texts share a passage, so they meet in cells, and few of them may link: the others go after the first round."""
+    tables, write = {}, jaccard_join.materialize
+
+    def kept(df, name="stage"):
+        table = write(df, name)
+        if name in ("cells", "offered", "tokens"):
+            tables.setdefault(name, []).append({r[0] for r in table.select(*(["ck"] if "ck" in table.columns else ["a"])).union(table.select(*(["ck"] if "ck" in table.columns else ["b"]))).collect()})
+        return table
+
+    monkeypatch.setattr(jaccard_join, "materialize", kept)
+    far = [[f"s{k // 2}_{i}" for i in range(100)] + [f"x{k}_{i}" for i in range(100)] for k in range(60)]
+    near = [[f"n{i}" for i in range(100)] + [f"y{k}"] for k in range(3)]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(far + near)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.link_similar(frame, n=4, percent=85).collect()}
+    assert got == {i: i for i in range(60)} | {i: 60 for i in (60, 61, 62)}
+    first, later = tables["cells"]
+    assert later == tables["offered"][0] == tables["tokens"][0] and len(later) == 3 and len(first) > 50

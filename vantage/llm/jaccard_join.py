@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, met, release
 from .hashing import mix, range_hash, sums, texts
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -323,14 +323,18 @@ def link_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     dealt = members.join(of_class.select("ck", "bits"), "ck").withColumn("x", spread).select("tok", "x.part", "x.side", "ck", "size", "bits")
     dealt = materialize(dealt, "cells")
 
-    components = sets_of = None
+    components = sets_of = wanted = None
     labels = members.select("ck").distinct().withColumn("label", F.col("ck"))
     for partners in (best, best, 0):  # the last round offers every pair that still crosses components
-        offered = dealt.join(labels, "ck").repartition("tok", "part").sortWithinPartitions("tok", "part").mapInArrow(_cells(percent, partners), "a long, b long").distinct()
+        named = dealt.withColumn("label", F.col("ck")) if wanted is None else dealt.join(labels, "ck")
+        offered = named.repartition("tok", "part").sortWithinPartitions("tok", "part").mapInArrow(_cells(percent, partners), "a long, b long").distinct()
         offered = materialize(offered, "offered")
-        if sets_of is None:  # a class that has any partner is offered its best one, so later rounds need no other sets
-            wanted = offered.select(F.col("a").alias("ck")).unionByName(offered.select(F.col("b").alias("ck"))).distinct().join(of_class.select("ck", "rid"), "ck")
-            sets_of = materialize(wanted.join(slim, "rid").dropDuplicates(["ck"]).select("ck", "bytes").mapInArrow(_tokens(n), "ck long, tokens array<long>"), "tokens")
+        if wanted is None:  # a class that has any partner is offered its best one, so later rounds need no other sets and no other rows of cells
+            wanted = offered.select(F.col("a").alias("ck")).unionByName(offered.select(F.col("b").alias("ck"))).distinct()
+            wanted = materialize(wanted.join(of_class.select("ck", "rid"), "ck"), "wanted")
+            sets_of = materialize(met(slim, "rid", wanted).join(wanted, "rid").dropDuplicates(["ck"]).select("ck", "bytes").mapInArrow(_tokens(n), "ck long, tokens array<long>"), "tokens")
+            every, dealt = dealt, materialize(met(dealt, "ck", wanted).join(wanted.select("ck"), "ck"), "cells")
+            release(every)
         left, right = sets_of.select(F.col("ck").alias("a"), F.col("tokens").alias("ta")), sets_of.select(F.col("ck").alias("b"), F.col("tokens").alias("tb"))
         both = offered.join(left, "a").join(right, "b")
         overlap = F.size(F.array_intersect("ta", "tb"))
